@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, secrets
+from . import bpe, language, packing, pii, secrets, toxicity
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,12 +23,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_pii, op4_packing, op8_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_pii, op4_packing, op6_toxicity, op8_secrets, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
