@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, packing, pii, secrets, toxicity
+from . import bpe, fingerprint, language, packing, pii, secrets, toxicity
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -36,7 +40,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_pii, op4_packing, op6_toxicity, op8_secrets, op9_language)}
+    return {f.__name__: f for f in (op1_bpe, op2_pii, op3_fingerprint, op4_packing, op6_toxicity, op8_secrets, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
