@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one vocabulary file; one per Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, trie: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -66,6 +67,7 @@ class Codec:
             if len(token) > 2:
                 self.longest_with[token[-3:]] = max(len(token), self.longest_with.get(token[-3:], 0))
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.library = None if trie else tiktoken.Encoding(path, pat_str=SPLIT.pattern, mergeable_ranks=self.ids, special_tokens={})
         self.apart: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.fresh()
@@ -168,6 +170,11 @@ class Codec:
 
     def learn(self, chunks: set[str]) -> None:
         """A chunk stands after a single space, which belongs to its first word. Those that begin or end with white space depend on their neighbours."""
+        if self.library:
+            encode = self.library.encode_ordinary
+            for c in chunks:
+                self.chunks[c] = array("I", encode(" " + c)).tobytes() if c and not c[0].isspace() and not c[-1].isspace() else b""
+            return
         parts = {c: SPLIT.findall(" " + c) for c in chunks if c and not c[0].isspace() and not c[-1].isspace()}
         known = self.words({w for words in parts.values() for w in words})
         for c in chunks:
@@ -219,13 +226,14 @@ class Codec:
         return b"".join(map(self.table.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, bool], Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def codec(path: str, trie: bool = True) -> Codec:
+    """One for each Python worker. Without the trie, words that a worker hasn't met are encoded by a public library, for operators that only need ids."""
+    if (path, trie) not in _CODECS:
+        _CODECS[path, trie] = Codec(path, trie)
+    return _CODECS[path, trie]
 
 
 def encode(text: Column, path: str) -> Column:
@@ -262,7 +270,7 @@ def digests(text: Column, path: str) -> Column:
             rows = []
             for ids in c.encode_each(s):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], dtype=object)
 
     return run(common.whole(text))
 

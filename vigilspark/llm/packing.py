@@ -36,7 +36,7 @@ def cut(n: int, width: int) -> list[tuple[int, int]]:
 def pieces(text: Column, path: str, width: int, end_id: int) -> Column:
     @F.pandas_udf(PIECES)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c, end = codec(path), end_id.to_bytes(4, "little")
+        c, end = codec(path, trie=False), end_id.to_bytes(4, "little")
         for s in texts:
             out = []
             for ids in c.encode_each(s):
