@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, packing, pii, secrets, toxicity
+from . import bpe, fingerprint, language, packing, pii, secrets, suffix_model, toxicity
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,8 +39,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
 
 
+def op10_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_model.report(read(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_pii, op3_fingerprint, op4_packing, op6_toxicity, op8_secrets, op9_language)}
+    return {f.__name__: f for f in (op1_bpe, op2_pii, op3_fingerprint, op4_packing, op6_toxicity, op8_secrets, op9_language, op10_suffix_model)}
 
 
 def oracle_sql() -> dict[str, str]:
