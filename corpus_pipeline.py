@@ -1,8 +1,61 @@
-"""The corpus pipeline (under way)."""
+"""The corpus pipeline: toxicity, language, near duplicates, secrets, packing. Each stage works on all that its predecessor kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigilspark.llm import jaccard_join, language, packing, secrets, toxicity
+from vigilspark.llm.common import materialize, read
+from vigilspark.llm.queries import VOCABULARY
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOXIC = 0.3  # documents with this score or more go
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject. It is fitted on labelled rows of this stage's input; texts are not shuffled."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(*COLUMNS), model).where(F.col("tox.score") < TOXIC).select(*COLUMNS)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some language."""
+    return language.accepted(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; of repeated rows of an id one row. Documents without an id stay."""
+    found = jaccard_join.join(docs, size=5, percent=80)
+    keep = materialize(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    kept = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in COLUMNS[1:]])
+    return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets and access keys in their texts are replaced by a mark, and n_chars follows."""
+    return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs, VOCABULARY)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+
+#: SQL can't express the classifiers, the similarity join or the tokenizer; tests hold stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs
