@@ -1,11 +1,666 @@
-"""Every query of the engine by name, and its SQL."""
+"""Every query of the engine by name, and its SQL where SQL can express it. Each takes (spark, sf_dir) and works on the whole given tables."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import entities as en
+from ..functions import links as lk
+from ..functions import text as tx
+from ..operators import advice, evaluation, features, messages, scoring, splits
+from ..operators import catalogue as cat
+from ..session import materialize, shared_folder
+from ..sources import io
+from ..streaming import stream
+from . import sqlparts as sp
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small file is one task; heavy row-local work on it is dealt to all cores."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def msgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.from_events(spread(table(spark, sf_dir, "events")))
+
+
+def scored(spark: SparkSession, sf_dir: str, *columns: str, **more) -> DataFrame:
+    """Scored messages, written once: filters on what was computed must not push the whole computation into themselves."""
+    return materialize(scoring.score(msgs(spark, sf_dir), **more).select("msg_id", "ts", "channel", "text", "label", "template_id", *columns))
+
+
+def join_(c) -> F.Column:
+    return F.array_join(c, "|")
+
+
+M = f"WITH {messages.sql()}"
+FOLDED = f"{M}, folded AS (SELECT *, {sp.fold('text')} AS f, {sp.deleet(sp.fold('text'))} AS m FROM messages)"
+
+
+# -- A: sources and sinks
+
+
+@query(f"{M} SELECT msg_id AS id, text, label, 'messages' AS source FROM messages")
+def a1_a7_jsonl_round_trip(spark, sf_dir):
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = msgs(spark, sf_dir).select(F.col("msg_id").cast("string").alias("id"), "text", "label", F.lit("messages").alias("source"))
+    io.write_messages(rows, path)
+    return io.read_messages(spark, path).select(F.col("id").cast("long").alias("id"), "text", "label", "source")
+
+
+@query(f"{M} SELECT text, label FROM messages")
+def a2_text_label(spark, sf_dir):
+    return io.text_and_label(msgs(spark, sf_dir))
+
+
+@query(f"""{M}, numbered AS (SELECT *, row_number() OVER (ORDER BY msg_id) AS n FROM messages)
+SELECT format('EXT_VISMS_TRAIN_{{:05d}}', n) AS id, CASE WHEN label = 2 THEN 2 ELSE 0 END AS label, CASE WHEN label = 2 THEN 1 ELSE 0 END AS original_label FROM numbered WHERE label <> 1""")
+def a3_a4_csv_records(spark, sf_dir):
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    m = messages.from_events(table(spark, sf_dir, "events"))
+    rows = m.select("msg_id", F.col("text").alias("message"), F.when(F.col("label") == 2, "1").when(F.col("label") == 0, "0").otherwise("x").alias("label"))
+    rows.repartitionByRange(1, "msg_id").sortWithinPartitions("msg_id").select("message", "label").write.option("header", True).option("escape", '"').csv(path)  # one file, as such data land
+    return io.convert_csv(io.read_labelled_csv(spark, path), "train").select("id", "label", "original_label")
+
+
+@query(f"""WITH hosts AS (SELECT DISTINCT {sp.host('url')} AS host FROM pages)
+SELECT DISTINCT {sp.registrable('host')} AS domain FROM hosts WHERE contains(host, '.') AND NOT {sp.is_ip('host')} AND NOT {sp.listed('host', cat.NEVER_BLOCK)}""")
+def a5_e16_blocklist_build(spark, sf_dir):
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    table(spark, sf_dir, "pages").where(F.col("url").isNotNull()).select(F.col("url").alias("value")).write.text(path)
+    return lk.blocklist(io.read_lines(spark, path))
+
+
+@query(f"""WITH hosts AS (SELECT DISTINCT {sp.host('url')} AS host FROM pages), d AS (SELECT DISTINCT {sp.registrable('host')} AS domain FROM hosts WHERE contains(host, '.') AND NOT {sp.is_ip('host')})
+SELECT count(*) AS n, min(domain) AS first_domain FROM d""")
+def a6_a9_a10_blocklist_file(spark, sf_dir):
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    io.write_blocklist(a5_e16_blocklist_build(spark, sf_dir), path)
+    return io.read_blocklist(spark, path).agg(F.count("*").alias("n"), F.min("domain").alias("first_domain"))
+
+
+@query(f"""{M} SELECT CASE label WHEN 2 THEN 'DANGEROUS' WHEN 1 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS label_name, count(*) AS n FROM messages GROUP BY 1""")
+def a8_metadata(spark, sf_dir):
+    m = msgs(spark, sf_dir).withColumn("label_name", F.element_at(F.lit(io.LEVELS), F.col("label") + 1))
+    return io.metadata(m, "generated", "own").select(F.explode("labels").alias("label_name", "n"))
+
+
+# -- B: text
+
+
+@query("SELECT coalesce(CASE WHEN text IS NULL OR regexp_matches(text, '^\\s*$') THEN 'EMPTY' WHEN length(text) > 2000 THEN 'TOO_LONG' END, 'OK') AS code, count(*) AS n FROM documents GROUP BY 1")
+def b1_b2_validate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.coalesce(tx.error_code(F.col("text")), F.lit("OK")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, md5({sp.fold('text')}) AS folded, length({sp.fold('text')}) AS n FROM documents")
+def b3_b4_fold_documents(spark, sf_dir):
+    f = tx.fold(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(f.cast("binary")).alias("folded"), F.length(f).cast("long").alias("n"))
+
+
+@query(f"{FOLDED} SELECT msg_id, f AS folded, length(f) AS d_length FROM folded")
+def b5_aligned_display(spark, sf_dir):
+    return msgs(spark, sf_dir).select("msg_id", tx.fold(F.col("text")).alias("folded"), F.length(tx.display(F.col("text"))).cast("long").alias("d_length"))
+
+
+@query(f"{FOLDED} SELECT msg_id, regexp_extract(f, '[a-z]+ [0-9]+k', 0) AS folded_span FROM folded WHERE regexp_matches(f, '[a-z]+ [0-9]+k')")
+def b6_span_recovery(spark, sf_dir):
+    m = msgs(spark, sf_dir).withColumn("f", tx.fold(F.col("text"))).withColumn("d", tx.display(F.col("text")))
+    found = materialize(m.withColumn("s", tx.spans(F.col("f"), F.col("d"), F.lit("(?U)[a-z]+ [0-9]+k"))).select("msg_id", "s"))
+    return found.where(F.size("s") > 0).select("msg_id", tx.fold(F.col("s")[0]).alias("folded_span"))
+
+
+@query(f"{FOLDED} SELECT msg_id, m FROM folded")
+def b7_b16_deleet(spark, sf_dir):
+    return msgs(spark, sf_dir).select("msg_id", tx.for_model(F.col("text")).alias("m"))
+
+
+@query(f"{FOLDED} SELECT msg_id, regexp_replace(f, '[^a-z0-9]+', '', 'g') AS dense FROM folded")
+def b8_dense(spark, sf_dir):
+    return msgs(spark, sf_dir).select("msg_id", tx.dense(tx.fold(F.col("text"))).alias("dense"))
+
+
+@query(f"{M} SELECT msg_id, lower(text) <> replace(strip_accents(lower(text)), 'đ', 'd') AS accented FROM messages")
+def b9_has_diacritics(spark, sf_dir):
+    return msgs(spark, sf_dir).select("msg_id", tx.has_diacritics(F.col("text")).alias("accented"))
+
+
+@query()
+def b10_b12_normalized(spark, sf_dir):
+    return msgs(spark, sf_dir).select("msg_id", tx.normalized(F.col("text")).alias("normalized"))
+
+
+@query(f"{M} SELECT msg_id, trim(regexp_replace(regexp_replace(text, '([.,!?;:])(\\s|$)', ' \\1\\2', 'g'), '\\s+', ' ', 'g')) AS shown FROM messages")
+def b11_detach(spark, sf_dir):
+    return msgs(spark, sf_dir).select("msg_id", tx.detach(F.col("text")).alias("shown"))
+
+
+@query("SELECT conv_id, turn, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words FROM conversations")
+def b13_counts(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(t).cast("long").alias("chars"), tx.word_count(t).cast("long").alias("words"))
+
+
+@query(f"{M} SELECT msg_id, replace(concat(text, ' [PHONE] [MONEY] [ODD_TAG]'), ' [PHONE] [MONEY] [ODD_TAG]', ' 0912345678 500.000đ ODD_TAG') AS text FROM messages")
+def b14_rehydrate(spark, sf_dir):
+    return msgs(spark, sf_dir).select("msg_id", tx.rehydrate(F.concat("text", F.lit(" [PHONE] [MONEY] [ODD_TAG]"))).alias("text"))
+
+
+@query()
+def b15_merge_entities(spark, sf_dir):
+    """Entities of the normalised text, with those that a caller supplies (here: those of the raw text)."""
+    m = en.extract(msgs(spark, sf_dir)).withColumn("n", tx.normalized(F.col("text")))
+    both = F.concat(F.col("entities.phone_numbers"), en.phones(F.col("n")))
+    return m.select("msg_id", join_(tx.distinct_ignoring_case(both)).alias("phones"))
+
+
+# -- C: entities
+
+
+@query()
+def c1_c6_entities(spark, sf_dir):
+    df = en.extract(msgs(spark, sf_dir))
+    return df.select("msg_id", *[join_(F.col(f"entities.{k}")).alias(k) for k in en.KINDS])
+
+
+@query(f"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){en.EMAIL}')) AS email FROM documents) SELECT doc_id, count(DISTINCT lower(email)) AS n FROM e GROUP BY 1""")
+def c3_emails_documents(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", F.size(en.emails(F.col("text"))).cast("long").alias("n"))
+    return df.where("n > 0")
+
+
+@query(f"""{M}, e AS (SELECT msg_id, unnest(regexp_extract_all(text, '(?:^|\\W)([0-9]{{9,16}})(?:\\W|$)', 1)) AS a FROM messages) SELECT msg_id, a AS account FROM e WHERE NOT starts_with(a, '0') GROUP BY ALL""")
+def c5_bank_accounts(spark, sf_dir):
+    t = F.col("text")
+    return msgs(spark, sf_dir).select("msg_id", F.explode(en.accounts(t, en.phones(t))).alias("account"))
+
+
+@query(f"""{FOLDED}, o AS (SELECT msg_id, unnest(regexp_extract_all(m, {sp.q(en.OTP)})) AS v FROM folded) SELECT msg_id, v AS value FROM o GROUP BY ALL""")
+def c6_otp_mentions(spark, sf_dir):
+    return msgs(spark, sf_dir).select("msg_id", F.explode(en.otp_mentions(tx.for_model(F.col("text")))).alias("value"))
+
+
+@query()
+def c7_c8_keywords(spark, sf_dir):
+    df = scoring.scan(scoring.prepare(msgs(spark, sf_dir)))
+    of = lambda *s: join_(tx.distinct_ignoring_case(F.flatten(F.transform(F.filter("rule_hits", lambda h: h["signal"].isin(*s)), lambda h: h["phrases"]))))
+    return df.select("msg_id", of("MONEY", "FREEBIE", "PRIZE").alias("financial"), of("URGENCY").alias("urgency"))
+
+
+@query()
+def c9_entities_long(spark, sf_dir):
+    return en.long_form(en.extract(msgs(spark, sf_dir)), "msg_id").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("kinds"))
+
+
+# -- D: rules
+
+
+@query(f"WITH {sp.hit_rows()} SELECT msg_id, array_to_string(list(rule_id ORDER BY ord), '|') AS rules FROM matched JOIN rules USING (ord) GROUP BY msg_id")
+def d1_d2_rule_hits(spark, sf_dir):
+    df = scoring.scan(scoring.prepare(msgs(spark, sf_dir))).select("msg_id", join_(F.transform("rule_hits", lambda h: h["rule_id"])).alias("rules"))
+    return materialize(df).where("rules <> ''")
+
+
+@query(f"WITH {sp.hit_rows()} SELECT signal, count(*) AS n FROM all_hits GROUP BY 1")
+def d3_d4_hits_by_signal(spark, sf_dir):
+    df = scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir))))
+    return df.select(F.explode(F.concat("rule_hits", "link_hits")).alias("h")).groupBy(F.col("h.signal").alias("signal")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {sp.risk_rows()} SELECT msg_id, array_to_string(signals, '|') AS signals, array_to_string(list_transform(combos, lambda c: c.id), '|') AS combos, len(safes) AS n_safe, len(weights) AS n_risk FROM combined")
+def d5_d9_gates_combos(spark, sf_dir):
+    df = scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))
+    return df.select("msg_id", join_(F.col("signals")).alias("signals"), join_(F.transform("combos", lambda c: c["combo_id"])).alias("combos"), F.size("safe").cast("long").alias("n_safe"), F.size("risk").cast("long").alias("n_risk"))
+
+
+@query(f"WITH {sp.risk_rows()} SELECT rule_id, count(*) AS n, round(sum(weight), 6) AS weight FROM risk GROUP BY 1")
+def d10_hits_fact(spark, sf_dir):
+    df = scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))
+    return scoring.hits_table(df).groupBy("rule_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query(f"WITH {sp.risk_rows()} SELECT rule_id, count(*) FILTER (label = 0) AS false_alarms, count(*) FILTER (label = 2) AS catches, count(*) AS n FROM risk JOIN messages USING (msg_id) GROUP BY 1")
+def d11_attribution(spark, sf_dir):
+    df = scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))
+    return evaluation.attribution(scoring.hits_table(df))
+
+
+# -- E: links
+
+LINKS = f"{M}, links AS (SELECT msg_id, url, {sp.host('url')} AS host FROM (SELECT msg_id, unnest({sp.urls('text')}) AS url FROM messages)), {sp.facts('links', cat.BLOCKED)}"
+
+
+def links(spark, sf_dir):
+    df = msgs(spark, sf_dir).select("msg_id", "label", F.explode(lk.urls(F.col("text"))).alias("url"))
+    return df.withColumn("host", lk.host_of(F.col("url")))
+
+
+def blocked_table(spark):
+    return spark.createDataFrame([(d,) for d in cat.BLOCKED], "domain string")
+
+
+@query(f"{LINKS} SELECT msg_id, url, host FROM links")
+def e1_e2_urls(spark, sf_dir):
+    return links(spark, sf_dir).select("msg_id", "url", "host")
+
+
+@query(f"WITH h AS (SELECT {sp.host('url')} AS host FROM pages) SELECT host, {sp.registrable('host')} AS domain, split_part(host, '.', -1) AS tld, count(*) AS n FROM h GROUP BY ALL")
+def e2_e4_page_hosts(spark, sf_dir):
+    h = table(spark, sf_dir, "pages").select(lk.host_of(F.col("url")).alias("host"))
+    return h.groupBy("host").agg(F.count("*").alias("n")).select("host", lk.registrable(F.col("host")).alias("domain"), lk.tld(F.col("host")).alias("tld"), "n")
+
+
+@query(f"{LINKS} SELECT host, domain, tld, ip, official, array_to_string(brands, '|') AS brands, typo, random, shortener, risky, blocked FROM facts")
+def e5_e13_e17_host_facts(spark, sf_dir):
+    f = lk.host_facts(links(spark, sf_dir), blocked_table(spark))
+    return f.select("host", "domain", "tld", "ip", "official", join_(F.col("brands")).alias("brands"), "typo", "random", "shortener", "risky", "blocked")
+
+
+@query(f"{LINKS}, judged AS (SELECT msg_id, url, {sp.CASCADE} AS rule FROM links JOIN facts USING (host)) SELECT msg_id, url, rule, rule IS NOT NULL AND rule NOT IN ('LINK_IP_ADDRESS', 'LINK_BLOCKLISTED') AND {sp.DOWNLOAD} AS download FROM judged")
+def e14_e15_link_verdicts(spark, sf_dir):
+    """The cascade by distinct hosts, joined back: a host is judged once."""
+    found = links(spark, sf_dir)
+    f = lk.host_facts(found, blocked_table(spark))
+    judged = found.join(f, "host").withColumn("rule", lk.rule_of(F.col))
+    extra = F.col("rule").isNotNull() & ~F.coalesce("rule", F.lit("")).isin("LINK_IP_ADDRESS", "LINK_BLOCKLISTED") & lk.downloads(F.col("url"))
+    return judged.select("msg_id", "url", "rule", extra.alias("download"))
+
+
+@query(f"{LINKS}, b AS (SELECT unnest({sp.strings([b for b in cat.BRANDS if len(b) >= 5])}) AS brand) SELECT host, brand, levenshtein(label, brand) AS distance FROM facts, b WHERE len(label) >= 5 AND levenshtein(label, brand) <= 2 AND NOT contains(label, brand)")
+def e8_e9_typo_join(spark, sf_dir):
+    """The theta join of distinct hosts with brands, a fixed list of a few dozen."""
+    b = spark.createDataFrame([(x,) for x in cat.BRANDS if len(x) >= 5], "brand string")
+    h = links(spark, sf_dir).select("host").distinct().withColumn("label", lk.own_label(F.col("host")))
+    d = F.levenshtein("label", "brand", 2)
+    return h.join(F.broadcast(b), (F.length("label") >= 5) & (d >= 0) & ~F.contains("label", "brand")).select("host", "brand", d.cast("long").alias("distance"))
+
+
+@query(f"{LINKS} SELECT msg_id, url FROM links WHERE {sp.listed('host', cat.BLOCKED, 2)}")
+def e11_blocked_links(spark, sf_dir):
+    found = links(spark, sf_dir).select("msg_id", "url", F.explode(lk.parents(F.col("host"), 2)).alias("domain"))
+    return found.join(F.broadcast(blocked_table(spark)), "domain", "left_semi").select("msg_id", "url").distinct()
+
+
+# -- F: scores
+
+
+@query(f"WITH {sp.scored()} SELECT level, count(*) AS n, round(avg(score), 6) AS mean_score FROM leveled GROUP BY 1")
+def f_levels(spark, sf_dir):
+    return scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))).groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@query(f"WITH {sp.scored()} SELECT msg_id, round(rule_score, 6) AS rule_score, round(safe_score, 6) AS safe_score, hard, score, level FROM leveled")
+def f1_f6_f11_f12_scores(spark, sf_dir):
+    df = scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir))))))
+    return df.select("msg_id", F.round("rule_score", 6).alias("rule_score"), F.round("safe_score", 6).alias("safe_score"), "hard", "score", "level")
+
+
+@query(f"WITH {sp.risk_rows()} SELECT msg_id, round(1 - product(1 - weight), 6) AS noisy_or FROM risk GROUP BY 1")
+def f1_grouped_noisy_or(spark, sf_dir):
+    """The exploded form of the noisy-or: a grouped product."""
+    df = scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))
+    return scoring.hits_table(df).groupBy("msg_id").agg(F.round(1 - F.product(1 - F.col("weight")), 6).alias("noisy_or"))
+
+
+def outside(spark, sf_dir):
+    """Scores of an outer model as a table: plain arithmetic over the events, none for every fifth."""
+    e = table(spark, sf_dir, "events").where("event_id % 5 <> 0")
+    d, s = (F.col("event_id") % 10) / 10.0, (F.col("event_id") % 3) / 30.0
+    return e.select(F.col("event_id").alias("msg_id"), F.struct((1 - d - s * (1 - d)).alias("safe"), (s * (1 - d)).alias("suspicious"), d.alias("dangerous")).alias("outer"))
+
+
+OUTSIDE = "outside AS (SELECT event_id AS msg_id, (event_id % 10) / 10.0::DOUBLE AS d, (event_id % 3) / 30.0::DOUBLE AS s0 FROM events WHERE event_id % 5 <> 0), ox AS (SELECT msg_id, 1 - d - s0 * (1 - d) AS safe, s0 * (1 - d) AS s, d FROM outside)"
+BLEND = f"""WITH {sp.risk_rows()}, {OUTSIDE}, mixed AS (SELECT r.*, o.d, o.s, o.safe AS osafe, CASE WHEN o.d IS NULL THEN rule_score ELSE (0.65::DOUBLE * rule_score + 0.5::DOUBLE * (o.d + 0.45::DOUBLE * o.s)) / (0.65::DOUBLE + 0.5::DOUBLE) END AS b FROM ruled r LEFT JOIN ox o USING (msg_id)),
+floored AS (SELECT *, CASE WHEN d >= 0.8 THEN greatest(b, 0.31) WHEN s >= 0.6 THEN greatest(b, 0.26) ELSE b END AS fl FROM mixed),
+vetoed AS (SELECT *, CASE WHEN NOT hard AND osafe >= 0.8 THEN fl * 0.4::DOUBLE ELSE fl END AS v FROM floored), final AS (SELECT *, round(least(1.0, greatest(0.0, CASE WHEN hard THEN greatest(v, 0.85) ELSE v END)), 4) AS score FROM vetoed)"""
+
+
+@query(f"{BLEND} SELECT msg_id, score, CASE WHEN score >= 0.58 THEN 'DANGEROUS' WHEN score >= 0.26 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS level FROM final")
+def f7_f10_h8_outer_layer(spark, sf_dir):
+    m = msgs(spark, sf_dir).join(outside(spark, sf_dir), "msg_id", "left")
+    return scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(m)))), external="outer").select("msg_id", "score", "level")
+
+
+@query(f"WITH {sp.chosen()} SELECT level, chosen AS category, count(*) AS n FROM categorized GROUP BY ALL")
+def f13_categories(spark, sf_dir):
+    return scoring.score(msgs(spark, sf_dir)).groupBy("level", F.col("chosen").alias("category")).agg(F.count("*").alias("n"))
+
+
+@query()
+def f14_f15_evidence(spark, sf_dir):
+    df = scoring.score(msgs(spark, sf_dir))
+    return df.select("msg_id", F.to_json("evidence").alias("evidence"), join_(F.col("highlights")).alias("highlights"))
+
+
+@query(f"""WITH {sp.chosen()}, ranked AS (SELECT r.msg_id, r.rule_id, row_number() OVER (PARTITION BY r.msg_id ORDER BY (r.category = c.chosen) DESC, r.hard DESC, r.weight DESC, r.ord) AS k FROM risk r JOIN categorized c USING (msg_id))
+SELECT msg_id, rule_id, k FROM ranked WHERE k <= 5""")
+def f14_top_hits(spark, sf_dir):
+    """The grouped form: the five first hits of each message by a window."""
+    from pyspark.sql import Window
+
+    df = scored(spark, sf_dir, "risk", "chosen").select("msg_id", "chosen", F.explode("risk").alias("h")).select("msg_id", "chosen", "h.*")
+    w = Window.partitionBy("msg_id").orderBy((F.col("category") == F.col("chosen")).desc(), F.col("hard").desc(), F.col("weight").desc(), "ord")
+    return df.select("msg_id", "rule_id", F.row_number().over(w).cast("long").alias("k")).where("k <= 5")
+
+
+@query()
+def f16_f21_verdicts(spark, sf_dir):
+    out = scoring.payload(scoring.score(msgs(spark, sf_dir)))
+    return out.select("msg_id", "verdict.*", "summary", F.to_json("meta").alias("meta"))
+
+
+# -- G: advice
+
+
+@query(f"""WITH {sp.chosen()}, b AS (SELECT *, CASE WHEN level <> 'SAFE' AND chosen = 'SAFE' THEN 'GENERIC_CAUTION' ELSE chosen END AS block FROM categorized JOIN (SELECT msg_id, text FROM messages) USING (msg_id)),
+n AS (SELECT *, CASE WHEN block IN ('GAMBLING_SCAM', 'ADS_SPAM', 'GENERIC_CAUTION') THEN 1 ELSE 2 END AS k FROM b)
+SELECT msg_id, block, concat(block, '_', 1 + CAST(concat('0x', substr(sha256(text), 1, 2)) AS INTEGER) % k) AS quiz_id, CASE WHEN level = 'DANGEROUS' THEN 6 ELSE 3 END AS n_steps FROM n""")
+def g1_g5_advice(spark, sf_dir):
+    df = scored(spark, sf_dir, "level", F.col("chosen").alias("category"))
+    return advice.advise(df, F.col("text")).select("msg_id", "block", "quiz_id", F.size("steps").alias("n_steps"))
+
+
+@query()
+def g7_advice_for_verdicts(spark, sf_dir):
+    """Advice for verdicts from elsewhere, with levels that aren't known marked."""
+    e = table(spark, sf_dir, "events")
+    v = e.select("event_id", messages.pick(["SAFE", "SUSPICIOUS", "DANGEROUS", "ODD"], F.col("event_id")).alias("level"), messages.pick(list(cat.PRIORITY), F.col("user_id")).alias("category"))
+    return advice.advise(v, F.col("category")).groupBy("level", "block", "error_code").agg(F.count("*").alias("n"))
+
+
+QUIZ_IDS = [x[0] for x in cat.QUIZZES] + ["NO_SUCH"]
+
+
+@query(f"""WITH a AS (SELECT {sp.strings(QUIZ_IDS)}[event_id % {len(QUIZ_IDS)} + 1] AS quiz_id, {sp.strings([' a', 'B ', 'c'])}[user_id % 3 + 1] AS o FROM events),
+k(quiz_id, ok) AS (VALUES {', '.join(f"({sp.q(x[0])}, {sp.q(x[5])})" for x in cat.QUIZZES)})
+SELECT quiz_id, count(*) AS n, count(*) FILTER (upper(trim(o)) = ok) AS correct, count(*) FILTER (ok IS NULL) AS unknown FROM a LEFT JOIN k USING (quiz_id) GROUP BY 1""")
+def g6_grading(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    a = e.select(messages.pick(QUIZ_IDS, F.col("event_id")).alias("quiz_id"), messages.pick([" a", "B ", "c"], F.col("user_id")).alias("option_id"))
+    return advice.grade(a).groupBy("quiz_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("correct"), F.count_if(F.col("error_code").isNotNull()).alias("unknown"))
+
+
+# -- H: features and models
+
+
+@query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS k, {sp.fold('text')} AS f FROM conversations), w AS (SELECT k, regexp_extract_all(f, '[a-z0-9_][a-z0-9_]+') AS w FROM c),
+t AS (SELECT k, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) ELSE [] END)) AS term FROM w),
+tf AS (SELECT k, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM conversations),
+raw AS (SELECT k, term, tf, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term), n), norm AS (SELECT k, sqrt(sum(raw * raw)) AS l FROM raw GROUP BY 1)
+SELECT k, count(*) AS terms, round(max(raw / l), 5) AS top_weight, round(sum(raw / l), 4) AS total FROM raw JOIN norm USING (k) GROUP BY 1""")
+def h1_h3_tfidf(spark, sf_dir):
+    c = spread(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), tx.fold(F.col("text")).alias("f"))
+    w = c.withColumn("w", F.regexp_extract_all("f", F.lit("[a-z0-9_][a-z0-9_]+"), F.lit(0)))
+    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
+    t = features.tfidf(w.withColumn("terms", F.concat("w", pairs)), "k", F.col("terms"))
+    return t.groupBy("k").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("top_weight"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+@query(f"""{FOLDED}, w AS (SELECT msg_id, unnest(list_filter(string_split(m, ' '), lambda w: w <> '')) AS w FROM folded), p AS (SELECT msg_id, concat(' ', w, ' ') AS p FROM w)
+SELECT msg_id, sum(CASE WHEN length(p) >= 3 THEN length(p) - 2 ELSE 1 END + CASE WHEN length(p) >= 4 THEN length(p) - 3 ELSE 0 END + CASE WHEN length(p) >= 5 THEN length(p) - 4 ELSE 0 END) AS n FROM p GROUP BY 1""")
+def h2_char_terms(spark, sf_dir):
+    m = msgs(spark, sf_dir).withColumn("m", tx.for_model(F.col("text")))
+    return m.select("msg_id", F.size(features.char_terms(F.col("m"))).cast("long").alias("n"))
+
+
+@query()
+def h4_h7_model(spark, sf_dir):
+    """Fitted on the train part of a split by template, then on all rows; probabilities and classes of all messages."""
+    m = splits.by_group(msgs(spark, sf_dir), "template_id", 0.2)
+    m = materialize(m)
+    held = features.predict(features.train(m.where("part = 'train'")), m.where("part = 'test'"))
+    full = features.predict(features.train(m), m)
+    parts = held.select(F.lit("holdout").alias("fit"), "label", "ml_class").unionByName(full.select(F.lit("all").alias("fit"), "label", "ml_class"))
+    return parts.groupBy("fit", "label", "ml_class").agg(F.count("*").alias("n"))
+
+
+@query()
+def a11_a12_model_tables(spark, sf_dir):
+    """The model saved, loaded and written as a table of weights."""
+    from pyspark.ml import PipelineModel
+
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    features.train(msgs(spark, sf_dir)).write().overwrite().save(path)
+    w = features.weights_table(PipelineModel.load(path), spark)
+    return w.groupBy("class").agg(F.count("*").alias("terms"), F.count_if(F.col("weight") != 0).alias("used"))
+
+
+@query()
+def f7_f9_h5_ml_layer(spark, sf_dir):
+    m = materialize(msgs(spark, sf_dir))
+    m = features.predict(features.train(m), m)
+    return scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(m)))), ml="ml").groupBy("label", "level").agg(F.count("*").alias("n"))
+
+
+@query(f"{M}, c AS (SELECT label, count(*) AS n FROM messages GROUP BY 1) SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n) * CASE WHEN label = 2 THEN 1.3 ELSE 1.0 END, 6) AS weight FROM c")
+def h9_class_weights(spark, sf_dir):
+    return features.class_weights(msgs(spark, sf_dir), "label").select("label", "n", F.round("weight", 6).alias("weight"))
+
+
+# -- I: splits
+
+POSITION = "CAST(concat('0x', substr(md5(concat('42|', CAST({k} AS VARCHAR))), 1, 13)) AS BIGINT)"
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'test' ELSE 'train' END AS part FROM labels")
+def i1_predefined(spark, sf_dir):
+    return splits.predefined(table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "test").alias("split"))).select("doc_id", "part")
+
+
+@query(f"""WITH g AS (SELECT source, row_number() OVER (ORDER BY {POSITION.format(k='source')}, source) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))
+SELECT source, CASE WHEN r <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS part, count(*) AS n_docs FROM documents JOIN g USING (source) GROUP BY ALL""")
+def i2_group_split(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return splits.by_group(d, "source", 0.2).groupBy("source", "part").agg(F.count("*").alias("n_docs"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {POSITION.format(k='doc_id')}, doc_id) AS r, count(*) OVER (PARTITION BY toxic) AS n FROM labels)
+SELECT doc_id, toxic, CASE WHEN r <= round(0.25 * n) THEN 'test' ELSE 'train' END AS part FROM l""")
+def i3_stratified(spark, sf_dir):
+    return splits.stratified(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", "doc_id", 0.25).select("doc_id", "toxic", "part")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def i4_source_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id FROM labels ORDER BY {POSITION.format(k='doc_id')}, doc_id LIMIT 100")
+def i5_seeded_cap(spark, sf_dir):
+    return splits.capped(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", 100)
+
+
+@query(f"{M} SELECT msg_id, text FROM messages ORDER BY msg_id LIMIT 50")
+def i6_first(spark, sf_dir):
+    return splits.first(msgs(spark, sf_dir).select("msg_id", "text"), 50, "msg_id")
+
+
+@query("SELECT 'documents' AS origin, lang AS tag, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'conversations', role, count(*) FROM conversations GROUP BY ALL")
+def i7_union(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("lang").alias("tag"), "doc_id")
+    b = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), F.col("role").alias("tag"), "conv_id")
+    return a.unionByName(b, allowMissingColumns=True).groupBy("origin", "tag").agg(F.count("*").alias("n"))
+
+
+# -- J: evaluation
+
+PRED = f"WITH {sp.scored()}, p AS (SELECT msg_id, label, channel, template_id, CASE level WHEN 'DANGEROUS' THEN 2 WHEN 'SUSPICIOUS' THEN 1 ELSE 0 END AS pred, score FROM leveled JOIN messages USING (msg_id))"
+
+
+def predicted(spark, sf_dir):
+    df = scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir))))))
+    return materialize(df.select("msg_id", "label", "channel", "template_id", "score", evaluation.as_label(F.col("level")).alias("pred")))
+
+
+@query(f"{PRED} SELECT label, count(*) FILTER (pred = 0) AS pred_0, count(*) FILTER (pred = 1) AS pred_1, count(*) FILTER (pred = 2) AS pred_2 FROM p GROUP BY 1")
+def j1_confusion(spark, sf_dir):
+    return evaluation.confusion(predicted(spark, sf_dir))
+
+
+def _r(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+THREE = "count(*) AS n, round(count(*) FILTER (label = pred) / count(*), 6) AS accuracy, round(count(*) FILTER (label = 2 AND pred = 2) / nullif(count(*) FILTER (label = 2), 0), 6) AS recall_dangerous, round(count(*) FILTER (label = 2 AND pred > 0) / nullif(count(*) FILTER (label = 2), 0), 6) AS caught, count(*) FILTER (label = 2 AND pred = 0) AS missed_as_safe, round(count(*) FILTER (label = 0 AND pred > 0) / nullif(count(*) FILTER (label = 0), 0), 6) AS false_alarm"
+
+
+@query(f"{PRED} SELECT {THREE} FROM p")
+def j2_j5_three_levels(spark, sf_dir):
+    return _r(evaluation.three_levels(predicted(spark, sf_dir)))
+
+
+def _binary(alarm: int) -> str:
+    return f"""{PRED}, c AS (SELECT count(*) FILTER (label > 0 AND pred >= {alarm}) AS tp, count(*) FILTER (label = 0 AND pred >= {alarm}) AS fp, count(*) FILTER (label > 0 AND pred < {alarm}) AS fn, count(*) FILTER (label = 0 AND pred < {alarm}) AS tn FROM p)
+SELECT tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS false_positive_rate FROM c"""
+
+
+@query(_binary(1))
+def j3_binary(spark, sf_dir):
+    return _r(evaluation.binary(predicted(spark, sf_dir)))
+
+
+@query(_binary(2))
+def j4_binary_strict(spark, sf_dir):
+    return _r(evaluation.binary(predicted(spark, sf_dir), 2))
+
+
+@query(f"""{PRED}, k AS (SELECT unnest([0, 1, 2]) AS class) SELECT class, round(coalesce(count(*) FILTER (label = class AND pred = class) / nullif(count(*) FILTER (pred = class), 0), 0), 6) AS precision,
+round(coalesce(count(*) FILTER (label = class AND pred = class) / nullif(count(*) FILTER (label = class), 0), 0), 6) AS recall, round(coalesce(2.0 * count(*) FILTER (label = class AND pred = class) / nullif(count(*) FILTER (pred = class) + count(*) FILTER (label = class), 0), 0), 6) AS f1,
+count(*) FILTER (label = class) AS support FROM p, k GROUP BY 1""")
+def j6_by_class(spark, sf_dir):
+    return _r(evaluation.by_class(predicted(spark, sf_dir)))
+
+
+@query(f"{PRED} SELECT channel, count(*) AS n, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY ROLLUP (channel)")
+def j7_sliced(spark, sf_dir):
+    return _r(evaluation.sliced(predicted(spark, sf_dir), "channel"))
+
+
+@query(f"{BLEND}, l AS (SELECT msg_id, label FROM messages), both AS (SELECT 'rules' AS config, label, round(least(1.0, greatest(0.0, CASE WHEN hard THEN greatest(rule_score, 0.85) ELSE rule_score END)), 4) AS s FROM final JOIN l USING (msg_id) UNION ALL SELECT 'rules+external', label, score FROM final JOIN l USING (msg_id)), p AS (SELECT config, label, CASE WHEN s >= 0.58 THEN 2 WHEN s >= 0.26 THEN 1 ELSE 0 END AS pred FROM both) SELECT config, {THREE} FROM p GROUP BY config")
+def j8_ablation(spark, sf_dir):
+    """One scan; two blends as columns, then as rows."""
+    m = msgs(spark, sf_dir).join(outside(spark, sf_dir), "msg_id", "left")
+    g = materialize(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(m)))).select("msg_id", "label", "outer", "risk", "safe", "signals", "combos"))
+    a = scoring.fuse(g).select(F.lit("rules").alias("config"), "label", evaluation.as_label(F.col("level")).alias("pred"))
+    b = scoring.fuse(g, external="outer").select(F.lit("rules+external").alias("config"), "label", evaluation.as_label(F.col("level")).alias("pred"))
+    return _r(evaluation.three_levels(a.unionByName(b), "config"))
+
+
+@query("""WITH r AS (SELECT length(text) AS v, row_number() OVER (ORDER BY length(text)) AS k, count(*) OVER () AS n FROM documents) SELECT round(avg(v), 6) AS mean, min(v) FILTER (k = greatest(floor(0.95 * n), 1)) AS p95, max(v) AS max FROM r""")
+def j9_mean_p95_max(spark, sf_dir):
+    return _r(evaluation.mean_p95_max(table(spark, sf_dir, "documents").select(F.length("text").cast("long").alias("v")), "v"))
+
+
+@query(f"{M} SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM messages GROUP BY 1")
+def j10_distribution(spark, sf_dir):
+    return evaluation.distribution(msgs(spark, sf_dir), "label")
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM documents WHERE doc_id IS NULL) AS no_id, (SELECT count(*) FROM documents WHERE trim(coalesce(text, '')) = '') AS blank, (SELECT count(*) FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id) WHERE toxic IS NULL) AS bad_label,
+(SELECT count(*) - count(DISTINCT doc_id) FROM documents) AS repeated_id, (SELECT count(*) - count(DISTINCT lower(text)) FROM documents) AS repeated_text""")
+def j11_quality(spark, sf_dir):
+    l = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    return evaluation.quality(table(spark, sf_dir, "documents").join(l, "doc_id", "left"), "doc_id", "text", "label")
+
+
+# -- K: generated data
+
+
+@query(f"{M} SELECT msg_id, text, label, category, template_id FROM messages")
+def k1_k2_k5_generate(spark, sf_dir):
+    return msgs(spark, sf_dir).select("msg_id", "text", "label", "category", "template_id")
+
+
+@query(f"{M}, r AS (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY msg_id) AS k FROM messages) SELECT msg_id, label FROM r WHERE k = 1")
+def k3_unique(spark, sf_dir):
+    """The first of messages that differ only by case: a grouped minimum, so a frequent text is no single task."""
+    m = msgs(spark, sf_dir)
+    return m.groupBy(F.lower("text").alias("t")).agg(F.min(F.struct("msg_id", "label")).alias("f")).select("f.msg_id", "f.label")
+
+
+@query(f"""{M}, u AS (SELECT msg_id, label, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY msg_id) AS k FROM messages) WHERE k = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {POSITION.format(k='msg_id')}, msg_id) AS k FROM u), b AS (SELECT * FROM r WHERE k <= CASE label WHEN 1 THEN 40 ELSE 80 END)
+SELECT format('MSG_{{:04d}}', row_number() OVER (ORDER BY {POSITION.format(k='msg_id')}, msg_id)) AS id, msg_id, label FROM b""")
+def k4_k8_buckets(spark, sf_dir):
+    """A data set of 40, 20 and 40 percent: targets by label, then ids in a seeded order. The target of 200 rows is the feature."""
+    from pyspark.sql import Window
+
+    unique = k3_unique(spark, sf_dir).withColumn("p", splits.position(42, "msg_id"))
+    r = unique.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("p", "msg_id"))).where(F.col("k") <= F.when(F.col("label") == 1, 40).otherwise(80))
+    return r.select(F.format_string("MSG_%04d", F.row_number().over(Window.orderBy("p", "msg_id"))).alias("id"), "msg_id", "label")
+
+
+@query()
+def k6_k7_records(spark, sf_dir):
+    """Full records: risk entities are the first four highlights; suspicious sales and groups get their own category."""
+    df = scored(spark, sf_dir, "highlights", "category")
+    category = F.when((F.col("label") == 1) & F.lower("text").rlike("khuyến mãi|giảm giá"), "ADS_SPAM").when((F.col("label") == 1) & F.lower("text").rlike("nhóm"), "SUSPICIOUS_INVITE").otherwise(F.col("category"))
+    return df.select("msg_id", "text", "label", category.alias("category"), join_(F.slice("highlights", 1, 4)).alias("risk_entities"))
+
+
+# -- L: streams
+
+
+def _drain(df: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there, into files of the shared folder."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def message_stream(spark, sf_dir):
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    m = msgs(spark, sf_dir).select("msg_id", "ts", "channel", "text", "label")
+    m.write.parquet(path)
+    return stream.read(spark, path, m.schema)
+
+
+@query(f"WITH {sp.chosen()} SELECT msg_id, level, score, chosen AS category FROM categorized")
+def l1_stream_scores(spark, sf_dir):
+    """The stream's verdicts; they are those of the batch."""
+    return _drain(stream.score(message_stream(spark, sf_dir)), spark).select("msg_id", "level", "score", "category")
+
+
+@query()
+def l2_stream_counts(spark, sf_dir):
+    """Hourly counts, as far as the watermark has closed the hours."""
+    return _drain(stream.counts(stream.score(message_stream(spark, sf_dir))), spark)
+
+
+@query(f"{LINKS} SELECT msg_id, host, host IN ({', '.join(sp.q(b) for b in cat.BLOCKED)}) AS blocked FROM links")
+def l3_stream_blocklist(spark, sf_dir):
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    found = links(spark, sf_dir).select("msg_id", "host")
+    found.write.parquet(path)
+    return _drain(stream.mark_blocked(stream.read(spark, path, found.schema), blocked_table(spark)), spark)
