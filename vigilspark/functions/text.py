@@ -102,7 +102,7 @@ def restore(folded: Column) -> Column:
 
     def one(t: Column) -> Column:
         core = F.trim(t, F.lit(MARKS))
-        before = F.substring_index(t, core, 1)
+        before = F.substr(t, F.lit(1), F.position(core, t) - 1)
         after = F.substr(t, F.length(before) + F.length(core) + 1)
         found = F.try_element_at(words, core)
         return F.when((core == "") | found.isNull(), t).otherwise(F.concat(before, found, after))

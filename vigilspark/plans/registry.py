@@ -58,6 +58,11 @@ def scored(spark: SparkSession, sf_dir: str, *columns: str, **more) -> DataFrame
     return materialize(scoring.score(msgs(spark, sf_dir), **more).select("msg_id", "ts", "channel", "text", "label", "template_id", *columns))
 
 
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with the hits that count, written once before they are exploded."""
+    return materialize(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir))))).select("msg_id", "label", "risk"))
+
+
 def join_(c) -> F.Column:
     return F.array_join(c, "|")
 
@@ -245,14 +250,12 @@ def d5_d9_gates_combos(spark, sf_dir):
 
 @query(f"WITH {sp.risk_rows()} SELECT rule_id, count(*) AS n, round(sum(weight), 6) AS weight FROM risk GROUP BY 1")
 def d10_hits_fact(spark, sf_dir):
-    df = scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))
-    return scoring.hits_table(df).groupBy("rule_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+    return scoring.hits_table(gated(spark, sf_dir)).groupBy("rule_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @query(f"WITH {sp.risk_rows()} SELECT rule_id, count(*) FILTER (label = 0) AS false_alarms, count(*) FILTER (label = 2) AS catches, count(*) AS n FROM risk JOIN messages USING (msg_id) GROUP BY 1")
 def d11_attribution(spark, sf_dir):
-    df = scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))
-    return evaluation.attribution(scoring.hits_table(df))
+    return evaluation.attribution(scoring.hits_table(gated(spark, sf_dir)))
 
 
 # -- E: links
@@ -328,8 +331,7 @@ def f1_f6_f11_f12_scores(spark, sf_dir):
 @query(f"WITH {sp.risk_rows()} SELECT msg_id, round(1 - product(1 - weight), 6) AS noisy_or FROM risk GROUP BY 1")
 def f1_grouped_noisy_or(spark, sf_dir):
     """The exploded form of the noisy-or: a grouped product."""
-    df = scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))
-    return scoring.hits_table(df).groupBy("msg_id").agg(F.round(1 - F.product(1 - F.col("weight")), 6).alias("noisy_or"))
+    return scoring.hits_table(gated(spark, sf_dir)).groupBy("msg_id").agg(F.round(1 - F.product(1 - F.col("weight")), 6).alias("noisy_or"))
 
 
 def outside(spark, sf_dir):
