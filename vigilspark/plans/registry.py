@@ -429,7 +429,7 @@ def h1_h3_tfidf(spark, sf_dir):
 
 
 @query(f"""{FOLDED}, w AS (SELECT msg_id, unnest(list_filter(string_split(m, ' '), lambda w: w <> '')) AS w FROM folded), p AS (SELECT msg_id, concat(' ', w, ' ') AS p FROM w)
-SELECT msg_id, sum(CASE WHEN length(p) >= 3 THEN length(p) - 2 ELSE 1 END + CASE WHEN length(p) >= 4 THEN length(p) - 3 ELSE 0 END + CASE WHEN length(p) >= 5 THEN length(p) - 4 ELSE 0 END) AS n FROM p GROUP BY 1""")
+SELECT msg_id, CAST(sum(CASE WHEN length(p) >= 3 THEN length(p) - 2 ELSE 1 END + CASE WHEN length(p) >= 4 THEN length(p) - 3 ELSE 0 END + CASE WHEN length(p) >= 5 THEN length(p) - 4 ELSE 0 END) AS BIGINT) AS n FROM p GROUP BY 1""")
 def h2_char_terms(spark, sf_dir):
     m = msgs(spark, sf_dir).withColumn("m", tx.for_model(F.col("text")))
     return m.select("msg_id", F.size(features.char_terms(F.col("m"))).cast("long").alias("n"))
@@ -568,7 +568,7 @@ def j7_sliced(spark, sf_dir):
     return _r(evaluation.sliced(predicted(spark, sf_dir), "channel"))
 
 
-@query(f"{BLEND}, l AS (SELECT msg_id, label FROM messages), both AS (SELECT 'rules' AS config, label, round(least(1.0, greatest(0.0, CASE WHEN hard THEN greatest(rule_score, 0.85) ELSE rule_score END)), 4) AS s FROM final JOIN l USING (msg_id) UNION ALL SELECT 'rules+external', label, score FROM final JOIN l USING (msg_id)), p AS (SELECT config, label, CASE WHEN s >= 0.58 THEN 2 WHEN s >= 0.26 THEN 1 ELSE 0 END AS pred FROM both) SELECT config, {THREE} FROM p GROUP BY config")
+@query(f"{BLEND}, l AS (SELECT msg_id, label FROM messages), pair AS (SELECT 'rules' AS config, label, round(least(1.0, greatest(0.0, CASE WHEN hard THEN greatest(rule_score, 0.85) ELSE rule_score END)), 4) AS s FROM final JOIN l USING (msg_id) UNION ALL SELECT 'rules+external', label, score FROM final JOIN l USING (msg_id)), p AS (SELECT config, label, CASE WHEN s >= 0.58 THEN 2 WHEN s >= 0.26 THEN 1 ELSE 0 END AS pred FROM pair) SELECT config, {THREE} FROM p GROUP BY config")
 def j8_ablation(spark, sf_dir):
     """One scan; two blends as columns, then as rows."""
     m = msgs(spark, sf_dir).join(outside(spark, sf_dir), "msg_id", "left")

@@ -18,7 +18,7 @@ def score(messages: DataFrame) -> DataFrame:
 
 
 def counts(scored: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    return scored.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "channel", "level").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "channel", "level", "n")
+    return scored.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "channel", "level").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "channel", "level", "n")
 
 
 def mark_blocked(links: DataFrame, blocked: DataFrame) -> DataFrame:
