@@ -58,12 +58,12 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def link(df: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Rows of (_row, start, rank, kind, end, part, strong): a weak one stays where another part lies within `scope`, so that an identifier or an endpoint meets a secret. Spans of the same text, as when a weak pattern sees a strong match again, aren't complementary."""
+    """Rows of (_row, start, rank, kind, end, part, strong) with `stays`: a weak one does where another part lies within `scope`, so that an identifier or an endpoint meets a secret. Spans of the same text, as when a weak pattern sees a strong match again, aren't complementary."""
     near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
     has = {p: F.max(F.when(F.col("part") == p, 1).otherwise(0)).over(near) for p in PARTS}
     df = df.select("*", *[x.alias(f"_near_{p}") for p, x in has.items()])
     complementary = F.when(F.col("part") == "secret", (F.col("_near_id") == 1) | (F.col("_near_endpoint") == 1)).otherwise(F.col("_near_secret") == 1)
-    return df.where(F.col("strong") | complementary | F.col("start").isNull()).drop(*[f"_near_{p}" for p in PARTS])
+    return df.withColumn("stays", F.col("strong") | complementary).drop(*[f"_near_{p}" for p in PARTS])
 
 
 def detect(docs: DataFrame, scope: int = SCOPE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -79,8 +79,8 @@ def detect(docs: DataFrame, scope: int = SCOPE, carry: tuple[str, ...] = ("doc_i
     df = df.withColumn("_row", F.when(weak & mixed, row)).withColumn("found", F.when(weak & ~mixed, F.filter("found", lambda s: s["strong"])).otherwise(F.col("found")))
     df = common.materialize(df)  # small, and read twice: texts are scanned once
     simple = df.where(F.col("_row").isNull()).select(*cols, "found")
-    linked = link(df.where(F.col("_row").isNotNull()).select("_row", F.explode_outer("found").alias("s")).select("_row", "s.*"), scope)
-    back = linked.groupBy("_row").agg(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "rank", "kind", "end", "part", "strong"))).alias("found"))
+    linked = link(df.where(F.col("_row").isNotNull()).select("_row", F.explode("found").alias("s")).select("_row", "s.*"), scope)
+    back = linked.groupBy("_row").agg(F.collect_list(F.when(F.col("stays"), F.struct("start", "rank", "kind", "end", "part", "strong"))).alias("found"))
     return simple.unionByName(back.select("_row.*", "found").drop("_n"))
 
 
