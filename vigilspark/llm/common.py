@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,9 +42,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def rows_of(batch, *columns: str) -> Iterator:
+    """The values of an Arrow batch, a few hundred rows at a time, so that a batch of long texts isn't held twice."""
+    for k in range(0, batch.num_rows, 256):
+        part = [batch[c].slice(k, 256).to_pylist() for c in columns]
+        yield from part[0] if len(part) == 1 else zip(*part, strict=True)
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def keep_types(df: DataFrame, **types: str) -> DataFrame:
-    return df.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once inside an expression: the optimizer would put it into every turn of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
