@@ -2,8 +2,10 @@
 
 Documents with equal shingle sets are one set. Candidates come from an exact filter: sets of about one size class are cut into
 parts by ranges of the shingle hash, one part more than two similar sets of the class can differ in shingles, so two
-similar sets have an equal part. (A part may be empty; some spare parts make up for those, and a set with more empty parts
-than spare ones also offers these as keys.) Sets that can be similar to larger ones offer keys in the next class too.
+similar sets have an equal part. A part may be poor: empty, or all of its shingles frequent (in a share of HOT of all
+documents; at most mean set size / HOT shingles, so they are broadcast). Spare parts make up for poor ones; only a set with more poor parts than
+spare ones also offers these as keys. Both of two similar sets whose equal parts are all poor are such sets, so
+the filter stays exact, while a passage that many documents share makes no candidates by itself. Sets that can be similar to larger ones offer keys in the next class too.
 Equal keys are first joined within a task, then by ranges of the key, so a key has as many rows as there are tasks at most. Chains of equal
 keys give clusters of candidates, which are then compared whole:
 
@@ -40,6 +42,7 @@ FLUSH = 3_000_000  # keys that a task joins by itself before it hands them on; r
 MAX_WORDS = 400_000  # word hashes that a Python worker remembers; results don't depend on it
 TILE = 150_000  # shingles of one side of a tile
 FAN = 16
+HOT = 5e-4
 
 
 class Shingler:
@@ -91,11 +94,12 @@ def classes(percent: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set: a hash for each part of its own class, and of the next if a similar set can be there."""
+def keys(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
+    """The keys of a set: a hash for each part of its own class, and of the next if a similar set can be there. hot: sorted frequent shingles."""
     table = classes(percent)
     own = next(k for k, (top, _, _) in enumerate(table) if len(s) <= top)
     out, mixed = [], mix(s)
+    rare = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s if len(hot) else np.ones(len(s), dtype=bool)
     for k in (own, own + 1):
         if k > own and len(s) * 100 < percent * (table[own][0] + 1):
             break
@@ -103,10 +107,13 @@ def keys(s: np.ndarray, percent: int) -> np.ndarray:
         part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
         salt = np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
-        out.append(mix(np.add.reduceat(mixed, starts) ^ mix(part[starts] + salt)))
-        if parts - len(starts) > spare:
+        found = mix(np.add.reduceat(mixed, starts) ^ mix(part[starts] + salt))
+        rich = np.add.reduceat(rare.astype(np.int64), starts) > 0
+        if parts - int(rich.sum()) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-            out.append(mix(mix(empty + salt) + np.uint64(1)))
+            out += [found, mix(mix(empty + salt) + np.uint64(1))]
+        else:
+            out.append(found[rich])
     return np.concatenate(out)
 
 
@@ -125,7 +132,7 @@ def stars(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 CHUNK = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("links", pa.binary())])
 
 
-def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int) -> DataFrame:
+def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot) -> DataFrame:
     """(a, b): links along which candidates are connected."""
 
     def emit(key: list[np.ndarray], sid: list[np.ndarray]) -> pa.RecordBatch:
@@ -139,11 +146,11 @@ def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int) -> Da
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, key, sid, total = Shingler(size), [], [], 0
         for batch in batches:
-            for text in batch["text"].to_pylist():
+            for text in common.rows_of(batch, "text"):
                 s = shingles(text)
                 if not len(s):
                     continue
-                key.append(keys(s, percent))
+                key.append(keys(s, percent, hot.value))
                 sid.append(np.full(len(key[-1]), set_id(s), dtype=np.int64))
                 total += len(key[-1])
                 if total > FLUSH:
@@ -162,15 +169,31 @@ def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int) -> Da
 
 
 def members(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, sid (null for the empty set)."""
+    """doc_id, n_shingles, sid (null for the empty set) of every row; and, with `often`, shingles that a task has met often, with their number in n_shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("often", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(size)
+        shingles, held, n_held, n_docs = Shingler(size), [], 0, 0
+
+        def often() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+            good = n >= max(3, HOT * n_docs)
+            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(int(good.sum()), pa.int64()), "n_shingles": n[good], "sid": values[good].view(np.int64), "often": np.ones(int(good.sum()), dtype=bool)}, schema=schema)
+
         for b in batches:
-            sets = [shingles(t) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "sid": [set_id(s) if len(s) else None for s in sets]}, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64())]))
+            sets = []
+            for t in common.rows_of(b, "text"):
+                s = shingles(t)
+                sets.append((len(s), set_id(s) if len(s) else None))
+                held.append(s)
+                n_held, n_docs = n_held + len(s), n_docs + 1
+                if n_held > FLUSH:
+                    yield often()
+                    held, n_held, n_docs = [], 0, 0
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_shingles": [s[0] for s in sets], "sid": [s[1] for s in sets], "often": [False] * len(sets)}, schema=schema)
+        yield often()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, often boolean")
 
 
 def similar(common_: int, a: int, b: int, percent: int) -> bool:
@@ -285,17 +308,20 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFram
     docs = docs.select("doc_id", "text")
     with_id = docs.where(F.col("doc_id").isNotNull())
     ranges = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = common.materialize(members(docs, size))
+    both = common.materialize(members(docs, size))
+    rows = both.where(~F.col("often")).drop("often")
+    frequent = both.where("often").groupBy("sid").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= F.lit(max(3.0, HOT * rows.count())))
+    hot = spark.sparkContext.broadcast(np.sort(frequent.select("sid").toArrow()["sid"].to_numpy().view(np.uint64)))
     least = rows.where(F.col("sid").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     least = common.materialize(least)
-    clusters = components(candidate_links(with_id, percent, size, ranges))
+    clusters = components(candidate_links(with_id, percent, size, ranges, hot))
     chosen = least.join(clusters, least["sid"] == clusters["node"]).select("doc_id", "sid", F.col("component").alias("cluster"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         schema = pa.schema([("cluster", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
         for b in batches:
-            out = [(c, d, s) for c, d, t in zip(b["cluster"].to_pylist(), b["sid"].to_pylist(), b["text"].to_pylist(), strict=True) if len(s := shingles(t)) and set_id(s) == d]
+            out = [(c, d, s) for c, d, t in common.rows_of(b, "cluster", "sid", "text") if len(s := shingles(t)) and set_id(s) == d]
             yield pa.RecordBatch.from_pydict({"cluster": [r[0] for r in out], "sid": [r[1] for r in out], "n": [len(r[2]) for r in out], "shingles": [r[2].tobytes() for r in out]}, schema=schema)
 
     sets = with_id.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id").select("cluster", "sid", "text").mapInArrow(load, "cluster long, sid long, n long, shingles binary")
