@@ -256,3 +256,9 @@ def test_queries_are_registered():
     from vigilspark.llm import queries
 
     assert sorted(re.match(r"op(\d+)_", k)[1] for k in queries.queries()) == sorted(map(str, range(1, 11))) and json.dumps(sorted(queries.oracle_sql()))
+
+
+def test_toxicity_without_any_significant_word(spark):
+    docs = spark.createDataFrame([(k, f"w{k} common") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(40)], "doc_id long, toxic int")
+    assert toxicity.report(docs, labels).where("score between 0 and 1").count() == 40

@@ -96,9 +96,11 @@ def weigh(counts: list[tuple[str, int, int]], prior: float, z: float, gap: float
         return Model(gap=gap)
     weights, share = {}, {}
     for w, c, t in counts:
+        if w is None:  # all other words
+            continue
         a = prior * (c + t) / (clean + toxic)
         odds = math.log((t + a) / (toxic + prior - t - a)) - math.log((c + a) / (clean + prior - c - a))
-        if w is not None and deviation(c, t, toxic / (clean + toxic)) >= z:
+        if deviation(c, t, toxic / (clean + toxic)) >= z:
             weights[w], share[w] = odds, (c + a) / (clean + prior)
     rest = 1 - sum(share.values())
     moment = lambda x: sum(p * math.exp(min(600.0, x * weights[w])) for w, p in share.items()) + rest * math.exp(-gap * x) - 1
