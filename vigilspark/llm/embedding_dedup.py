@@ -73,10 +73,10 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, block: int = 1024) -> Dat
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     biggest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scaled = F.transform("v", lambda x: x / biggest)  # squares neither overflow nor vanish
-    rows = rows.withColumn("v", F.when(fine & (F.size("v") > 0) & (biggest > 0), scaled))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.withColumn("_length", length).withColumn("v", F.transform("v", lambda x: x / F.col("_length"))).drop("_length")
+    scaled = common.let(biggest, lambda b: F.when(b > 0, F.transform("v", lambda x: x / b)))  # squares neither overflow nor vanish
+    length = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, x: a + x * x))
+    unit = common.let(scaled, lambda u: common.let(length(u), lambda n: F.transform(u, lambda x: x / n)))
+    rows = rows.withColumn("v", F.when(fine & (F.size("v") > 0), unit))
     good = rows.where(F.col("v").isNotNull())
     # key: the vector itself, so that equal ones are one
     reps = common.materialize(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("label", "v")))
