@@ -1,15 +1,16 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-Symbols are the tokens; a state is a context of up to `depth` tokens (a mark stands before the first). A context is a
-candidate when its tokens and its continuations have a share of at least `least` of all tokens; it stays if
-share * KL(next symbol after it || next symbol after its suffix) is at least `gain`. So there are at most 1 / least
-contexts of a length and as many listed continuations, at any size of the corpus: the collected model is bounded.
-Next-symbol distributions are smoothed: listed continuations are discounted, and what that and the rare ones leave is
-shared out by the next shorter kept context, down to the base distribution. The longest kept suffix scores each token.
-
-All counts cover all training rows, and are made level by level (a longer context is counted only if its parts are listed),
-counted within tasks first and then by one shuffle each. Words with a share of `least` are looked up by broadcast; for the others
-the count is joined by word, and the model's part of their score is a factor on the base distribution.
+Symbols are the tokens; a state is a context of up to `depth` tokens (a mark stands before the first). A run of tokens is listed
+when it occurs at least `least` times in training, whatever the size of the corpus; a context is a state if
+uses * KL(next symbol after it || next symbol after its suffix) is at least `gain` nats. Next-symbol distributions are smoothed: listed continuations
+are discounted, and what that and the others leave is shared out by the next shorter kept context, down to the base
+distribution. The longest kept suffix scores each token.
+
+The tree is a table that grows with the corpus; none of it is collected or broadcast. Runs are 64-bit hashes (word hashes, turned and
+joined by exclusive or), so depth has no bound by code size. A token's adjustment is a sum over the runs that end there: a kept context
+adds what it gives unlisted tokens, a listed continuation the difference to that and to the shorter contexts. So texts
+meet the tree in one join on hashes: tasks sort and merge the runs of about CHUNK tokens and send them, packed, to
+ranges of hashes; sums by document come back. All counts cover all training rows.
 
 Null text: empty, just the end token. Repeated rows are scored each, and count each in training. Without training rows
 N and V are 0 and every score is 0.
@@ -18,21 +19,24 @@ N and V are 0 and every score is 0.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, LEAST, GAIN, DISCOUNT = 2, 2e-6, 1e-6, 0.5
-FLUSH = 250_000  # distinct words that a task counts before it hands them on; results don't depend on it
-RARE = -1  # number of any word that is not listed
+DEPTH, LEAST, GAIN, DISCOUNT = 2, 2, 1.0, 0.5
+CHUNK, RANGE = 1_000_000, 3_000_000  # tokens that a task packs together, and that a range of hashes takes; results don't depend on them
+MEMO = 400_000  # word hashes that a Python worker remembers
+TURN = 21
+START, END = (xxhash.xxh3_64_intdigest(b"\n" + w) for w in (b"start", b"end"))  # no word has a line break
+
+PACKED = "level int, part int, chunk long, runs binary, contexts binary, times binary, places binary"
+SUMS = "chunk long, level int, places binary, base binary, known binary, value binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -40,92 +44,212 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def key(word: bytes) -> int:
-    """A signed 64-bit hash by which counts are joined."""
-    h = xxhash.xxh3_64_intdigest(word)
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    return (x << np.uint64(TURN)) | (x >> np.uint64(64 - TURN))
+
+
+def turn(x: Column) -> Column:
+    return F.shiftleft(x, TURN).bitwiseOR(F.shiftrightunsigned(x, 64 - TURN))
+
+
+def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary), n, over whole texts; each text also counts one end token (null)."""
+def part(run: Column, parts: int) -> Column:
+    """The range of hashes, as in packed()."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(run, 32) * F.lit(parts).cast("long"), 32).cast("int")
+
+
+def packed(docs: DataFrame, depth: int, parts: int, score: bool) -> DataFrame:
+    """Runs of 1 to depth + 1 tokens, sorted and merged, by level (their length) and range of hashes.
+
+    To count: contexts and times (uses) of each run. To score: times, and the places in the chunk of the documents that use
+    it; level 0 has the ids, their nulls, held-out flags and tokens of the chunk's documents.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Hashes()
+        schema = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("runs", "contexts", "times", "places")]])
+        none, held, heads, size = b"", [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            lengths = np.array([len(x) for x in held])
+            a, place = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), lengths)
+            inside = np.arange(len(a)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            chunk = heads[0][0]
+            if score:
+                ids = np.array([h[1] or 0 for h in heads], dtype=np.int64)
+                nulls, flags = np.array([h[1] is None for h in heads]), np.array([h[2] for h in heads], dtype=bool)
+                yield pa.RecordBatch.from_pylist([{"level": 0, "part": chunk % parts, "chunk": chunk, "runs": ids.tobytes(), "contexts": nulls.tobytes(), "times": flags.tobytes(), "places": (lengths - 1).astype(np.int64).tobytes()}], schema=schema)
+            run = np.zeros(len(a), dtype=np.uint64)
+            for level in range(1, depth + 2):
+                context = np.concatenate([np.zeros(1, dtype=np.uint64), run[:-1]]) if level > 1 else run
+                run = turned(context) ^ a
+                good = inside >= level - 1
+                own = run[good]
+                order = np.argsort(own, kind="stable")
+                own = own[order]
+                if not len(own):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                times = np.diff(np.append(first, len(own))).astype(np.int32)
+                kinds = own[first]
+                cut = np.searchsorted((kinds >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+                ends = np.append(first, len(own))
+                more = place[good][order] if score else context[good][order][first]
+                rows = [
+                    {"level": level, "part": k, "chunk": chunk, "runs": kinds[i:j].tobytes(), "contexts": none if score else more[i:j].tobytes(), "times": times[i:j].tobytes(), "places": more[ends[i] : ends[j]].tobytes() if score else none}
+                    for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))
+                    if j > i
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ends = Counter(), 0
-        schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
         for b in batches:
-            for t in common.rows_of(b, "text"):
-                seen.update(words(t))
-                ends += 1
-                if len(seen) > FLUSH:
-                    yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, schema=schema)
-                    seen = Counter()
-        yield pa.RecordBatch.from_pydict({"word": [*seen, None], "n": [*seen.values(), ends]}, schema=schema)
+            for uid, doc_id, held_out, text in common.rows_of(b, "uid", "doc_id", "held_out", "text"):
+                own = words(text)
+                x = np.empty(len(own) + 2, dtype=np.uint64)
+                x[0], x[-1] = START, END
+                x[1:-1] = np.fromiter(map(memo.__getitem__, own), dtype=np.uint64, count=len(own))
+                held.append(x)
+                heads.append((uid, doc_id, held_out))
+                size += len(x)
+                if size > CHUNK:
+                    yield from out()
+                    held, heads, size = [], [], 0
+        if held:
+            yield from out()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "held_out", "text").mapInArrow(pack, PACKED)
 
 
-def numbers(text: str | None, listed: dict[bytes | None, int], start: int) -> list[int]:
-    """The numbers of a text's tokens, after the start mark and with the end token."""
-    get = listed.get
-    return [start, *[get(w, RARE) for w in words(text)], get(None, RARE)]
+def joined(column, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *[np.frombuffer(x, dtype=kind) for x in column.to_pylist()]])
 
 
-def runs(docs: DataFrame, shared, size: int) -> DataFrame:
-    """code, n: runs of `size` listed tokens whose first and last size - 1 tokens are listed runs; code writes the numbers in base `base`."""
+def counted(packs: DataFrame, least: int) -> DataFrame:
+    """level, run, context, n of all words and of the longer runs with at least `least` uses."""
+    schema = pa.schema([("level", pa.int32()), ("run", pa.int64()), ("context", pa.int64()), ("n", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, start, base, parts = shared.value
-        schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
-        held, total = [], 0
+    def count(key: tuple, t: pa.Table) -> pa.Table:
+        level = key[0].as_py()
+        run, times = joined(t["runs"], np.uint64), joined(t["times"], np.int32)
+        order = np.argsort(run)
+        run = run[order]
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        n = np.add.reduceat(times[order].astype(np.int64), first)
+        good = n >= (1 if level == 1 else least)
+        context = joined(t["contexts"], np.uint64)[order[first[good]]]
+        return pa.table({"level": np.full(int(good.sum()), level, dtype=np.int32), "run": run[first[good]].view(np.int64), "context": context.view(np.int64), "n": n[good]}, schema=schema)
 
-        def merged() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(held or [np.zeros(0, dtype=np.int64)]), return_counts=True)
-            return pa.RecordBatch.from_pydict({"code": codes, "n": n}, schema=schema)
+    return packs.groupBy("level", "part").applyInArrow(count, "level int, run long, context long, n long")
 
-        for b in batches:
-            for t in common.rows_of(b, "text"):
-                ids = np.array(numbers(t, listed, start), dtype=np.int64)
-                n = len(ids) - size + 1
-                if n < 1:
-                    continue
-                code, good = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-                for k in range(size):
-                    code = code * base + ids[k : k + n]
-                    good &= ids[k : k + n] != RARE
-                code = code[good]
-                if parts is not None and len(code):
-                    inside = lambda c: parts[np.minimum(np.searchsorted(parts, c), len(parts) - 1)] == c
-                    code = code[inside(code // base) & inside(code % base ** (size - 1))] if len(parts) else code[:0]
-                held.append(code)
-                total += len(code)
-                if total > 1_500_000:
-                    yield merged()
-                    held, total = [], 0
-        yield merged()
-
-    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def kept(rows: DataFrame, above: DataFrame, totals: DataFrame, base: int, size: int, n_all: int, gain: float) -> DataFrame:
-    """context, symbol, n, total of the contexts of size - 1 tokens that pass the divergence test.
-
-    rows: listed runs of `size` tokens; above: the same of size - 1 tokens, as (suffix, symbol, p); totals: (context, total).
-    What isn't listed after the context is one more event; after the suffix it has the rest of the probability.
+
+def tree(counts: DataFrame, depth: int, n_all: int, n_kinds: int, gain: float) -> DataFrame:
+    """level, run, base, known, value: what each use of a run adds to a document's sums; a run may have several rows.
+
+    Of a listed run: p, its probability after its context by plain counts; prob, the base probability of its last token;
+    a, the adjustment (log10 of the probability over the base) of that token after the context.
     """
-    t = rows.select(F.expr(f"code div {base}").alias("context"), F.expr(f"code % {base}").alias("symbol"), "n").join(totals, "context")
-    t = t.withColumn("suffix", F.expr(f"context % {base ** (size - 2)}") if size > 2 else F.lit(0).cast("long"))
-    t = t.join(above, ["suffix", "symbol"], "left").withColumn("q", F.coalesce(F.col("p"), F.lit(1.0 / max(1, n_all)))).withColumn("own", F.col("n") / F.col("total"))
-    sums = t.groupBy("context").agg(F.max("total").alias("total"), F.sum(F.col("own") * F.log(F.col("own") / F.col("q"))).alias("kl"), F.sum("own").alias("listed"), F.sum("q").alias("above"))
-    rest = F.greatest(1 - F.col("listed"), F.lit(0.0))
-    kl = F.col("kl") + F.when(rest > 0, rest * F.log(rest / F.greatest(1 - F.col("above"), F.lit(1e-9)))).otherwise(0.0)
-    return t.join(sums.where(kl * F.col("total") / max(1, n_all) >= gain).select("context"), "context").select("context", "symbol", "n", "total")
+    zero = F.lit(0.0)
+    word = counts.where("level = 1")
+    values = [word.where(F.col("run") != signed(START)).select(F.lit(1).alias("level"), "run", F.log10(F.col("n") + 1).alias("base"), F.lit(1).cast("long").alias("known"), zero.alias("value"))]
+    prob = (F.col("n") + 1) / F.lit(float(n_all + n_kinds + 1))
+    above = word.where("n > 1").select("run", F.lit(0).cast("long").alias("suffix"), "n", prob.alias("p"), prob.alias("prob"), zero.alias("a"))
+    for level in range(2, depth + 2):
+        t = counts.where(F.col("level") == level).select("run", "context", "n").join(above.select(F.col("run").alias("context"), F.col("n").alias("total"), F.col("suffix").alias("shorter")), "context")
+        t = t.withColumn("suffix", turn(F.col("shorter")).bitwiseXOR(F.col("run").bitwiseXOR(turn(F.col("context")))))  # the run without its first token
+        t = t.join(above.select(F.col("run").alias("suffix"), F.col("p").alias("q"), "prob", F.col("a").alias("below")), "suffix")
+        t = common.materialize(t.select("run", "context", "suffix", "n", "total", "q", "prob", "below"))
+        own, p = F.col("n") / F.col("total"), (F.col("n") - DISCOUNT) / F.col("total")
+        sums = t.groupBy("context").agg(F.max("total").alias("total"), F.sum(own * F.log(own / F.col("q"))).alias("kl"), F.sum(own).alias("listed"), F.sum("q").alias("above"), F.sum(p).alias("p"), F.sum(F.col("prob") * F.pow(F.lit(10.0), F.col("below"))).alias("b"))
+        rest = F.greatest(1 - F.col("listed"), zero)  # what isn't listed after the context is one more event
+        kl = F.col("kl") + F.when(rest > 0, rest * F.log(rest / F.greatest(1 - F.col("above"), F.lit(1e-9)))).otherwise(0.0)
+        least = F.lit(1e-12)
+        kept = common.materialize(sums.where(kl * F.col("total") >= gain).select("context", F.log10(F.greatest(least, 1 - F.col("p")) / F.greatest(least, 1 - F.col("b"))).alias("others")))
+        t = t.join(kept, "context", "left").withColumn("x", F.log10(p / F.col("prob")))
+        known = F.lit(0).cast("long").alias("known")
+        values.append(kept.select(F.lit(level - 1).alias("level"), F.col("context").alias("run"), zero.alias("base"), known, F.col("others").alias("value")))
+        if level <= depth:
+            t = common.materialize(t)
+            above = t.select("run", "suffix", "n", own.alias("p"), "prob", F.when(F.col("others").isNotNull(), F.col("x")).otherwise(F.col("below")).alias("a"))
+        values.append(t.where(F.col("others").isNotNull()).select(F.lit(level).alias("level"), "run", zero.alias("base"), known, (F.col("x") - F.col("others") - F.col("below")).alias("value")))
+    out = values[0]
+    for v in values[1:]:
+        out = out.unionByName(v)
+    return out
+
+
+def report(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> DataFrame:
+    spark = docs.sparkSession
+    common.ship(spark)
+    docs = docs.select("doc_id", "text", (common.fold(F.col("doc_id"), 7) == 2).alias("held_out"))
+    chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = 1 + chars // 6 // RANGE
+    counts = common.materialize(counted(packed(docs.where(~F.col("held_out")), depth, parts, False), max(2, least)))
+    sums = counts.where((F.col("level") == 1) & (F.col("run") != signed(START))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n_all, n_kinds = sums["n"], sums["v"]
+    per_token = math.log10(n_all + 1 * (n_kinds + 1))
+    values = tree(counts, depth, n_all, n_kinds, gain).withColumn("part", part(F.col("run"), parts))
+    schema = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), *[(c, pa.binary()) for c in ("places", "base", "known", "value")]])
+
+    def look_up(key: tuple, t: pa.Table, v: pa.Table) -> pa.Table:
+        """Sums by document of what the runs of a range add; the chunks' heads go through."""
+        level, rows = key[0].as_py(), []
+        if level and v.num_rows:
+            run = v["run"].to_numpy().view(np.uint64)
+            order = np.argsort(run)
+            run = run[order]
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            run = run[first]
+            adds = {c: np.add.reduceat(v[c].to_numpy()[order].astype(np.float64), first) for c in (("base", "known", "value") if level == 1 else ("value",))}
+        for k in range(t.num_rows):
+            r = {c: t[c][k].as_py() for c in t.column_names}
+            if not level:
+                rows.append({"chunk": r["chunk"], "level": 0, "places": r["runs"], "base": r["contexts"], "known": r["times"], "value": r["places"]})
+            elif v.num_rows:
+                asked = np.frombuffer(r["runs"], dtype=np.uint64)
+                at = np.minimum(np.searchsorted(run, asked), len(run) - 1)
+                found, times = run[at] == asked, np.frombuffer(r["times"], dtype=np.int32)
+                places = np.frombuffer(r["places"], dtype=np.int32)[np.repeat(found, times)]
+                if len(places):
+                    uses = np.bincount(places)
+                    hit = np.flatnonzero(uses)
+                    sums = {c: np.bincount(places, weights=np.repeat(x[at[found]], times[found]))[hit].tobytes() for c, x in adds.items()}
+                    rows.append({"chunk": r["chunk"], "level": level, "places": hit.astype(np.int32).tobytes(), **sums})
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    def add(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        head = next(r for r in rows if r["level"] == 0)
+        ids, nulls, held_out, tokens = (np.frombuffer(head[c], dtype=k) for c, k in (("places", np.int64), ("base", bool), ("known", bool), ("value", np.int64)))
+        total = {c: np.zeros(len(ids)) for c in ("base", "known", "value")}
+        for r in sorted((r for r in rows if r["level"]), key=lambda r: (r["level"], r["places"], r["value"])):
+            for c in total:
+                if r[c]:
+                    total[c][np.frombuffer(r["places"], dtype=np.int32)] += np.frombuffer(r[c], dtype=np.float64)
+        base = total["base"] - tokens * per_token
+        known = np.rint(total["known"]).astype(np.int64)
+        return pa.table([pa.array(ids, mask=nulls), pa.array(held_out), pa.array(tokens), pa.array(known), pa.array(np.full(len(ids), n_all, dtype=np.int64)), pa.array(base), pa.array(base + total["value"])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    asked = packed(docs, depth, parts, True)
+    found = asked.groupBy("level", "part").cogroup(values.groupBy("level", "part")).applyInArrow(look_up, SUMS)
+    return found.groupBy("chunk").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 class Tree:
-    """The kept states in a task. An adjustment is log10 of a token's probability over its base probability."""
+    """The tree in memory, for small tables: what report() sums up by joins. An adjustment is log10 of a token's probability over its base probability."""
 
     def __init__(self, levels: list[dict[int, tuple[float, dict[int, int]]]], base: int, prob: dict[int, float]):
-        self.base, self.prob, self.memo = base, prob, {}
+        self.base, self.prob = base, prob
         self.levels: list[dict[int, tuple[float, dict[int, float]]]] = []  # by length: context -> (adjustment of others, of listed ones)
         for size, contexts in enumerate(levels, 1):
             out = {}
@@ -150,139 +274,3 @@ class Tree:
             size -= 1
             context = context % self.base**size if size else None
         return total
-
-    def texts(self, docs: list[list[int]]) -> np.ndarray:
-        """For each text (start mark first) the sum of the adjustments of its tokens. A token with the listed tokens before it, as far as they reach, is one number; equal ones are looked up once."""
-        a, starts = np.fromiter(chain.from_iterable(docs), dtype=np.int64), np.cumsum([0, *map(len, docs)])[:-1]
-        total, base, depth = np.zeros(len(a)), self.base, len(self.levels)
-        if not depth:
-            return total[starts]
-        place = np.arange(len(a)) - np.repeat(starts, np.diff([*starts, len(a)]))
-        context, code, good = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64), np.ones(len(a), dtype=bool)
-        for size in range(1, depth + 1):
-            before = np.concatenate([np.full(size, RARE), a[:-size]]) if size < len(a) else np.full(len(a), RARE)
-            good = good & (place >= size) & (before != RARE)
-            context = np.where(good, before * base ** (size - 1) + context, context)
-            code = np.where(good, (context * (base + 1) + a + 1) * 4 + size, code)
-        used = code > 0
-        kinds, at = np.unique(code[used], return_inverse=True)
-        memo, values = self.memo, np.empty(len(kinds))
-        for n, k in enumerate(kinds.tolist()):
-            x = memo.get(k)
-            if x is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                context_, w = divmod(k >> 2, base + 1)
-                x = memo[k] = self.adjust(context_, k & 3, w - 1)
-            values[n] = x
-        total[used] = values[at]
-        return np.add.reduceat(total, starts)
-
-
-def report(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN) -> DataFrame:
-    spark = docs.sparkSession
-    common.ship(spark)
-    docs = docs.select("doc_id", "text", (common.fold(F.col("doc_id"), 7) == 2).alias("held_out"))
-    training = docs.where(~F.col("held_out"))
-    counts = common.materialize(word_counts(training))
-    sums = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_all, n_kinds = sums["n"], sums["v"]
-    enough = max(1.0, least * n_all)
-    often = {r["word"] if r["word"] is None else bytes(r["word"]): r["n"] for r in counts.where((F.col("n") > 0) & (F.col("word").isNull() | (F.col("n") >= enough))).collect()}  # at most 1 / least words
-    listed = {w: k for k, w in enumerate(sorted(often, key=lambda w: (w is not None, w or b"")))}
-    start, base = len(listed), len(listed) + 1
-    prob = {k: (often[w] + 1) / (n_all + n_kinds + 1) for w, k in listed.items()}
-    depth = min(depth, 3, int(60 / max(1.0, math.log2(base + 1))) - 1)  # codes have 63 bits
-    n_docs = often.get(None, 0)
-    unigrams = [(listed[w], float(n)) for w, n in often.items()] + [(start, float(n_docs))]
-    totals = spark.createDataFrame(unigrams, "context long, total double")
-    above = spark.createDataFrame([(0, k, p) for k, p in prob.items()] or [(0, 0, 1.0)], "suffix long, symbol long, p double")
-    levels, parts = [], None
-    for size in range(2, depth + 2) if n_all else ():
-        shared = spark.sparkContext.broadcast((listed, start, base, parts))
-        rows = common.materialize(runs(training, shared, size).where(F.col("n") >= F.lit(max(2.0, enough))))
-        found: dict[int, tuple[float, dict[int, int]]] = {}
-        for r in kept(rows, above, totals, base, size, n_all, gain).toArrow().to_pylist():
-            found.setdefault(r["context"], (r["total"], {}))[1][r["symbol"]] = r["n"]
-        levels.append(found)
-        parts = np.sort(rows.select("code").toArrow()["code"].to_numpy())
-        above = rows.select(F.expr(f"code div {base}").alias("context"), F.expr(f"code % {base}").alias("symbol"), "n").join(totals, "context").select(F.col("context").alias("suffix"), "symbol", (F.col("n") / F.col("total")).alias("p"))
-        totals = rows.select(F.col("code").alias("context"), F.col("n").cast("double").alias("total"))
-    shared = spark.sparkContext.broadcast((often, listed, start, base, levels, prob))
-    per_token = math.log10(n_all + 1 * (n_kinds + 1))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, listed, start, base, levels, prob = shared.value
-        tree = Tree(levels, base, prob)
-        logs = {w: math.log10(c + 1) for w, c in often.items() if w is not None}
-        end_base, end_known = math.log10(often.get(None, 0) + 1), int(None in often)
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.int64()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-        digest = xxhash.xxh3_64_intdigest
-
-        def out(heads: list[tuple], sizes: list[int], keys: list[int], times: list[int]) -> Iterator[pa.RecordBatch]:
-            """A row for each document, whose key only spreads such rows, and one for each of its rare words."""
-            if not heads:
-                return
-            yield pa.RecordBatch.from_pydict({f.name: [h[n] for h in heads] for n, f in enumerate(schema)}, schema=schema)
-            n = len(keys)
-            none, zero = pa.nulls(n), pa.array(np.zeros(n, dtype=np.int64))
-            values = [np.repeat(np.array([h[0] for h in heads], dtype=np.int64), sizes), none.cast(pa.int64()), none.cast(pa.bool_()), np.array(keys, dtype=np.uint64).view(np.int64), np.array(times, dtype=np.int64), zero, zero, zero.cast(pa.float64()), zero.cast(pa.float64())]
-            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], schema=schema)
-
-        def scored(b: pa.RecordBatch) -> Iterator[tuple]:
-            """(uid, doc_id, held_out, words, score), many texts at a time."""
-            held, size, get = [], 0, listed.get
-            for uid, doc_id, held_out, text in common.rows_of(b, "uid", "doc_id", "held_out", "text"):
-                own = words(text)
-                held.append((uid, doc_id, held_out, own))
-                size += len(own)
-                if size > 100_000:
-                    yield from zip(held, tree.texts([[start, *[get(w, RARE) for w in h[3]], get(None, RARE)] for h in held]).tolist(), strict=True)
-                    held, size = [], 0
-            if held:
-                yield from zip(held, tree.texts([[start, *[get(w, RARE) for w in h[3]], get(None, RARE)] for h in held]).tolist(), strict=True)
-
-        heads, sizes, keys, times = [], [], [], []
-        for b in batches:
-            for (uid, doc_id, held_out, tokens), score in scored(b):
-                own, total, known = Counter(tokens), end_base, end_known
-                rare, n_tokens = 0, 1
-                for w, n in own.items():
-                    x = logs.get(w)
-                    n_tokens += n
-                    if x is None:
-                        keys.append(digest(w))
-                        times.append(n)
-                        rare += 1
-                    else:
-                        total += n * x
-                        known += n
-                heads.append((uid, doc_id, held_out, key(uid.to_bytes(8, "little", signed=True)), 0, n_tokens, known, total, score))
-                sizes.append(rare)
-                if len(keys) > 100_000:
-                    yield from out(heads, sizes, keys, times)
-                    heads, sizes, keys, times = [], [], [], []
-        yield from out(heads, sizes, keys, times)
-
-    measured = docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(measure, "uid long, doc_id long, held_out boolean, key long, times long, n_tokens long, n_known long, base double, score double")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"key": [key(w) for w in b["word"].to_pylist()], "c": b["n"]}, schema=pa.schema([("key", pa.int64()), ("c", pa.int64())]))
-
-    rare = counts.where(F.col("word").isNotNull() & (F.col("n") > 0) & (F.col("n") < F.lit(max(1.0, least * n_all)))).select("word", "n").mapInArrow(keyed, "key long, c long")
-    times = F.col("times")
-    joined = measured.join(rare, "key", "left")
-    return (
-        joined.groupBy("uid")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), times).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + F.when(F.col("c").isNotNull() & (times > 0), times * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("base"),
-            F.sum("score").alias("score"),
-        )
-        .withColumn("base_score", F.col("base") - F.col("n_tokens") * F.lit(per_token))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("score")).alias("score"))
-    )
