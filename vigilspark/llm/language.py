@@ -3,8 +3,7 @@
 Evidence on a text's language: letter trigrams of its words (naive Bayes per word), the language that its markup declares, the
 suffix or language directory of its address, and where it comes from. The prior of a host is smoothed hierarchically:
 the counts of all hosts smooth a suffix's, and these a host's; the counts are those of the text evidence alone, over all
-rows, by one grouped aggregation. Hosts with less than `rare` of all rows take their suffix's prior, so at most 1 / rare
-priors reach the executors at any size. Declarations count by how often they agree with the text, by the same aggregation.
+rows, by one grouped aggregation. Every host has a prior of its own, however few its rows; priors are a table, joined by host. Declarations count by how often they agree with the text, by the same aggregation.
 
 The trigram model is fitted on a bounded sample: about `sample` rows with a known language, by a hash of the id, with at
 most `languages` languages. Texts are scored whole. Text that looks like no language (no letters, or letter sequences
@@ -134,42 +133,37 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
 
 @dataclass
 class Priors:
-    hosts: dict[str, list[float]]
-    suffixes: dict[str, list[float]]
-    top: list[float]
+    hosts: DataFrame  # `_host`, `_prior`: log priors by language, of every host
     agree: float
 
 
-def priors(seen: DataFrame, model: Model, rare: float = 1e-4) -> Priors:
+def priors(seen: DataFrame, model: Model) -> Priors:
     """Log priors by host, smoothed by its suffix's and by the overall ones. seen: `_host`, `_said` and `_text` of all rows."""
-    n_names = len(model.names)
+    n = range(len(model.names))
     counts = [F.count_if(F.col("_text") == a).alias(f"c{k}") for k, a in enumerate(model.names)]
-    whole = seen.agg(F.count("*").alias("n"), F.count_if(F.col("_said") == F.col("_text")).alias("same"), F.count_if(F.col("_said").isin(model.names) & F.col("_text").isNotNull()).alias("said"), *counts).first()
-    vector = lambda r: np.array([r[f"c{k}"] for k in range(n_names)], dtype=float)
-    top = (vector(whole) + 1) / (vector(whole).sum() + n_names) if n_names else np.zeros(0)
+    whole = seen.agg(F.count_if(F.col("_said") == F.col("_text")).alias("same"), F.count_if(F.col("_said").isin(model.names) & F.col("_text").isNotNull()).alias("said"), *counts).first()
+    total = sum(whole[f"c{k}"] for k in n)
+    top = F.array(*[F.lit((whole[f"c{k}"] + 1) / (total + len(n))) for k in n]).cast("array<double>")
 
-    def smoothed(level: Column, parent) -> dict[str, np.ndarray]:
-        rows = seen.groupBy(level.alias("key")).agg(F.count("*").alias("n"), F.first("_host").alias("any"), *counts).where(F.col("n") >= rare * whole["n"]).collect()  # at most 1 / rare rows
-        return {r["key"]: (vector(r) + STRENGTH * parent(r["any"])) / (vector(r).sum() + STRENGTH) for r in rows}
+    def smoothed(own: Column, parent: Column) -> Column:
+        size = F.aggregate(own, F.lit(0.0), lambda a, x: a + x) + STRENGTH
+        return F.zip_with(own, parent, lambda x, q: (x + STRENGTH * q) / size)
 
-    by_suffix = smoothed(suffix(F.col("_host")), lambda h: top)
-    by_host = smoothed(F.col("_host"), lambda h: by_suffix.get(h.rsplit(".", 1)[-1], top))
-    logs = lambda d: {k: np.log(v).tolist() for k, v in d.items()}
-    return Priors(logs(by_host), logs(by_suffix), np.log(top).tolist(), (whole["same"] + 1.0) / (whole["said"] + 2.0))
+    own = F.array(*[F.col(f"c{k}").cast("double") for k in n]).cast("array<double>")
+    hosts = seen.groupBy("_host").agg(*(counts or [F.count("*")])).withColumn("_suffix", suffix(F.col("_host")))
+    hosts = common.materialize(hosts)
+    suffixes = hosts.groupBy("_suffix").agg(*([F.sum(f"c{k}").alias(f"c{k}") for k in n] or [F.count("*")])).select("_suffix", smoothed(own, top).alias("_parent"))
+    found = hosts.join(suffixes, "_suffix").select("_host", F.transform(smoothed(own, F.col("_parent")), lambda x: F.log(x)).alias("_prior"))
+    return Priors(common.materialize(found), (whole["same"] + 1.0) / (whole["said"] + 2.0))
 
 
 def fuse(df: DataFrame, model: Model, p: Priors) -> DataFrame:
-    """Adds lang_found, lang_score (its posterior) and drops the columns of evidence. Uniform letters have a prior of a hundredth."""
+    """Adds lang_found, lang_score (its posterior) and drops the columns of evidence. Uniform letters have a prior of a hundredth. p: of all hosts of df."""
     if not model.names:
         out = df.withColumn("lang_found", F.lit("und")).withColumn("lang_score", F.lit(0.0))
         return out.drop("_ll", "_text", "_said", "_host")
     names = model.names
-
-    def table(d: dict[str, list[float]]) -> Column:
-        return F.from_json(F.lit("{" + ",".join(f"{_json(k)}:[{','.join(f'{x:.9f}' for x in v)}]" for k, v in d.items()) + "}"), "map<string,array<double>>")
-
-    prior = F.coalesce(F.element_at(table(p.hosts), F.col("_host")), F.element_at(table(p.suffixes), suffix(F.col("_host"))), F.lit(p.top))
-    df = df.withColumn("_prior", prior)
+    df = df.join(p.hosts, "_host")
     other = math.log((1 - p.agree) / max(1, len(names) - 1) + 1e-6)
     parts = []
     for k, a in enumerate(names):
@@ -182,12 +176,6 @@ def fuse(df: DataFrame, model: Model, p: Priors) -> DataFrame:
     return df.withColumn("lang_found", F.when(F.col("_ll").isNull(), "und").otherwise(found)).withColumn("lang_score", F.when(F.col("_ll").isNull(), 0.0).otherwise(1 / mass)).drop("_ll", "_text", "_said", "_host", "_prior", "_sum", "_top")
 
 
-def _json(s: str) -> str:
-    import json
-
-    return json.dumps(s)
-
-
 def from_documents(docs: DataFrame) -> DataFrame:
     """Documents as rows of evidence: the source is the host; markup inside the text may declare a language."""
     said = F.regexp_extract(F.substring(common.whole(F.col("text")), 1, 1000), r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1)
@@ -219,7 +207,7 @@ def report(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents in some language, all columns as they were. Texts are read twice: once for the priors, once to score; none is shuffled."""
+    """The documents in some language, all columns as they were. Texts are read twice: once for the priors, once to score; they are shuffled by host only where the hosts' priors are too many to broadcast."""
     model = fit(docs)
     rows = from_documents(docs.select("text", "source"))
     p = priors(common.materialize(evidence(rows, model).select("_text", "_said", "_host")), model)
