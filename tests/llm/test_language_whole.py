@@ -19,3 +19,9 @@ def test_small_hosts_keep_their_prior_in_a_large_table(spark):
     assert got["tiny.example.org"] == pytest.approx(np.log((np.array([0, 30]) + 20 * up) / 50).tolist())
     row = spark.createDataFrame([(k, [0.0, -1.0, -50.0], None, None, h) for k, h in enumerate(["tiny.example.org", "h1.example.com"])], "k int, _ll array<double>, _text string, _said string, _host string")
     assert {r["k"]: r["lang_found"] for r in language.fuse(row, model, p).collect()} == {0: "bb", 1: "aa"} and math.isfinite(p.agree)
+
+
+def test_declared_language_far_into_a_text(spark):
+    texts = ["<!-- " + "licence " * 400 + '--> <HTML class=x lang="de">', '<html lang=fr>', "no markup", None]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["declared"] for r in language.from_documents(docs).collect()} == {0: "de", 1: "fr", 2: None, 3: None}

@@ -178,7 +178,8 @@ def fuse(df: DataFrame, model: Model, p: Priors) -> DataFrame:
 
 def from_documents(docs: DataFrame) -> DataFrame:
     """Documents as rows of evidence: the source is the host; markup inside the text may declare a language."""
-    said = F.regexp_extract(F.substring(common.whole(F.col("text")), 1, 1000), r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1)
+    text = common.whole(F.col("text"))
+    said = F.when(F.lower(text).contains("<html"), F.regexp_extract(text, r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1))
     return docs.withColumns({"host": F.col("source"), "declared": F.nullif(said, F.lit(""))})
 
 
