@@ -25,3 +25,12 @@ def test_declared_language_far_into_a_text(spark):
     texts = ["<!-- " + "licence " * 400 + '--> <HTML class=x lang="de">', '<html lang=fr>', "no markup", None]
     docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
     assert {r["doc_id"]: r["declared"] for r in language.from_documents(docs).collect()} == {0: "de", 1: "fr", 2: None, 3: None}
+
+
+def test_every_language_is_fitted_however_rare(spark):
+    common = spark.range(60 * 40).selectExpr("id doc_id", "concat('l', lpad(id % 60, 2, '0')) lang", "concat(repeat(concat(char(97 + id % 26), char(97 + id % 60 div 26)), 3), ' ', id) text")
+    rare = spark.createDataFrame([(9000 + k, "zz", "żółw żaba źdźbło") for k in range(3)], "doc_id long, lang string, text string")
+    model = language.fit(common.unionByName(rare), sample=20)
+    assert len(model.names) == 61 and "zz" in model.names
+    at = model.names.index("zz")
+    assert model.word("żółw")[:-1].argmax() == at and model.grams["żół"][at] == pytest.approx(math.log(3.5 / 33))  # 3 rows of 3 were used

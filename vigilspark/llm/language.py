@@ -5,8 +5,8 @@ suffix or language directory of its address, and where it comes from. The prior
 the counts of all hosts smooth a suffix's, and these a host's; the counts are those of the text evidence alone, over all
 rows, by one grouped aggregation. Every host has a prior of its own, however few its rows; priors are a table, joined by host. Declarations count by how often they agree with the text, by the same aggregation.
 
-The trigram model is fitted on a bounded sample: about `sample` rows with a known language, by a hash of the id, with at
-most `languages` languages. Texts are scored whole. Text that looks like no language (no letters, or letter sequences
+The trigram model is fitted on a bounded sample: of every language about `sample` rows, or all where
+it has fewer, by a hash of the id. Texts are scored whole. Text that looks like no language (no letters, or letter sequences
 that even uniform letters explain better) is `und`.
 
 Null texts count as empty; without letters, the language is `und` and the score 0. Null hosts form one host. Repeated rows are
@@ -59,13 +59,14 @@ def grams(word: str) -> list[str]:
     return [w[k : k + 3] for k in range(len(w) - 2)]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = 20_000, languages: int = 50) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = 20_000) -> Model:
     common.ship(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     names = sorted(r["lang"] for r in sizes)
-    share = min(1.0, sample / max(1, sum(r["n"] for r in sizes)))
-    few = known.where(F.col("lang").isin(names) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))).select("lang", "text")
+    full = 1 << 30
+    most = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(full, full * sample // r["n"]))]) if sizes else None
+    few = known.where(F.pmod("h", F.lit(full)) < (F.lit(0) if most is None else F.element_at(most, F.col("lang")))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
