@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the classifiers, the similarity join or the tokenizer; tests hold stages against brute-force versions.
+#: SQL can't express the classifiers, the similarity join or the tokenizer; tests check only columns, falling row counts and marks.
 ORACLE_SQL = None
 
 
