@@ -25,11 +25,18 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of repeated rows of an id one row. Documents without an id stay."""
-    found = jaccard_join.join(docs, size=5, percent=80)
-    keep = materialize(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    kept = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in COLUMNS[1:]])
-    return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+    """Of each group of linked documents the one with the smallest id. Documents without an id stay.
+
+    Of repeated rows (equal id and text) one stays. Rows of one id with unlike texts are no copies of each other: all
+    texts of an id stay when one of them stands for its group.
+    """
+    docs = docs.select(*COLUMNS)
+    found = jaccard_join.join(docs, size=5, percent=80).where(F.col("doc_id").isNotNull())
+    ids = materialize(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")).where(~F.col("first") | (F.col("n") > 1)))
+    kept = docs.join(ids.where(~F.col("first")).select("doc_id"), "doc_id", "left_anti")
+    repeated = ids.where("first").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
