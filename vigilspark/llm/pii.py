@@ -4,7 +4,8 @@ Built-in functions only, one pass, no shuffle. Base spans (email, ip, card, phon
 The method adds spans whose score is at least `threshold`: cards inside a longer run of digits, cards with dots (Luhn),
 account numbers (mod 97), national phone numbers and social security numbers, the last two only beside a context word.
 
-Null text: empty, no spans. Equal spans of a kind count once. Repeated rows give repeated results.
+Null text: empty, no spans. Equal spans of a kind count once. Repeated rows give repeated results; an empty table gives none.
+Texts are scanned whole; work grows with a text's length and its matches. Columns of docs that are named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -79,13 +80,15 @@ def confirmed(kind: str) -> Column:
 
 def detect(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base (base spans), all_spans and scored (kind, start, end, score)."""
-    df = docs.withColumn("_text", common.whole(F.col(text)))
+    added = [*[f"n_{k}" for k in BASE], "base", "scored", "all_spans"]
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    df = docs.select(carried.alias("_row"), common.whole(F.col(text)).alias("_text"))
     # cheap conditions: what a match can't do without
     digit, t = F.col("_text").rlike("[0-9]"), F.col("_text")
     df = df.withColumn("_digit", digit)
     guards = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")) & F.col("_digit")}
     df = spans.find(df, "_text", {f"_{k}": (p, guards.get(k, F.col("_digit"))) for k, p in (BASE | MORE).items()})
-    df = df.select(*[F.col(f"`{c}`") for c in docs.columns], *[confirmed(k).alias(f"_{k}") for k in BASE | MORE])
+    df = df.select("_row", *[confirmed(k).alias(f"_{k}") for k in BASE | MORE])
     label = {"card_part": "card", "card_dots": "card", "local_phone": "phone"}
     order = {k: n for n, k in enumerate([*BASE, "iban", "ssn"])}
 
@@ -97,13 +100,13 @@ def detect(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
         return out if kind in BASE else F.filter(out, lambda s: s["score"] >= threshold)
 
     df = df.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        "_row",
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.concat(*[spans.tagged(F.col(f"_{k}"), k, n) for n, k in enumerate(BASE)]).alias("base"),
         F.array_sort(F.concat(*[scored(k) for k in [*BASE, *MORE]])).alias("scored"),
     )
-    plain = F.array_distinct(F.transform(F.col("scored"), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return df.withColumn("all_spans", plain)
+    plain = F.transform(F.col("scored"), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return df.withColumn("all_spans", spans.distinct(plain)).select("_row.*", *added)
 
 
 def report(docs: DataFrame) -> DataFrame:
