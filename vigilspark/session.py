@@ -23,18 +23,25 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset (local tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a local session gets a temporary one; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vigilspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder once and read them back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).option("compression", "zstd").parquet(path)  # a task holds a row group in memory
     return spark.read.schema(df.schema).parquet(path)
