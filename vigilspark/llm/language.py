@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = re.compile(r"[^\W\d_]+")
-MAX_WORDS = 300_000  # remembered by a Python worker; results don't depend on it
+MAX_WORDS = 200_000  # remembered by a Python worker; results don't depend on it
 LETTERS = 60  # letters of a uniform writer
 TEMPER = 0.5  # trigrams overlap, so their evidence counts half
 STRENGTH = 20.0  # rows that a parent's prior is worth
@@ -209,10 +209,9 @@ def report(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents in some language, all columns as they were. Texts are read twice: once for the priors, once to score; they are shuffled by host only where the hosts' priors are too many to broadcast."""
+    """The documents in some language, all columns as they were. Texts are scored once: their evidence is written beside them, and read again without them for the priors."""
     model = fit(docs)
-    rows = from_documents(docs.select("text", "source"))
-    p = priors(common.materialize(evidence(rows, model).select("_text", "_said", "_host")), model)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    scored = fuse(evidence(from_documents(docs.select(row, "text", "source")), model), model, p)
+    seen = common.materialize(evidence(from_documents(docs.select(row, "text", "source")), model).select("_row", "_ll", "_text", "_said", "_host"))
+    scored = fuse(seen, model, priors(seen, model))
     return scored.where((F.col("lang_found") != "und") & (F.col("lang_score") >= least)).select("_row.*")
