@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -16,7 +17,12 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once for each application, as a Spark user does with addPyFile."""
+    """Send the package to the executors once for each application, as a Spark user does with addPyFile.
+
+    Texts may be long, so that Arrow batches of Spark's default of 10,000 rows would fill a worker: they get fewer rows unless the session says otherwise.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -33,6 +39,16 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written.
+
+    They stay on the executors' disks until the driver collects its garbage, which a driver with little to do puts off
+    (spark.cleaner.periodicGC.interval does the same by the clock). Call it after a large step, not in a loop.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -7,10 +7,10 @@ documents; at most mean set size / HOT shingles, so they are broadcast). Spare p
 spare ones also offers these as keys. Both of two similar sets whose equal parts are all poor are such sets, so
 the filter stays exact, while a passage that many documents share makes no candidates by itself. Sets that can be similar to larger ones offer keys in the next class too.
 Equal keys are first joined within a task, then by ranges of the key, so a key has as many rows as there are tasks at most. Chains of equal
-keys give clusters of candidates, which are then compared whole:
+keys give clusters of candidates, which are then compared whole; a large cluster is dealt to parts, so that none is a single task:
 
-1. Each set is compared with its cluster's pivot. In clusters of near copies this links almost all.
-2. The others are compared with all sets of their cluster, in tiles of bounded size. A tile builds two signature trees,
+1. Each set is compared with its cluster's pivot, of which every part gets a copy. In clusters of near copies this links almost all.
+2. The others are compared with all sets of their cluster of about their own size, in tiles of bounded size. A tile builds two signature trees,
    whose nodes hold OR-combined bitmaps (one bit for each shingle of the tile that occurs twice, so overlaps are exact) and ranges of set
    sizes. Both are walked together; a pair of nodes is left when even the greatest possible overlap is too small, or
    when all below is linked already.
@@ -22,11 +22,11 @@ result. Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +38,12 @@ from .fingerprint import mix
 
 WORDS, PERCENT = 4, 85
 RATIO = 1.5  # of the sizes of a class
-FLUSH = 3_000_000  # keys that a task joins by itself before it hands them on; results don't depend on it
-MAX_WORDS = 400_000  # word hashes that a Python worker remembers; results don't depend on it
+FLUSH = 400_000  # keys that a task joins by itself before it hands them on (about 30 MB with their copies); results don't depend on it
+COUNT = 1_000_000  # shingles that a task counts by itself
+MAX_WORDS = 200_000  # word hashes that a Python worker remembers; results don't depend on it
 TILE = 150_000  # shingles of one side of a tile
+PART = 512  # sets of a part of a cluster
+SALTS = 64
 FAN = 16
 HOT = 5e-4
 
@@ -129,7 +132,13 @@ def stars(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return key[first], sid[first], links[:, 0], links[:, 1]
 
 
-CHUNK = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("links", pa.binary())])
+CHUNK = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("links", pa.binary())])
+
+
+def sliced(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of the rows between each two cuts, without a copy."""
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot) -> DataFrame:
@@ -137,11 +146,21 @@ def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot)
 
     def emit(key: list[np.ndarray], sid: list[np.ndarray]) -> pa.RecordBatch:
         k, least, a, b = stars(np.concatenate(key or [np.zeros(0, np.uint64)]), np.concatenate(sid or [np.zeros(0, np.int64)]))
-        cut = np.searchsorted(k >> np.uint64(32), (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
-        rows = [(r, k[x:y].tobytes(), least[x:y].tobytes(), b"") for r, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+        bounds = (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)
+        where = np.searchsorted(bounds, k >> np.uint64(32), side="right")
+        order = np.lexsort((k, least, where))  # an id stands once before all its keys of a range
+        k, least, where = k[order], least[order], where[order]
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), dtype=bool), (least[1:] != least[:-1]) | (where[1:] != where[:-1])]))
+        every = np.arange(ranges + 1)
+        cut, head_cut = np.searchsorted(where, every), np.searchsorted(where[heads], every)
         to = (mix(b.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
-        rows += [(int(r), b"", b"", np.stack([a[to == r], b[to == r]]).tobytes()) for r in np.unique(to)]
-        return pa.RecordBatch.from_pydict({f.name: [x[n] for x in rows] for n, f in enumerate(CHUNK)}, schema=CHUNK)
+        order = np.argsort(to, kind="stable")
+        ends = np.stack([a[order], b[order]], axis=1)
+        at = np.searchsorted(to[order], every)
+        counts = np.diff(np.append(heads, len(k))).astype(np.int32)
+        columns = [pa.array(every[:-1].astype(np.int32)), sliced(k, cut), sliced(least[heads], head_cut), sliced(counts, head_cut), sliced(ends, at)]
+        good = (cut[1:] > cut[:-1]) | (at[1:] > at[:-1])
+        return pa.RecordBatch.from_arrays(columns, schema=CHUNK).filter(pa.array(good))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, key, sid, total = Shingler(size), [], [], 0
@@ -160,12 +179,12 @@ def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot)
 
     def meet(table: pa.Table) -> pa.Table:
         col = lambda name, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in table[name].to_pylist()]])
-        _, _, a, b = stars(col("keys", np.uint64), col("ids", np.int64))
-        own = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table["links"].to_pylist() if x]
-        both = np.unique(np.concatenate([np.stack([a, b]), *own], axis=1), axis=1)
-        return pa.table({"a": both[0], "b": both[1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        _, _, a, b = stars(col("keys", np.uint64), np.repeat(col("ids", np.int64), col("counts", np.int32)))
+        own = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table["links"].to_pylist() if x]
+        both = np.unique(np.concatenate([np.stack([a, b], axis=1), *own]), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return docs.select("text").mapInArrow(offer, "range int, keys binary, ids binary, links binary").groupBy("range").applyInArrow(meet, "a long, b long").distinct()
+    return docs.select("text").mapInArrow(offer, "range int, keys binary, ids binary, counts binary, links binary").groupBy("range").applyInArrow(meet, "a long, b long").distinct()
 
 
 def members(docs: DataFrame, size: int) -> DataFrame:
@@ -187,7 +206,7 @@ def members(docs: DataFrame, size: int) -> DataFrame:
                 sets.append((len(s), set_id(s) if len(s) else None))
                 held.append(s)
                 n_held, n_docs = n_held + len(s), n_docs + 1
-                if n_held > FLUSH:
+                if n_held > COUNT:
                     yield often()
                     held, n_held, n_docs = [], 0, 0
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_shingles": [s[0] for s in sets], "sid": [s[1] for s in sets], "often": [False] * len(sets)}, schema=schema)
@@ -262,33 +281,59 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified_links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links among candidates that connect each component. sets: cluster, sid, n, shingles (binary)."""
-    pivots = sets.groupBy("cluster").agg(F.min("sid").alias("sid")).join(sets, ["cluster", "sid"]).select("cluster", F.col("sid").alias("pivot"), F.col("shingles").alias("theirs"))
+def parted(clusters: DataFrame) -> DataFrame:
+    """sid, cluster, parts, part of each set of a cluster: a cluster has a part for every PART sets. Salted, since one cluster may hold most sets."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    big = clusters.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    big = big.select("component", F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    parts = F.coalesce("parts", F.lit(1))
+    found = clusters.withColumn("salt", salt).join(big, ["component", "salt"], "left").select(F.col("node").alias("sid"), F.col("component").alias("cluster"), parts.alias("parts"))
+    return found.withColumn("part", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts")).cast("int"))
+
+
+NEAR = pa.schema([("cluster", pa.int64()), ("parts", pa.int32()), ("part", pa.int32()), ("sid", pa.int64()), ("pivot", pa.int64()), ("n", pa.int64()), ("near", pa.bool_())])
+
+
+def verified_links(sets: DataFrame, percent: int, size: int) -> DataFrame:
+    """(a, b): links among candidates that connect each component. sets: cluster (its least sid), parts, part, sid, n, text; texts move, since their shingles take more room."""
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    pivots = sets.where(F.col("sid") == F.col("cluster")).select("cluster", every_part, F.col("text").alias("theirs"))
 
     def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, known, y = Shingler(size), None, np.zeros(0, np.uint64)
         for b in batches:
             good = []
-            for mine, theirs in zip(b["shingles"], b["theirs"], strict=True):
-                x, y = np.frombuffer(mine.as_buffer(), np.uint64), np.frombuffer(theirs.as_buffer(), np.uint64)
+            for cluster, sid, mine, theirs in common.rows_of(b, "cluster", "sid", "text", "theirs"):
+                if cluster != known:
+                    known, y = cluster, shingles(theirs)
+                x = y if sid == cluster else shingles(mine)
                 good.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
-            yield pa.RecordBatch.from_pydict({"cluster": b["cluster"], "sid": b["sid"], "pivot": b["pivot"], "n": b["n"], "near": good}, schema=pa.schema([("cluster", pa.int64()), ("sid", pa.int64()), ("pivot", pa.int64()), ("n", pa.int64()), ("near", pa.bool_())]))
-
-    near = common.materialize(sets.join(pivots, "cluster").mapInArrow(against_pivot, "cluster long, sid long, pivot long, n long, near boolean"))
-    totals = near.groupBy("cluster").agg(F.sum("n").alias("n_all"), F.sum(F.when(~F.col("near"), F.col("n"))).alias("n_loose"))
-    totals = totals.where(F.col("n_loose") > 0).select("cluster", F.ceil(F.col("n_all") / TILE).cast("int").alias("b_all"), F.ceil(F.col("n_loose") / TILE).cast("int").alias("b_loose"))
-    open_ = sets.join(near.select("sid", "near"), "sid").join(totals, "cluster")
+            yield pa.RecordBatch.from_arrays([*(b["cluster" if f.name == "pivot" else f.name] for f in NEAR if f.name != "near"), pa.array(good, pa.bool_())], schema=NEAR)
+
+    near = common.materialize(sets.join(pivots, ["cluster", "part"]).mapInArrow(against_pivot, "cluster long, parts int, part int, sid long, pivot long, n long, near boolean"))
+    # classes of sizes: sets of classes that aren't neighbours are too unlike in size to be similar
+    near = near.withColumn("class", F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int"))
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = near.groupBy("cluster", "parts", "class").agg(F.sum("n").alias("n_all"), F.sum(F.when(~F.col("near"), F.col("n"))).alias("n_loose"))
+    wanted = sizes.where(F.col("n_loose") > 0).select("cluster", F.col("class").alias("ci"), blocks(F.col("n_loose")).alias("b_loose"), F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("cj"))
+    tiles = wanted.join(sizes.select("cluster", "parts", F.col("class").alias("cj"), blocks(F.col("n_all")).alias("b_all")), ["cluster", "cj"])
+    tiles = common.materialize(tiles.select("cluster", every_part, "ci", "cj", "b_loose", "b_all"))
+    theirs, mine = tiles.withColumnRenamed("cj", "class"), tiles.withColumnRenamed("ci", "class")
+    texts = sets.select("sid", "text")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
-    every = open_.select("cluster", "sid", "near", "shingles", F.lit(1).alias("side"), place("b_all").alias("j"), F.explode(spread("b_loose")).alias("i"))
-    loose = open_.where(~F.col("near")).select("cluster", "sid", "near", "shingles", F.lit(0).alias("side"), F.explode(spread("b_all")).alias("j"), place("b_loose").alias("i"))
+    to = ["cluster", "ci", "cj", "i", "j"]
+    every = near.join(theirs, ["cluster", "part", "class"]).select("cluster", "ci", F.col("class").alias("cj"), F.explode(spread("b_loose")).alias("i"), place("b_all").alias("j"), "sid", "near", F.lit(1).alias("side"))
+    loose = near.where(~F.col("near")).join(mine, ["cluster", "part", "class"]).select("cluster", F.col("class").alias("ci"), "cj", place("b_loose").alias("i"), F.explode(spread("b_all")).alias("j"), "sid", "near", F.lit(0).alias("side"))
+    ends = every.unionByName(loose).join(texts, "sid")
 
     def tile(table: pa.Table) -> pa.Table:
-        rows = {(s, d): (near_, x) for s, d, near_, x in zip(*(table[c].to_pylist() for c in ("side", "sid", "near", "shingles")), strict=True)}
+        shingles = Shingler(size)
+        rows = {(s, d): (near_, x) for s, d, near_, x in zip(*(table[c].to_pylist() for c in ("side", "sid", "near", "text")), strict=True)}
         left, right = ([k for k in rows if k[0] == side] for side in (0, 1))
         out = []
         if left and right:
-            sets_ = [np.frombuffer(rows[k][1], np.uint64) for k in left + right]
+            sets_ = [shingles(rows[k][1]) for k in left + right]
             bits, sizes = bitmaps(sets_), np.array([len(s) for s in sets_])
             at: dict[object, int] = {}  # a set is one node on either side; those near the pivot are one component
             component = np.array([at.setdefault("near" if rows[k][0] else k[1], n) for n, k in enumerate(left + right)])
@@ -297,8 +342,8 @@ def verified_links(sets: DataFrame, percent: int) -> DataFrame:
                 out.append((left[p][1], right[q][1]))
         return pa.table({"a": [x[0] for x in out], "b": [x[1] for x in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    tiles = every.unionByName(loose).groupBy("cluster", "i", "j").applyInArrow(tile, "a long, b long")
-    return near.where(F.col("near") & (F.col("sid") != F.col("pivot"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).unionByName(tiles)
+    found = ends.groupBy(*to).applyInArrow(tile, "a long, b long")
+    return near.where(F.col("near") & (F.col("sid") != F.col("pivot"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).unionByName(found)
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -307,26 +352,34 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFram
     common.ship(spark)
     docs = docs.select("doc_id", "text")
     with_id = docs.where(F.col("doc_id").isNotNull())
-    ranges = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     both = common.materialize(members(docs, size))
     rows = both.where(~F.col("often")).drop("often")
     frequent = both.where("often").groupBy("sid").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= F.lit(max(3.0, HOT * rows.count())))
     hot = spark.sparkContext.broadcast(np.sort(frequent.select("sid").toArrow()["sid"].to_numpy().view(np.uint64)))
     least = rows.where(F.col("sid").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     least = common.materialize(least)
-    clusters = components(candidate_links(with_id, percent, size, ranges, hot))
-    chosen = least.join(clusters, least["sid"] == clusters["node"]).select("doc_id", "sid", F.col("component").alias("cluster"))
+    links = common.materialize(candidate_links(with_id, percent, size, ranges, hot))
+    common.release(spark)
+    clusters = parted(components(links))
+    chosen = least.join(clusters, "sid").select("doc_id", "cluster", "parts", "part", "sid")
+    schema = pa.schema([("cluster", pa.int64()), ("parts", pa.int32()), ("part", pa.int32()), ("sid", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
-        schema = pa.schema([("cluster", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
         for b in batches:
-            out = [(c, d, s) for c, d, t in common.rows_of(b, "cluster", "sid", "text") if len(s := shingles(t)) and set_id(s) == d]
-            yield pa.RecordBatch.from_pydict({"cluster": [r[0] for r in out], "sid": [r[1] for r in out], "n": [len(r[2]) for r in out], "shingles": [r[2].tobytes() for r in out]}, schema=schema)
-
-    sets = with_id.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id").select("cluster", "sid", "text").mapInArrow(load, "cluster long, sid long, n long, shingles binary")
-    sets = common.materialize(sets.dropDuplicates(["sid"]))
-    linked = components(verified_links(sets, percent))
+            sets = [shingles(t) for t in common.rows_of(b, "text")]
+            good = pa.array([len(s) > 0 and set_id(s) == d for s, d in zip(sets, b["sid"].to_pylist(), strict=True)], pa.bool_())
+            columns = [pa.array([len(s) for s in sets], pa.int64()) if f.name == "n" else b[f.name] for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(good)
+
+    # an id may have several rows: equal ones are one (dealt by id already), and those of another set go
+    texts = with_id.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id").distinct().drop("doc_id")
+    sets = common.materialize(texts.mapInArrow(load, "cluster long, parts int, part int, sid long, n long, text string"))
+    common.release(spark)
+    links = common.materialize(verified_links(sets, percent, size))
+    common.release(spark)
+    linked = components(links)
     first = linked.join(least, linked["node"] == least["sid"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = linked.join(first, "component").select(F.col("node").alias("sid"), "component_id")
     by_set = least.join(by_set, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
