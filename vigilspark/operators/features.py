@@ -42,11 +42,12 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
 
 
 def tfidf(df: DataFrame, key: str, terms: Column, min_df: int = 1) -> DataFrame:
-    """key, term, tf, df, weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of length 1 for each key."""
-    tf = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf, df, weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of length 1 for each key. Counts are written once; document frequencies and lengths come from them."""
+    tf = materialize(df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
     n = df.count()
     dfs = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     raw = tf.join(dfs, "term").withColumn("raw", (1 + F.log(F.col("tf"))) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    raw = materialize(raw)
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", "tf", "df", (F.col("raw") / F.col("norm")).alias("weight"))
 
@@ -95,9 +96,9 @@ def fit_blocks(df: DataFrame) -> list:
     return [*stages, VectorAssembler(inputCols=[f"{name}_unit" for name in BLOCKS], outputCol="features")]
 
 
-def classifier(n_rows: float, iterations: int = 2000, c: float = 4.0) -> LogisticRegression:
-    """Logistic regression with weights by class; C as the inverse of the penalty."""
-    return LogisticRegression(labelCol="label", weightCol="weight", maxIter=iterations, regParam=1.0 / (c * max(1.0, n_rows)), elasticNetParam=0.0, standardization=False, family="multinomial")
+def classifier(n_rows: float, iterations: int = 2000, c: float = 4.0, tolerance: float = 1e-4) -> LogisticRegression:
+    """Logistic regression with weights by class; C as the inverse of the penalty. It ends when a step changes the loss by less than `tolerance`, or after `iterations`."""
+    return LogisticRegression(labelCol="label", weightCol="weight", maxIter=iterations, tol=tolerance, regParam=1.0 / (c * max(1.0, n_rows)), elasticNetParam=0.0, standardization=False, family="multinomial")
 
 
 WEIGHTS = {0: 1.0, 1: 1.2, 2: 1.6}
@@ -117,7 +118,7 @@ def train(df: DataFrame) -> PipelineModel:
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df with ml: struct<safe, suspicious, dangerous>, and ml_class."""
-    out = model.transform(terms_of(df.withColumn("normal", tx.for_model(F.col("text")))))
+    out = model.transform(materialize(terms_of(df.withColumn("normal", tx.for_model(F.col("text"))))))  # terms are written once: two blocks read them
     p = vector_to_array(F.col("probability"))
     at = lambda k: F.coalesce(F.get(p, F.lit(k)), F.lit(0.0))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(at(0).alias("safe"), at(1).alias("suspicious"), at(2).alias("dangerous")).alias("ml"), F.col("prediction").cast("int").alias("ml_class"))

@@ -422,9 +422,9 @@ raw AS (SELECT k, term, tf, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS r
 SELECT k, count(*) AS terms, round(max(raw / l), 5) AS top_weight, round(sum(raw / l), 4) AS total FROM raw JOIN norm USING (k) GROUP BY 1""")
 def h1_h3_tfidf(spark, sf_dir):
     c = spread(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), tx.fold(F.col("text")).alias("f"))
-    w = c.withColumn("w", F.regexp_extract_all("f", F.lit("[a-z0-9_][a-z0-9_]+"), F.lit(0)))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
-    t = features.tfidf(w.withColumn("terms", F.concat("w", pairs)), "k", F.col("terms"))
+    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))).otherwise(F.array().cast("array<string>"))
+    terms = tx.let(F.regexp_extract_all("f", F.lit("[a-z0-9_][a-z0-9_]+"), F.lit(0)), lambda w: F.concat(w, pairs(w)))
+    t = features.tfidf(c, "k", terms)
     return t.groupBy("k").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("top_weight"), F.round(F.sum("weight"), 4).alias("total"))
 
 
