@@ -63,3 +63,14 @@ def test_links_in_text_need_a_boundary(spark):
 
 def test_registrable(spark):
     assert one(spark, "my.shop.com.vn", lk.registrable, lk.tld)[0:2] == ("shop.com.vn", "vn")
+
+
+def test_brand_typos_ignore_hyphens(spark):
+    hosts = spark.createDataFrame([("viet-tin-bamk.com",), ("vietinbank.com",), ("gooogle.com",)], "host string")
+    assert [r["t"] for r in hosts.select(lk.typo_of(F.col("host")).alias("t")).collect()] == ["vietinbank", None, "google"]
+
+
+def test_blocked_by_a_domain_above(spark):
+    rows = spark.createDataFrame([("x.bad.club",), ("bad.club",), ("club",), ("notbad.club",)], "host string")
+    blocked = spark.createDataFrame([("bad.club",), ("club",)], "domain string")
+    assert {r["host"]: r["blocked"] for r in lk.mark_blocked(rows, blocked).collect()} == {"x.bad.club": True, "bad.club": True, "club": True, "notbad.club": False}

@@ -61,6 +61,11 @@ def own_label(host: Column) -> Column:
     return F.substring_index(registrable(host), ".", 1)
 
 
+def flat_label(host: Column) -> Column:
+    """The label without anything but letters and digits, as it is compared with brands."""
+    return F.regexp_replace(own_label(host), "[^a-z0-9]", "")
+
+
 def looks_random(host: Column) -> Column:
     """A label of five letters or more with few vowels, or four consonants together; y is a vowel."""
     label = own_label(host)
@@ -69,7 +74,7 @@ def looks_random(host: Column) -> Column:
 
 def typo_of(host: Column) -> Column:
     """The nearest brand (then by name) at most two edits away from the label, if the label doesn't hold it; null if none."""
-    label = own_label(host)
+    label = flat_label(host)
     near = F.transform(F.lit([b for b in cat.BRANDS if len(b) >= 5]), lambda b: F.struct(F.levenshtein(label, b, 2).alias("d"), b.alias("b")))
     good = F.filter(near, lambda x: (x["d"] >= 0) & ~F.contains(label, x["b"]))
     return F.when(F.length(label) >= 5, F.array_min(good)["b"])
@@ -89,8 +94,14 @@ def host_facts(hosts: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     )
     if blocked is None:
         return facts.withColumn("blocked", F.lit(False))
-    hit = df.select("host", F.explode(parents(h, 2)).alias("domain")).join(blocked.select("domain").distinct(), "domain", "left_semi").select("host").distinct().withColumn("blocked", F.lit(True))
-    return facts.join(hit, "host", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    return mark_blocked(facts, blocked)
+
+
+def mark_blocked(rows: DataFrame, blocked: DataFrame) -> DataFrame:
+    """rows (host) with `blocked`: whether the host or a domain above it (of two labels at least) is in blocked (domain). Distinct hosts are looked up, and joined back."""
+    hosts = rows.select("host").distinct()
+    hit = hosts.select("host", F.explode(parents(F.col("host"), 2)).alias("domain")).join(blocked.select("domain").distinct(), "domain", "left_semi").select("host").distinct().withColumn("blocked", F.lit(True))
+    return rows.join(hit, "host", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
 
 def rule_of(f) -> Column:
@@ -132,7 +143,7 @@ def _rules(url: Column, h: Column, blocked: list[str]) -> Column:
 
 
 def blocklist(lines: DataFrame) -> DataFrame:
-    """domain: distinct domains from lines of links or hosts; no addresses, no single labels, none of the never-blocked or below them."""
+    """domain: distinct domains from lines of links or hosts; no addresses, no single labels, none of the never-blocked. Only the registrable domain decides."""
     clean = lines.select(F.trim(F.col("value")).alias("value")).where((F.col("value") != "") & ~F.startswith("value", F.lit("#")))
     hosts = clean.select(host_of(F.element_at(F.split("value", r"\s+"), -1)).alias("host")).where(F.contains("host", F.lit(".")) & ~is_ip(F.col("host")))
-    return hosts.where(~listed(F.col("host"), cat.NEVER_BLOCK)).select(registrable(F.col("host")).alias("domain")).where(~F.col("domain").isin(cat.NEVER_BLOCK)).distinct()
+    return hosts.select(registrable(F.col("host")).alias("domain")).where(~F.col("domain").isin(cat.NEVER_BLOCK)).distinct()

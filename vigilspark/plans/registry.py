@@ -98,7 +98,7 @@ def a3_a4_csv_records(spark, sf_dir):
 
 
 @query(f"""WITH hosts AS (SELECT DISTINCT {sp.host('url')} AS host FROM pages)
-SELECT DISTINCT {sp.registrable('host')} AS domain FROM hosts WHERE contains(host, '.') AND NOT {sp.is_ip('host')} AND NOT {sp.listed('host', cat.NEVER_BLOCK)}""")
+SELECT DISTINCT {sp.registrable('host')} AS domain FROM hosts WHERE contains(host, '.') AND NOT {sp.is_ip('host')} AND NOT list_contains({sp.strings(cat.NEVER_BLOCK)}, {sp.registrable('host')})""")
 def a5_e16_blocklist_build(spark, sf_dir):
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     table(spark, sf_dir, "pages").where(F.col("url").isNotNull()).select(F.col("url").alias("value")).write.text(path)
@@ -299,11 +299,11 @@ def e14_e15_link_verdicts(spark, sf_dir):
     return judged.select("msg_id", "url", "rule", extra.alias("download"))
 
 
-@query(f"{LINKS}, b AS (SELECT unnest({sp.strings([b for b in cat.BRANDS if len(b) >= 5])}) AS brand) SELECT host, brand, levenshtein(label, brand) AS distance FROM facts, b WHERE len(label) >= 5 AND levenshtein(label, brand) <= 2 AND NOT contains(label, brand)")
+@query(f"{LINKS}, b AS (SELECT unnest({sp.strings([b for b in cat.BRANDS if len(b) >= 5])}) AS brand) SELECT host, brand, levenshtein(flat, brand) AS distance FROM facts, b WHERE len(flat) >= 5 AND levenshtein(flat, brand) <= 2 AND NOT contains(flat, brand)")
 def e8_e9_typo_join(spark, sf_dir):
     """The theta join of distinct hosts with brands, a fixed list of a few dozen."""
     b = spark.createDataFrame([(x,) for x in cat.BRANDS if len(x) >= 5], "brand string")
-    h = links(spark, sf_dir).select("host").distinct().withColumn("label", lk.own_label(F.col("host")))
+    h = links(spark, sf_dir).select("host").distinct().withColumn("label", lk.flat_label(F.col("host")))
     d = F.levenshtein("label", "brand", 2)
     return h.join(F.broadcast(b), (F.length("label") >= 5) & (d >= 0) & ~F.contains("label", "brand")).select("host", "brand", d.cast("long").alias("distance"))
 
@@ -660,9 +660,14 @@ def l2_stream_counts(spark, sf_dir):
     return _drain(stream.counts(stream.score(message_stream(spark, sf_dir))), spark)
 
 
-@query(f"{LINKS} SELECT msg_id, host, host IN ({', '.join(sp.q(b) for b in cat.BLOCKED)}) AS blocked FROM links")
+@query(f"{LINKS} SELECT msg_id, host, CASE WHEN msg_id % 2 = 0 THEN {sp.listed('host', cat.BLOCKED[:1], 2)} ELSE {sp.listed('host', cat.BLOCKED, 2)} END AS blocked FROM links")
 def l3_stream_blocklist(spark, sf_dir):
+    """Links in two batches; the list grows in between, and the second batch meets the new one."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    found = links(spark, sf_dir).select("msg_id", "host")
-    found.write.parquet(path)
-    return _drain(stream.mark_blocked(stream.read(spark, path, found.schema), blocked_table(spark)), spark)
+    found = materialize(links(spark, sf_dir).select("msg_id", "host"))
+    full = blocked_table(spark)
+    for part, blocked in ((0, full.where(F.col("domain").isin(cat.BLOCKED[:1]))), (1, full)):
+        blocked.write.mode("overwrite").parquet(f"{path}/list")
+        found.where(F.col("msg_id") % 2 == part).write.mode("append").parquet(f"{path}/links")
+        stream.mark_blocked(stream.read(spark, f"{path}/links", found.schema, 1000), f"{path}/list", f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out/*").select("msg_id", "host", "blocked")

@@ -63,10 +63,10 @@ def label_of(h: str) -> str:
 
 def facts(source: str, blocked) -> str:
     """One row for each distinct host of `source` (host)."""
-    return f"""facts AS (SELECT *, CASE WHEN len(label) >= 5 THEN list_sort(list_filter(list_transform({strings([b for b in cat.BRANDS if len(b) >= 5])}, lambda b: {{'d': levenshtein(label, b), 'b': b}}), lambda x: x.d <= 2 AND NOT contains(label, x.b)))[1].b END AS typo,
+    return f"""facts AS (SELECT *, CASE WHEN len(flat) >= 5 THEN list_sort(list_filter(list_transform({strings([b for b in cat.BRANDS if len(b) >= 5])}, lambda b: {{'d': levenshtein(flat, b), 'b': b}}), lambda x: x.d <= 2 AND NOT contains(flat, x.b)))[1].b END AS typo,
         regexp_matches(label, '^[a-z]{{5,}}$') AND (len(regexp_extract_all(label, '[aeiouy]')) * 1.0 / len(label) < 0.3 OR regexp_matches(label, '[^aeiouy]{{4,}}')) AS random
       FROM (SELECT host, {registrable('host')} AS domain, split_part(host, '.', -1) AS tld, {is_ip('host')} AS ip, {listed('host', cat.OFFICIAL)} AS official, {brands('host')} AS brands,
-        {listed('host', blocked, 2)} AS blocked, list_contains({strings(cat.SHORTENERS)}, {registrable('host')}) AS shortener, list_contains({strings(cat.RISKY_TLDS)}, split_part(host, '.', -1)) AS risky, {label_of('host')} AS label
+        {listed('host', blocked, 2)} AS blocked, list_contains({strings(cat.SHORTENERS)}, {registrable('host')}) AS shortener, list_contains({strings(cat.RISKY_TLDS)}, split_part(host, '.', -1)) AS risky, {label_of('host')} AS label, regexp_replace({label_of('host')}, '[^a-z0-9]', '', 'g') AS flat
         FROM (SELECT DISTINCT host FROM {source})))"""
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import links as lk
 from ..operators import scoring
 
 
@@ -21,6 +23,14 @@ def counts(scored: DataFrame, window: str = "1 hour", late: str = "2 hours") ->
     return scored.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "channel", "level").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "channel", "level", "n")
 
 
-def mark_blocked(links: DataFrame, blocked: DataFrame) -> DataFrame:
-    """links (host) with `blocked`; the static side is read again with each micro-batch, so a new list takes effect."""
-    return links.join(blocked.select(F.col("domain").alias("host"), F.lit(True).alias("blocked")), "host", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+def mark_blocked(links: DataFrame, blocklist: str, path: str, state: str) -> StreamingQuery:
+    """Write links (host) with `blocked` to path, once over all that is there. The list (domain) in the folder `blocklist` is read for each micro-batch, so a new one takes effect with the next.
+
+    A batch that is run again after a failure overwrites its own folder.
+    """
+
+    def mark(batch: DataFrame, number: int) -> None:
+        found = lk.mark_blocked(batch, batch.sparkSession.read.parquet(blocklist))
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return links.writeStream.foreachBatch(mark).option("checkpointLocation", state).trigger(availableNow=True).start()
