@@ -5,18 +5,18 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vigilspark.operators import advice, scoring
+from vigilspark.operators import advice, evaluation, messages, scoring, splits
 from vigilspark.operators import catalogue as cat
 from vigilspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
 DANGEROUS = [
-    "Cô Lan chủ nhiệm đây, em chuyển giúp cô 350k vào số tài khoản 19001234567 gấp nhé.",
-    "co lan chu nhiem day, em chuyen giup co 350k vao so tai khoan 19001234567 gap nhe",
-    "Tao có ảnh của mày, không chuyển 2 triệu trong 30 phút tao sẽ tung lên group lớp.",
-    "Nhập mã OTP vừa gửi về máy để nhận 5000 Robux miễn phí tại robux-thcs.vip",
+    "Thầy Quang đây, em nạp hộ thầy hai thẻ cào 500k ngay bây giờ, tối thầy gửi lại.",
+    "thay quang day, em nap ho thay hai the cao 500k ngay bay gio, toi thay gui lai.",
+    "Tao có ảnh nóng rồi, nạp 3 triệu trước 9h không thì tao gửi lên mạng.",
+    "Đọc lại mã OTP cho chị để nhận giải thưởng iPhone ở http://qua-tang-vip.club/nhan",
 ]
-SAFE = ["Thầy nhắc lớp 8A mai kiểm tra môn Hóa, ôn kỹ chương 2 nhé.", "Bố về muộn, con ăn cơm trước nha.", "Tài liệu ôn thi ở https://olm.vn, cả lớp xem trước thứ 5.", "mai mac dong phuc nha, co tiet the duc"]
+SAFE = ["Chiều nay nhóm mình làm bài tập Sinh ở thư viện, bạn mang sách giáo khoa nha.", "Bà nấu cháo rồi, con đi học về ăn liền cho nóng.", "Lịch ôn tập nằm trên https://hocmai.vn, các bạn mở ra xem.", "toi nay lop minh da bong o san truong, may gio toi"]
 
 
 @pytest.fixture(scope="module")
@@ -61,7 +61,7 @@ def test_catalogue():
     assert len(cat.RULES) == 37 and sum(len(r.patterns) for r in cat.RULES) >= 125 and len(cat.COMBOS) == 9 and {r.signal for r in cat.RULES} <= set(cat.SIGNALS)
 
 
-QUICK = ["b3_b4_fold_documents", "d5_d9_gates_combos", "e5_e13_e17_host_facts", "f1_f6_f11_f12_scores", "g6_grading", "i3_stratified", "j9_mean_p95_max", "l1_stream_scores"]
+QUICK = ["b3_b4_fold_documents", "d5_d9_gates_combos", "e5_e13_e17_host_facts", "f1_f6_f11_f12_scores", "g6_grading", "i3_stratified", "j9_mean_p95_max", "l1_stream_scores", "a3_a4_csv_records", "a6_a9_a10_blocklist_file", "a10_blocklist_head", "a13_blocklist_export", "g5_g8_category_cards", "i2_group_split", "j7_report_by_source", "k1_k2_k5_generate", "k4_k8_buckets"]
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -75,3 +75,22 @@ def test_against_sql(spark, name):
     other = con.sql(registry.oracle_sql()[name])
     at = [other.columns.index(c) for c in cols]
     assert mine == sorted(json.dumps([r[k] for k in at], default=str) for r in other.fetchall())
+
+
+def test_p95_of_odd_tables(spark):
+    for values in ([], [None], [3.5], [1.0, 2.0], [float(k % 977) for k in range(5000)], [2.0] * 40 + [9.0] * 2):
+        r = evaluation.mean_p95_max(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
+        known = sorted(v for v in values if v is not None)
+        assert (r["p95"], r["max"]) == ((known[max(1, int(0.95 * len(known))) - 1], known[-1]) if known else (None, None))
+
+
+def test_rows_without_a_group_are_split_by_id(spark):
+    rows = [(k, None if k % 2 else f"g{k % 10}") for k in range(200)]
+    out = splits.by_group(spark.createDataFrame(rows, "id long, g string"), "g", 0.2, "id").collect()
+    assert len(out) == 200 and sum(r["part"] == "test" for r in out if r["g"] is None) in range(15, 27)
+    assert all(len({r["part"] for r in out if r["g"] == g}) == 1 for g in ("g0", "g2", "g4", "g6", "g8"))
+
+
+def test_closing_particles_are_not_doubled(spark):
+    df = spark.createDataFrame([("Đi học đi.", " nhé."), ("Đi học nha Nam!", " nhé."), ("Đi học", "")], "t string, c string")
+    assert [r[0] for r in df.select(messages.framed(F.col("t"), F.lit("Này, "), F.col("c"))).collect()] == ["Này, Đi học đi nhé.", "Này, Đi học nha Nam!", "Này, Đi học"]

@@ -47,11 +47,22 @@ def sliced(df: DataFrame, by: str) -> DataFrame:
 
 
 def mean_p95_max(df: DataFrame, value: str) -> DataFrame:
-    """p95 is the element with number int(0.95 n), from 1, of the sorted values: rows are counted by value, so only distinct values are sorted."""
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    run = counts.select("v", "n", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
-    at = F.greatest(F.floor(0.95 * F.col("all")), F.lit(1))
-    return run.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.min(F.when(F.col("upto") >= at, F.col("v"))).alias("p95"), F.max("v").alias("max"))
+    """p95 is the element with number int(0.95 n), from 1, of the sorted values; nulls don't count.
+
+    A sketch whose ranks are off by a millionth of the rows at most bounds it from both sides; only distinct values between
+    the bounds are sorted. Without values the result is a row of nulls.
+    """
+    v = F.col(value)
+    whole = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    n = whole.first()["n"]
+    if not n:
+        return whole.select("mean", F.col("max").alias("p95"), "max")
+    at = max(1, int(0.95 * n))
+    low, high = df.agg(F.percentile_approx(v, [max(0.0, (at - 1) / n - 2e-6), min(1.0, at / n + 2e-6)], 1_000_000)).first()[0]
+    below = df.agg(F.count_if(v < low)).first()[0]
+    counts = df.where(v.between(low, high)).groupBy(v.alias("v")).agg(F.count("*").alias("n"))
+    run = counts.select("v", (F.sum("n").over(Window.orderBy("v")) + below).alias("upto"))
+    return whole.crossJoin(F.broadcast(run.agg(F.min(F.when(F.col("upto") >= at, F.col("v"))).alias("p95")))).select("mean", "p95", "max")
 
 
 def distribution(df: DataFrame, by: str) -> DataFrame:

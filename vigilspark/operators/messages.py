@@ -16,7 +16,7 @@ def from_events(events: DataFrame) -> DataFrame:
     """msg_id, ts, channel, text, label, category, template_id; one message for each event."""
     e, u = F.col("event_id"), F.col("user_id")
     t = e * 31 + 7
-    text = pick([x for _, _, x in cat.TEMPLATES], t)
+    text = framed(pick([x for _, _, x in cat.TEMPLATES], t), pick(cat.OPENERS, u * 13 + e * 5), pick(cat.CLOSERS, u * 7 + e * 11))
     for k, (slot, values) in enumerate(cat.SLOTS.items()):
         text = F.replace(text, F.lit("{" + slot + "}"), pick(values, u * 17 + e * (k + 1)))
     text = F.when((e + u) % 4 == 0, F.translate(text, *accents())).otherwise(text)
@@ -26,11 +26,17 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def framed(text: Column, opener: Column, closer: Column) -> Column:
+    """An opener before the text and a closing particle after it, unless it ends in a particle already."""
+    closed = F.when((closer == "") | F.rlike(text, F.lit(cat.PARTICLE)), text).otherwise(F.concat(F.regexp_replace(text, "[.!]+$", ""), closer))
+    return F.concat(opener, closed)
+
+
 def accents() -> tuple[str, str]:
     """The accented letters that the templates use and their plain forms, case kept."""
     import unicodedata
 
-    letters = sorted({c for _, _, x in cat.TEMPLATES for c in x} | {c for v in cat.SLOTS.values() for x in v for c in x})
+    letters = sorted({c for _, _, x in cat.TEMPLATES for c in x} | {c for v in cat.SLOTS.values() for x in v for c in x} | {c for x in [*cat.OPENERS, *cat.CLOSERS] for c in x})
     plain = lambda c: {"đ": "d", "Đ": "D"}.get(c, unicodedata.normalize("NFD", c)[0])
     pairs = [(c, plain(c)) for c in letters if ord(c) < 0x10000 and plain(c) != c]
     return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
@@ -41,7 +47,9 @@ def sql(cte: str = "messages") -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     at = lambda values, index: f"[{', '.join(quote(v) if isinstance(v, str) else str(v) for v in values)}][({index}) % {len(values)} + 1]"
     t = "event_id * 31 + 7"
-    text = at([x for _, _, x in cat.TEMPLATES], t)
+    plain, closer = at([x for _, _, x in cat.TEMPLATES], t), at(cat.CLOSERS, "user_id * 7 + event_id * 11")
+    closed = f"CASE WHEN {closer} = '' OR regexp_matches({plain}, {quote(cat.PARTICLE)}) THEN {plain} ELSE concat(regexp_replace({plain}, '[.!]+$', ''), {closer}) END"
+    text = f"concat({at(cat.OPENERS, 'user_id * 13 + event_id * 5')}, {closed})"
     for k, (slot, values) in enumerate(cat.SLOTS.items()):
         text = f"replace({text}, '{{{slot}}}', {at(values, f'user_id * 17 + event_id * {k + 1}')})"
     text = f"CASE WHEN (event_id + user_id) % 4 = 0 THEN translate({text}, {quote(accents()[0])}, {quote(accents()[1])}) ELSE {text} END"

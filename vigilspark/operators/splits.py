@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +16,29 @@ def predefined(df: DataFrame) -> DataFrame:
     return df.withColumn("part", F.when(F.coalesce(F.col("split"), F.lit("")) == "test", "test").otherwise("train"))
 
 
-def by_group(df: DataFrame, group: str, share: float, seed: int = 42) -> DataFrame:
-    """The first share of the groups, by hash, is the test part. Only groups are ranked, and there are few."""
-    groups = df.select(group).distinct()
-    ranked = groups.select(group, F.row_number().over(Window.orderBy(position(seed, group), group)).alias("r"))
-    n = groups.count()
-    return df.join(ranked.select(group, F.when(F.col("r") <= math.ceil(share * n), "test").otherwise("train").alias("part")), group)
+def by_group(df: DataFrame, group: str, share: float, key: str | None = None, seed: int = 42) -> DataFrame:
+    """The first share of the groups, by hash, is the test part. Rows without a group are a group of their own by `key`, or all one group without it."""
+    own = F.col(group) if key is None else F.coalesce(F.col(group).cast("string"), F.col(key).cast("string"))
+    df = df.withColumn("_g", own)
+    groups = ranked(df.select("_g").distinct().withColumn("_one", F.lit(0)), "_one", "_g", seed)
+    parts = groups.select(F.col("_g").alias("_h"), F.when(F.col("_rank") <= F.ceil(share * F.col("_all")), "test").otherwise("train").alias("part"))
+    return df.join(parts, F.col("_g").eqNullSafe(F.col("_h"))).drop("_g", "_h")
 
 
-def stratified(df: DataFrame, label: str, key: str, share: float, seed: int = 42, buckets: int = 256) -> DataFrame:
-    """Of each label the first share of rows by hash is the test part. Ranks add up over buckets of the hash, so a label is no single task."""
+def ranked(df: DataFrame, label: str, key: str, seed: int = 42, buckets: int = 256) -> DataFrame:
+    """Adds _rank, from 1 by hash within the label, and _all, its rows. Ranks add up over buckets of the hash, so a label is no single task."""
     p = position(seed, key)
     df = df.withColumn("_p", p).withColumn("_b", F.floor(F.col("_p") / ((1 << 52) // buckets)).cast("int"))
     counts = df.groupBy(label, "_b").agg(F.count("*").alias("n"))
     w = Window.partitionBy(label)
     base = counts.select(label, "_b", F.coalesce(F.sum("n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(w).alias("all"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_p", key))).join(base, [label, "_b"])
-    return ranked.withColumn("part", F.when(F.col("base") + F.col("_r") <= F.round(share * F.col("all")), "test").otherwise("train")).drop("_p", "_b", "_r", "base", "all")
+    numbered = df.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_p", key))).join(base, [label, "_b"])
+    return numbered.withColumn("_rank", F.col("base") + F.col("_r")).withColumn("_all", F.col("all")).drop("_p", "_b", "_r", "base", "all")
+
+
+def stratified(df: DataFrame, label: str, key: str, share: float, seed: int = 42) -> DataFrame:
+    """Of each label the first share of rows by hash is the test part."""
+    return ranked(df, label, key, seed).withColumn("part", F.when(F.col("_rank") <= F.round(share * F.col("_all")), "test").otherwise("train")).drop("_rank", "_all")
 
 
 def capped(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

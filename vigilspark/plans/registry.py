@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import entities as en
@@ -93,7 +93,7 @@ def a3_a4_csv_records(spark, sf_dir):
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     m = messages.from_events(table(spark, sf_dir, "events"))
     rows = m.select("msg_id", F.col("text").alias("message"), F.when(F.col("label") == 2, "1").when(F.col("label") == 0, "0").otherwise("x").alias("label"))
-    rows.repartitionByRange(1, "msg_id").sortWithinPartitions("msg_id").select("message", "label").write.option("header", True).option("escape", '"').csv(path)  # one file, as such data land
+    rows.repartitionByRange("msg_id").sortWithinPartitions("msg_id").select("message", "label").write.option("header", True).option("escape", '"').csv(path)
     return io.convert_csv(io.read_labelled_csv(spark, path), "train").select("id", "label", "original_label")
 
 
@@ -113,6 +113,21 @@ def a6_a9_a10_blocklist_file(spark, sf_dir):
     return io.read_blocklist(spark, path).agg(F.count("*").alias("n"), F.min("domain").alias("first_domain"))
 
 
+@query(f"SELECT domain FROM ({SQL['a5_e16_blocklist_build']}) ORDER BY domain LIMIT 5")
+def a10_blocklist_head(spark, sf_dir):
+    """The first five blocked domains, as the listing shows them."""
+    _, first = io.blocklist_info(a5_e16_blocklist_build(spark, sf_dir))
+    return spark.createDataFrame([(d,) for d in first], "domain string")
+
+
+@query(f"SELECT domain FROM ({SQL['a5_e16_blocklist_build']}) ORDER BY domain LIMIT 20000")
+def a13_blocklist_export(spark, sf_dir):
+    """The blocklist of the exported knowledge; its limit is part of the format."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    io.export_knowledge(spark, path, a5_e16_blocklist_build(spark, sf_dir))
+    return spark.read.parquet(f"{path}/blocklist")
+
+
 @query(f"""{M} SELECT CASE label WHEN 2 THEN 'DANGEROUS' WHEN 1 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS label_name, count(*) AS n FROM messages GROUP BY 1""")
 def a8_metadata(spark, sf_dir):
     m = msgs(spark, sf_dir).withColumn("label_name", F.element_at(F.lit(io.LEVELS), F.col("label") + 1))
@@ -412,6 +427,20 @@ def g6_grading(spark, sf_dir):
     return advice.grade(a).groupBy("quiz_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("correct"), F.count_if(F.col("error_code").isNotNull()).alias("unknown"))
 
 
+_CARDS = ", ".join(f"({sp.q(c)}, {sp.q(t)}, {cat.PRIORITY[c]}, {sp.q(cat.ADVICE[c][2])}, {sum(q[1] == c for q in cat.QUIZZES)})" for c, t in cat.TITLES.items())
+
+
+@query(f"{M}, cards(category, title, priority, card_title, n_quizzes) AS (VALUES {_CARDS}) SELECT category, title, priority, card_title, n_quizzes, count(msg_id) AS n FROM cards LEFT JOIN messages USING (category) GROUP BY ALL")
+def g5_g8_category_cards(spark, sf_dir):
+    """Every category with its title, card, number of quizzes and messages."""
+    n = msgs(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
+    asked = advice.quizzes(spark).groupBy(F.col("block").alias("category")).agg(F.count("*").alias("n_quizzes"))
+    cards = advice.blocks(spark).select(F.col("block").alias("category"), "card_title")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    df = io.dims(spark)["categories"].join(cards, "category").join(asked, "category", "left").join(n, "category", "left")
+    return df.select("category", "title", "priority", "card_title", zero("n_quizzes"), zero("n"))
+
+
 # -- H: features and models
 
 
@@ -568,6 +597,13 @@ def j7_sliced(spark, sf_dir):
     return _r(evaluation.sliced(predicted(spark, sf_dir), "channel"))
 
 
+@query(f"""{PRED}, k AS (SELECT unnest([0, 1, 2]) AS class) SELECT channel, class, round(coalesce(count(*) FILTER (label = class AND pred = class) / nullif(count(*) FILTER (pred = class), 0), 0), 6) AS precision,
+round(coalesce(count(*) FILTER (label = class AND pred = class) / nullif(count(*) FILTER (label = class), 0), 0), 6) AS recall, round(coalesce(2.0 * count(*) FILTER (label = class AND pred = class) / nullif(count(*) FILTER (pred = class) + count(*) FILTER (label = class), 0), 0), 6) AS f1,
+count(*) FILTER (label = class) AS support FROM p, k GROUP BY channel, class""")
+def j7_report_by_source(spark, sf_dir):
+    return _r(evaluation.by_class(predicted(spark, sf_dir), "channel"))
+
+
 @query(f"{BLEND}, l AS (SELECT msg_id, label FROM messages), pair AS (SELECT 'rules' AS config, label, round(least(1.0, greatest(0.0, CASE WHEN hard THEN greatest(rule_score, 0.85) ELSE rule_score END)), 4) AS s FROM final JOIN l USING (msg_id) UNION ALL SELECT 'rules+external', label, score FROM final JOIN l USING (msg_id)), p AS (SELECT config, label, CASE WHEN s >= 0.58 THEN 2 WHEN s >= 0.26 THEN 1 ELSE 0 END AS pred FROM pair) SELECT config, {THREE} FROM p GROUP BY config")
 def j8_ablation(spark, sf_dir):
     """One scan; two blends as columns, then as rows."""
@@ -615,11 +651,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {POSITION.format(
 SELECT format('MSG_{{:04d}}', row_number() OVER (ORDER BY {POSITION.format(k='msg_id')}, msg_id)) AS id, msg_id, label FROM b""")
 def k4_k8_buckets(spark, sf_dir):
     """A data set of 40, 20 and 40 percent: targets by label, then ids in a seeded order. The target of 200 rows is the feature."""
-    from pyspark.sql import Window
-
-    unique = k3_unique(spark, sf_dir).withColumn("p", splits.position(42, "msg_id"))
-    r = unique.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("p", "msg_id"))).where(F.col("k") <= F.when(F.col("label") == 1, 40).otherwise(80))
-    return r.select(F.format_string("MSG_%04d", F.row_number().over(Window.orderBy("p", "msg_id"))).alias("id"), "msg_id", "label")
+    unique = materialize(k3_unique(spark, sf_dir))
+    r = splits.ranked(unique, "label", "msg_id").where(F.col("_rank") <= F.when(F.col("label") == 1, 40).otherwise(80))
+    number = F.row_number().over(Window.orderBy(splits.position(42, "msg_id"), "msg_id"))  # of 200 rows at most
+    return r.select(F.format_string("MSG_%04d", number).alias("id"), "msg_id", "label")
 
 
 @query()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalogue as cat
+from ..session import materialize
 
 MESSAGE = "id string, text string, label int, label_name string, category string, template_id string, risk_entities array<string>, split string, original_label int, source string"
 LEVELS = ["SAFE", "SUSPICIOUS", "DANGEROUS"]
@@ -32,14 +33,15 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def convert_csv(df: DataFrame, split: str, order: list[Column] | None = None) -> DataFrame:
-    """Records of one split. Ids number the rows of the file before any is dropped; within files by a running id of the partitions, so no task sees all rows."""
-    parts = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    from pyspark.sql import Window
+def convert_csv(df: DataFrame, split: str) -> DataFrame:
+    """Records of one split, as read by read_labelled_csv. Ids number the rows before any is dropped, in the order of the files' names and of the rows in them.
 
+    A file with quoted line breaks isn't split, so its rows have running ids within one task; only the files' counts are added up in order.
+    """
+    parts = materialize(df.withColumn("_p", F.col("_metadata.file_name")).withColumn("_m", F.monotonically_increasing_id()))
     counts = parts.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("low"))
     base = counts.select("_p", "low", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = parts.join(F.broadcast(base), "_p").withColumn("n", F.col("base") + F.col("_m") - F.col("low") + 1)
+    rows = parts.join(base, "_p").withColumn("n", F.col("base") + F.col("_m") - F.col("low") + 1)
     good = rows.where((F.trim(F.coalesce("message", F.lit(""))) != "") & F.trim("label").isin("0", "1"))
     label = F.when(F.trim("label") == "1", 2).otherwise(0)
     return good.select(
@@ -74,10 +76,10 @@ def metadata(df: DataFrame, title: str, licence: str) -> DataFrame:
 
 
 def write_blocklist(df: DataFrame, path: str) -> None:
-    """A sorted text file below a header."""
+    """Text files, sorted within and by name, below a header in the first."""
     header = df.sparkSession.createDataFrame([("# blocked domains",), ("# one for each line",)], "value string").withColumn("o", F.lit(0))
     rows = header.unionByName(df.select(F.col("domain").alias("value"), F.lit(1).alias("o")))
-    rows.repartitionByRange(1, "o", "value").sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)
+    rows.repartitionByRange("o", "value").sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)
 
 
 def blocklist_info(df: DataFrame) -> tuple[int, list[str]]:
