@@ -6,15 +6,18 @@ similar sets have an equal part. A part may be poor: empty, or all of its shingl
 documents; at most mean set size / HOT shingles, so they are broadcast). Spare parts make up for poor ones; only a set with more poor parts than
 spare ones also offers these as keys. Both of two similar sets whose equal parts are all poor are such sets, so
 the filter stays exact, while a passage that many documents share makes no candidates by itself. Sets that can be similar to larger ones offer keys in the next class too.
-Equal keys are first joined within a task, then by ranges of the key, so a key has as many rows as there are tasks at most. Chains of equal
-keys give clusters of candidates, which are then compared whole; a large cluster is dealt to parts, so that none is a single task:
+The sets of a key and the least of them are a star; all stars with one centre are one, so two similar sets share a star, and nothing is
+closed to chains before it is compared. A large star is dealt to parts, so that none is a single task:
 
-1. Each set is compared with its cluster's pivot, of which every part gets a copy. In clusters of near copies this links almost all.
-2. The others are compared with all sets of their cluster of about their own size, in tiles of bounded size. A tile builds two signature trees,
+1. Each set is compared with the centres of its stars. In groups of near copies this links almost all, to components.
+2. Only stars whose sets are in several components go on. Sets outside the star's commonest component are compared with all sets of the star
+   of about their own size, in tiles of bounded size. A tile builds two signature trees,
    whose nodes hold OR-combined bitmaps (one bit for each shingle of the tile that occurs twice, so overlaps are exact) and ranges of set
    sizes. Both are walked together; a pair of nodes is left when even the greatest possible overlap is too small, or
    when all below is linked already.
 
+A task that meets a range of keys holds 16 bytes for each key and set of the range.
+
 Components of the links are those of all links. Nulls: a document without text or words has an empty set and links with
 nothing; one without an id links with nothing and has no component id. Equal rows, also of one id, count once each in the
 result. Shingles are compared by 64-bit hashes.
@@ -38,11 +41,11 @@ from .fingerprint import mix
 
 WORDS, PERCENT = 4, 85
 RATIO = 1.5  # of the sizes of a class
-FLUSH = 400_000  # keys that a task joins by itself before it hands them on (about 30 MB with their copies); results don't depend on it
+FLUSH = 400_000  # keys that a task sorts before it hands them on (about 30 MB with their copies); results don't depend on it
 COUNT = 1_000_000  # shingles that a task counts by itself
 MAX_WORDS = 200_000  # word hashes that a Python worker remembers; results don't depend on it
 TILE = 150_000  # shingles of one side of a tile
-PART = 512  # sets of a part of a cluster
+PART = 512  # sets of a part of a star
 SALTS = 64
 FAN = 16
 HOT = 5e-4
@@ -120,19 +123,18 @@ def keys(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def stars(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the least id of each, and distinct links from that id to the others of the key."""
+def stars(key: np.ndarray, sid: np.ndarray) -> np.ndarray:
+    """Distinct rows of a set and the least set that has an equal key, where they differ."""
     order = np.lexsort((sid, key))
     key, sid = key[order], sid[order]
     first = np.ones(len(key), dtype=bool)
     first[1:] = key[1:] != key[:-1]
     least = sid[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else sid
     other = least != sid
-    links = np.unique(np.stack([sid[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), dtype=np.int64)
-    return key[first], sid[first], links[:, 0], links[:, 1]
+    return np.unique(np.stack([sid[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), dtype=np.int64)
 
 
-CHUNK = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("links", pa.binary())])
+CHUNK = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
 def sliced(values: np.ndarray, cut: np.ndarray) -> pa.Array:
@@ -142,25 +144,23 @@ def sliced(values: np.ndarray, cut: np.ndarray) -> pa.Array:
 
 
 def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot) -> DataFrame:
-    """(a, b): links along which candidates are connected."""
+    """(a, b): each set and the centres of its stars, but for a star's centre itself."""
 
     def emit(key: list[np.ndarray], sid: list[np.ndarray]) -> pa.RecordBatch:
-        k, least, a, b = stars(np.concatenate(key or [np.zeros(0, np.uint64)]), np.concatenate(sid or [np.zeros(0, np.int64)]))
+        k, ids = np.concatenate(key or [np.zeros(0, np.uint64)]), np.concatenate(sid or [np.zeros(0, np.int64)])
         bounds = (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)
         where = np.searchsorted(bounds, k >> np.uint64(32), side="right")
-        order = np.lexsort((k, least, where))  # an id stands once before all its keys of a range
-        k, least, where = k[order], least[order], where[order]
-        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), dtype=bool), (least[1:] != least[:-1]) | (where[1:] != where[:-1])]))
+        order = np.lexsort((k, ids, where))  # an id stands once before all its keys of a range
+        k, ids, where = k[order], ids[order], where[order]
+        new = np.ones(len(k), dtype=bool)  # equal texts give equal rows
+        new[1:] = (k[1:] != k[:-1]) | (ids[1:] != ids[:-1])
+        k, ids, where = k[new], ids[new], where[new]
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), dtype=bool), (ids[1:] != ids[:-1]) | (where[1:] != where[:-1])]))
         every = np.arange(ranges + 1)
         cut, head_cut = np.searchsorted(where, every), np.searchsorted(where[heads], every)
-        to = (mix(b.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        ends = np.stack([a[order], b[order]], axis=1)
-        at = np.searchsorted(to[order], every)
         counts = np.diff(np.append(heads, len(k))).astype(np.int32)
-        columns = [pa.array(every[:-1].astype(np.int32)), sliced(k, cut), sliced(least[heads], head_cut), sliced(counts, head_cut), sliced(ends, at)]
-        good = (cut[1:] > cut[:-1]) | (at[1:] > at[:-1])
-        return pa.RecordBatch.from_arrays(columns, schema=CHUNK).filter(pa.array(good))
+        columns = [pa.array(every[:-1].astype(np.int32)), sliced(k, cut), sliced(ids[heads], head_cut), sliced(counts, head_cut)]
+        return pa.RecordBatch.from_arrays(columns, schema=CHUNK).filter(pa.array(cut[1:] > cut[:-1]))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, key, sid, total = Shingler(size), [], [], 0
@@ -179,12 +179,10 @@ def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot)
 
     def meet(table: pa.Table) -> pa.Table:
         col = lambda name, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in table[name].to_pylist()]])
-        _, _, a, b = stars(col("keys", np.uint64), np.repeat(col("ids", np.int64), col("counts", np.int32)))
-        own = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table["links"].to_pylist() if x]
-        both = np.unique(np.concatenate([np.stack([a, b], axis=1), *own]), axis=0)
+        both = stars(col("keys", np.uint64), np.repeat(col("ids", np.int64), col("counts", np.int32)))
         return pa.table({"a": both[:, 0], "b": both[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return docs.select("text").mapInArrow(offer, "range int, keys binary, ids binary, counts binary, links binary").groupBy("range").applyInArrow(meet, "a long, b long").distinct()
+    return docs.select("text").mapInArrow(offer, "range int, keys binary, ids binary, counts binary").groupBy("range").applyInArrow(meet, "a long, b long").distinct()
 
 
 def members(docs: DataFrame, size: int) -> DataFrame:
@@ -281,69 +279,79 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def parted(clusters: DataFrame) -> DataFrame:
-    """sid, cluster, parts, part of each set of a cluster: a cluster has a part for every PART sets. Salted, since one cluster may hold most sets."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    big = clusters.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    big = big.select("component", F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+def parted(links: DataFrame) -> DataFrame:
+    """sid, cluster, parts, part of each set of a star but its centre, which is the cluster: a star has a part for every PART sets. Salted, since one star may hold most sets."""
+    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")
+    big = links.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    big = big.select("b", F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     parts = F.coalesce("parts", F.lit(1))
-    found = clusters.withColumn("salt", salt).join(big, ["component", "salt"], "left").select(F.col("node").alias("sid"), F.col("component").alias("cluster"), parts.alias("parts"))
+    found = links.withColumn("salt", salt).join(big, ["b", "salt"], "left").select(F.col("a").alias("sid"), F.col("b").alias("cluster"), parts.alias("parts"))
     return found.withColumn("part", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts")).cast("int"))
 
 
-NEAR = pa.schema([("cluster", pa.int64()), ("parts", pa.int32()), ("part", pa.int32()), ("sid", pa.int64()), ("pivot", pa.int64()), ("n", pa.int64()), ("near", pa.bool_())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def verified_links(sets: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b): links among candidates that connect each component. sets: cluster (its least sid), parts, part, sid, n, text; texts move, since their shingles take more room."""
-    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    pivots = sets.where(F.col("sid") == F.col("cluster")).select("cluster", every_part, F.col("text").alias("theirs"))
+def centre_links(stars_: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(a, b): links between sets and the centres of their stars. stars_: cluster, part, sid, n, n_centre; texts: sid, text; texts move, since their shingles take more room."""
+    small, large = F.least("n", "n_centre"), F.greatest("n", "n_centre")
+    asked = stars_.where(100 * small >= percent * large).select("cluster", "part", "sid")
+    mine = asked.join(texts.withColumnRenamed("text", "mine"), "sid")
+    centres = asked.select("cluster", "part").distinct().join(texts.select(F.col("sid").alias("cluster"), F.col("text").alias("theirs")), "cluster")
 
-    def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, known, y = Shingler(size), None, np.zeros(0, np.uint64)
         for b in batches:
             good = []
-            for cluster, sid, mine, theirs in common.rows_of(b, "cluster", "sid", "text", "theirs"):
+            for cluster, mine_, theirs in common.rows_of(b, "cluster", "mine", "theirs"):
                 if cluster != known:
                     known, y = cluster, shingles(theirs)
-                x = y if sid == cluster else shingles(mine)
+                x = shingles(mine_)
                 good.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
-            yield pa.RecordBatch.from_arrays([*(b["cluster" if f.name == "pivot" else f.name] for f in NEAR if f.name != "near"), pa.array(good, pa.bool_())], schema=NEAR)
+            yield pa.RecordBatch.from_arrays([b["sid"], b["cluster"]], schema=LINKS).filter(pa.array(good, pa.bool_()))
+
+    return mine.join(centres, ["cluster", "part"]).select("cluster", "sid", "mine", "theirs").mapInArrow(compare, "a long, b long")
 
-    near = common.materialize(sets.join(pivots, ["cluster", "part"]).mapInArrow(against_pivot, "cluster long, parts int, part int, sid long, pivot long, n long, near boolean"))
-    # classes of sizes: sets of classes that aren't neighbours are too unlike in size to be similar
-    near = near.withColumn("class", F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int"))
+
+def star_links(stars_: DataFrame, linked: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(a, b): more links within stars whose sets are in several components of `linked` (node, component); with those known they connect each component."""
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    own = stars_.join(linked.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    own = common.materialize(own.select("cluster", "parts", "part", "sid", "n", "component"))
+    kinds = own.groupBy("cluster", "parts", "component").agg(F.count("*").alias("m")).groupBy("cluster", "parts").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("kinds"))
+    mixed = kinds.where("kinds > 1").select("cluster", every_part, F.col("most.component").alias("common"))
+    # classes of sizes: sets of classes that aren't neighbours are too unlike in size to be similar; a star of one part is one class
+    size_class = F.when(F.col("parts") > 1, F.floor(F.log(F.col("n")) / math.log(100 / percent))).otherwise(0).cast("int")
+    near = common.materialize(own.join(mixed, ["cluster", "part"]).withColumn("near", F.col("component") == F.col("common")).withColumn("class", size_class).drop("common"))
     blocks = lambda n: F.ceil(n / TILE).cast("int")
     sizes = near.groupBy("cluster", "parts", "class").agg(F.sum("n").alias("n_all"), F.sum(F.when(~F.col("near"), F.col("n"))).alias("n_loose"))
     wanted = sizes.where(F.col("n_loose") > 0).select("cluster", F.col("class").alias("ci"), blocks(F.col("n_loose")).alias("b_loose"), F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("cj"))
     tiles = wanted.join(sizes.select("cluster", "parts", F.col("class").alias("cj"), blocks(F.col("n_all")).alias("b_all")), ["cluster", "cj"])
     tiles = common.materialize(tiles.select("cluster", every_part, "ci", "cj", "b_loose", "b_all"))
     theirs, mine = tiles.withColumnRenamed("cj", "class"), tiles.withColumnRenamed("ci", "class")
-    texts = sets.select("sid", "text")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     to = ["cluster", "ci", "cj", "i", "j"]
-    every = near.join(theirs, ["cluster", "part", "class"]).select("cluster", "ci", F.col("class").alias("cj"), F.explode(spread("b_loose")).alias("i"), place("b_all").alias("j"), "sid", "near", F.lit(1).alias("side"))
-    loose = near.where(~F.col("near")).join(mine, ["cluster", "part", "class"]).select("cluster", F.col("class").alias("ci"), "cj", place("b_loose").alias("i"), F.explode(spread("b_all")).alias("j"), "sid", "near", F.lit(0).alias("side"))
+    every = near.join(theirs, ["cluster", "part", "class"]).select("cluster", "ci", F.col("class").alias("cj"), F.explode(spread("b_loose")).alias("i"), place("b_all").alias("j"), "sid", "component", F.lit(1).alias("side"))
+    loose = near.where(~F.col("near")).join(mine, ["cluster", "part", "class"]).select("cluster", F.col("class").alias("ci"), "cj", place("b_loose").alias("i"), F.explode(spread("b_all")).alias("j"), "sid", "component", F.lit(0).alias("side"))
     ends = every.unionByName(loose).join(texts, "sid")
 
     def tile(table: pa.Table) -> pa.Table:
         shingles = Shingler(size)
-        rows = {(s, d): (near_, x) for s, d, near_, x in zip(*(table[c].to_pylist() for c in ("side", "sid", "near", "text")), strict=True)}
+        rows = {(s, d): (c, x) for s, d, c, x in zip(*(table[c].to_pylist() for c in ("side", "sid", "component", "text")), strict=True)}
         left, right = ([k for k in rows if k[0] == side] for side in (0, 1))
         out = []
         if left and right:
             sets_ = [shingles(rows[k][1]) for k in left + right]
             bits, sizes = bitmaps(sets_), np.array([len(s) for s in sets_])
-            at: dict[object, int] = {}  # a set is one node on either side; those near the pivot are one component
-            component = np.array([at.setdefault("near" if rows[k][0] else k[1], n) for n, k in enumerate(left + right)])
+            at: dict[int, int] = {}  # what is linked already is one component
+            component = np.array([at.setdefault(rows[k][0], n) for n, k in enumerate(left + right)])
             m = len(left)
             for p, q in dual_walk(SignatureTree(bits[:m], sizes[:m]), SignatureTree(bits[m:], sizes[m:]), component, percent):
                 out.append((left[p][1], right[q][1]))
-        return pa.table({"a": [x[0] for x in out], "b": [x[1] for x in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        return pa.table({"a": [x[0] for x in out], "b": [x[1] for x in out]}, schema=LINKS)
 
-    found = ends.groupBy(*to).applyInArrow(tile, "a long, b long")
-    return near.where(F.col("near") & (F.col("sid") != F.col("pivot"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).unionByName(found)
+    return ends.groupBy(*to).applyInArrow(tile, "a long, b long")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -357,29 +365,32 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFram
     rows = both.where(~F.col("often")).drop("often")
     frequent = both.where("often").groupBy("sid").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= F.lit(max(3.0, HOT * rows.count())))
     hot = spark.sparkContext.broadcast(np.sort(frequent.select("sid").toArrow()["sid"].to_numpy().view(np.uint64)))
-    least = rows.where(F.col("sid").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    least = rows.where(F.col("sid").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     least = common.materialize(least)
     links = common.materialize(candidate_links(with_id, percent, size, ranges, hot))
     common.release(spark)
-    clusters = parted(components(links))
-    chosen = least.join(clusters, "sid").select("doc_id", "cluster", "parts", "part", "sid")
-    schema = pa.schema([("cluster", pa.int64()), ("parts", pa.int32()), ("part", pa.int32()), ("sid", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
+    sizes = least.select("sid", "n")
+    stars_ = parted(links).join(sizes, "sid").join(sizes.select(F.col("sid").alias("cluster"), F.col("n").alias("n_centre")), "cluster")
+    stars_ = common.materialize(stars_)
+    chosen = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct().join(least, "sid").select("doc_id", "sid")
+    schema = pa.schema([("sid", pa.int64()), ("text", pa.string())])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         for b in batches:
             sets = [shingles(t) for t in common.rows_of(b, "text")]
             good = pa.array([len(s) > 0 and set_id(s) == d for s, d in zip(sets, b["sid"].to_pylist(), strict=True)], pa.bool_())
-            columns = [pa.array([len(s) for s in sets], pa.int64()) if f.name == "n" else b[f.name] for f in schema]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(good)
+            yield pa.RecordBatch.from_arrays([b["sid"], b["text"]], schema=schema).filter(good)
 
     # an id may have several rows: equal ones are one (dealt by id already), and those of another set go
-    texts = with_id.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id").distinct().drop("doc_id")
-    sets = common.materialize(texts.mapInArrow(load, "cluster long, parts int, part int, sid long, n long, text string"))
+    texts = with_id.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id").distinct().select("sid", "text")
+    texts = common.materialize(texts.mapInArrow(load, "sid long, text string").dropDuplicates(["sid"]))
+    common.release(spark)
+    found = common.materialize(centre_links(stars_, texts, percent, size))
     common.release(spark)
-    links = common.materialize(verified_links(sets, percent, size))
+    more = common.materialize(star_links(stars_, components(found), texts, percent, size))
     common.release(spark)
-    linked = components(links)
+    linked = components(found.unionByName(more))
     first = linked.join(least, linked["node"] == least["sid"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = linked.join(first, "component").select(F.col("node").alias("sid"), "component_id")
     by_set = least.join(by_set, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
