@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, fingerprint, jaccard_join, language, packing, pii, secrets, suffix_model, toxicity
+from . import bpe, embedding_dedup, fingerprint, jaccard_join, language, licenses, packing, pii, secrets, suffix_model, toxicity
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,8 +51,12 @@ def op10_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_model.report(read(spark, sf_dir, "documents"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_pii, op3_fingerprint, op4_packing, op5_jaccard_join, op6_toxicity, op7_embedding_dedup, op8_secrets, op9_language, op10_suffix_model)}
+    return {f.__name__: f for f in (op1_bpe, op2_pii, op3_fingerprint, op4_packing, op5_jaccard_join, op6_toxicity, op7_embedding_dedup, op8_secrets, op9_language, op10_suffix_model, op13_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
