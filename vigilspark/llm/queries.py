@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, fingerprint, jaccard_join, language, licenses, packing, pii, prefix_trie, secrets, suffix_model, toxicity
+from . import bpe, embedding_dedup, fingerprint, jaccard_join, language, licenses, packing, periodic_runs, pii, prefix_trie, secrets, suffix_model, toxicity
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,10 @@ def op10_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_model.report(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(read(spark, sf_dir, "conversations"))
 
@@ -60,7 +64,7 @@ def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_pii, op3_fingerprint, op4_packing, op5_jaccard_join, op6_toxicity, op7_embedding_dedup, op8_secrets, op9_language, op10_suffix_model, op12_prefix_trie, op13_licenses)}
+    return {f.__name__: f for f in (op1_bpe, op2_pii, op3_fingerprint, op4_packing, op5_jaccard_join, op6_toxicity, op7_embedding_dedup, op8_secrets, op9_language, op10_suffix_model, op11_periodic_runs, op12_prefix_trie, op13_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
