@@ -11,8 +11,8 @@ from vigilspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
 DANGEROUS = [
-    "Thầy Quang đây, em nạp hộ thầy hai thẻ cào 500k ngay bây giờ, tối thầy gửi lại.",
-    "thay quang day, em nap ho thay hai the cao 500k ngay bay gio, toi thay gui lai.",
+    "Thầy Dũng dạy Nhạc đây, đàn hỏng giữa buổi diễn, mua giúp thầy 2 thẻ Viettel 300k gấp.",
+    "thay dung day nhac day, dan hong giua buoi dien, mua giup thay 2 the viettel 300k gap.",
     "Tao có ảnh nóng rồi, nạp 3 triệu trước 9h không thì tao gửi lên mạng.",
     "Đọc lại mã OTP cho chị để nhận giải thưởng iPhone ở http://qua-tang-vip.club/nhan",
 ]

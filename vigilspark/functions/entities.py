@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 # What counts as an entity.
-TLDS = "com vn net org edu gov info biz vip xyz top club online site shop store icu tk ml ga gq cf buzz win me io co app link fun live".split()
-URL = r"(?:https?://|www\.)[^\s<>\"'()\[\]]+|(?<![@\w.])[a-z0-9][a-z0-9-]{1,40}(?:\.[a-z0-9-]{1,30})*\.(?:" + "|".join(TLDS) + r")(?:/[^\s<>\"'()\[\]]*)?"
+URL = r"(?:https?://|www\.)[^\s<>\"'()\[\]]+|(?<![@\w.])[a-z0-9][a-z0-9-]{1,40}(?:\.[a-z0-9-]{1,30})*\.(?:com|vn|net|org|edu|gov|info|biz|vip|xyz|top|club|online|site|shop|store|icu|tk|ml|ga|gq|cf|buzz|win|me|io|co|app|link|fun|live)(?:/[^\s<>\"'()\[\]]*)?"
 PHONE = r"(?<!\w)(?:\+?84|0)(?:[\s.-]?\d){8,10}(?!\w)"
 EMAIL = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 MONEY = r"(?<!\w)\d{1,3}(?:[.,]\d{3})*\s*(?:k|nghin|ngan|tram|trieu|triệu|tr|ty|vnd|vnđ|dong|đồng|d\b|đ\b)|(?<!\w)\d+\s*(?:k|nghin|ngan|trieu|tr|ty)(?!\w)"

@@ -119,11 +119,14 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
 
 
-#: Placeholders of anonymised data and what stands for them.
-SAMPLES = {"[PHONE]": "0912345678", "[MONEY]": "500.000đ", "[LINK]": "http://lien-ket.example.com", "[URL]": "http://lien-ket.example.com", "[NAME]": "Nguyễn An", "[OTP]": "482913", "[DATE]": "20/11", "[TIME]": "9h30", "[BANK]": "ngân hàng"}
+# Placeholders of the anonymised data set and what stands for them.
+SAMPLES = {
+    "[PHONE]": "0987654321", "[BANK_ACC]": "19001234567", "[MONEY]": "500.000d", "[NUMBER]": "123456", "[TIME]": "15:30", "[DATE]": "20/09/2026", "[NAME]": "Nam", "[POINT]": "1000", "[URL]": "http://example.vip/abc",
+}
 
 
 def rehydrate(text: Column) -> Column:
+    """Placeholders become samples; of any other tag in capitals the brackets go."""
     out = text
     for tag, sample in SAMPLES.items():
         out = F.replace(out, F.lit(tag), F.lit(sample))

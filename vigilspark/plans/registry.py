@@ -191,9 +191,12 @@ def b13_counts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(t).cast("long").alias("chars"), tx.word_count(t).cast("long").alias("words"))
 
 
-@query(f"{M} SELECT msg_id, replace(concat(text, ' [PHONE] [MONEY] [ODD_TAG]'), ' [PHONE] [MONEY] [ODD_TAG]', ' 0912345678 500.000đ ODD_TAG') AS text FROM messages")
+TAGS = "[PHONE]|[BANK_ACC]|[MONEY]|[NUMBER]|[TIME]|[DATE]|[NAME]|[POINT]|[URL]|[QC]|[ODD_TAG]|[low]|[9]"
+
+
+@query(f"{M} SELECT msg_id, concat(text, ' 0987654321|19001234567|500.000d|123456|15:30|20/09/2026|Nam|1000|http://example.vip/abc|QC|ODD_TAG|[low]|[9]') AS text FROM messages")
 def b14_rehydrate(spark, sf_dir):
-    return msgs(spark, sf_dir).select("msg_id", tx.rehydrate(F.concat("text", F.lit(" [PHONE] [MONEY] [ODD_TAG]"))).alias("text"))
+    return msgs(spark, sf_dir).select("msg_id", tx.rehydrate(F.concat("text", F.lit(f" {TAGS}"))).alias("text"))
 
 
 @query()
