@@ -19,7 +19,7 @@ def three_levels(df: DataFrame, *by: str) -> DataFrame:
     rate = lambda a, b: F.try_divide(F.count_if(a), F.count_if(b))
     return df.groupBy(*by).agg(
         F.count("*").alias("n"), F.try_divide(F.count_if(y == p), F.count("*")).alias("accuracy"), rate((y == 2) & (p == 2), y == 2).alias("recall_dangerous"), rate((y == 2) & (p > 0), y == 2).alias("caught"),
-        F.count_if((y == 2) & (p == 0)).alias("missed_as_safe"), rate((y == 0) & (p > 0), y == 0).alias("false_alarm"),
+        F.count_if((y == 2) & (p == 0)).alias("missed_as_safe"), rate((y == 0) & (p > 0), y == 0).alias("false_alarm"), F.count_if((y == 0) & (p == 2)).alias("false_alarms_dangerous"),
     )
 
 

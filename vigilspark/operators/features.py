@@ -1,14 +1,7 @@
-"""Text features and the linear model: TF-IDF by our own weights, Spark ML logistic regression."""
+"""Text features: terms of a text, TF-IDF, weights of classes."""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,75 +53,3 @@ def class_weights(df: DataFrame, label: str, boost: dict[int, float] | None = No
     for k, v in (boost or {2: 1.3}).items():
         factor = F.when(F.col(label) == k, v).otherwise(factor)
     return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("total") / (F.col("kinds") * F.col("n")) * factor).alias("weight"))
-
-
-class Sublinear(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """1 + ln of the counts in a sparse vector."""
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        def scaled(v):
-            import numpy
-            from pyspark.ml.linalg import SparseVector
-
-            return SparseVector(v.size, v.indices, 1 + numpy.log(v.values))
-
-        return dataset.withColumn(self.getOutputCol(), F.udf(scaled, VectorUDT())(F.col(self.getInputCol())))
-
-
-BLOCKS = {"word": 1, "char": 2}  # least document frequency
-
-
-def terms_of(df: DataFrame) -> DataFrame:
-    """df with the terms of either block of the column `normal`."""
-    return df.withColumns({"word": word_terms(F.col("normal")), "char": char_terms(F.col("normal"))})
-
-
-def fit_blocks(df: DataFrame) -> list:
-    """Stages that give each block's TF-IDF: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) over all terms, each of length 1, joined. Spark's IDF lacks the + 1."""
-    stages = []
-    for name, least in BLOCKS.items():
-        counts = CountVectorizer(inputCol=name, outputCol=f"{name}_n", vocabSize=(1 << 31) - 1, minDF=float(least)).fit(df)
-        tf = Sublinear()
-        tf._set(inputCol=f"{name}_n", outputCol=f"{name}_tf")
-        idf = IDF(inputCol=f"{name}_n", outputCol="idf").fit(counts.transform(df)).idf.toArray() + 1
-        scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"{name}_tf", outputCol=f"{name}_tfidf")
-        stages += [counts, tf, scale, Normalizer(inputCol=f"{name}_tfidf", outputCol=f"{name}_unit", p=2.0)]
-    return [*stages, VectorAssembler(inputCols=[f"{name}_unit" for name in BLOCKS], outputCol="features")]
-
-
-def classifier(n_rows: float, iterations: int = 2000, c: float = 4.0, tolerance: float = 1e-4) -> LogisticRegression:
-    """Logistic regression with weights by class; C as the inverse of the penalty. It ends when a step changes the loss by less than `tolerance`, or after `iterations`."""
-    return LogisticRegression(labelCol="label", weightCol="weight", maxIter=iterations, tol=tolerance, regParam=1.0 / (c * max(1.0, n_rows)), elasticNetParam=0.0, standardization=False, family="multinomial")
-
-
-WEIGHTS = {0: 1.0, 1: 1.2, 2: 1.6}
-
-
-def train(df: DataFrame) -> PipelineModel:
-    """df: text, label."""
-    weight = F.lit(1.0)
-    for k, v in WEIGHTS.items():
-        weight = F.when(F.col("label") == k, v).otherwise(weight)
-    ready = df.select(F.col("label").cast("double").alias("label"), tx.for_model(F.col("text")).alias("normal"), weight.alias("weight"))
-    total = ready.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
-    ready = materialize(terms_of(ready))
-    stages = fit_blocks(ready)
-    return PipelineModel([*stages, classifier(total).fit(PipelineModel(stages).transform(ready).select("label", "weight", "features"))])
-
-
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """df with ml: struct<safe, suspicious, dangerous>, and ml_class."""
-    out = model.transform(materialize(terms_of(df.withColumn("normal", tx.for_model(F.col("text"))))))  # terms are written once: two blocks read them
-    p = vector_to_array(F.col("probability"))
-    at = lambda k: F.coalesce(F.get(p, F.lit(k)), F.lit(0.0))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(at(0).alias("safe"), at(1).alias("suspicious"), at(2).alias("dangerous")).alias("ml"), F.col("prediction").cast("int").alias("ml_class"))
-
-
-def weights_table(model: PipelineModel, spark) -> DataFrame:
-    """term, idx, class, weight (6 significant digits): the model as a table; words and pairs first, then letter runs; one row for each term of the vocabulary and class."""
-    terms = [t for stage in model.stages if isinstance(stage, CountVectorizerModel) for t in stage.vocabulary]
-    m = model.stages[-1].coefficientMatrix.toArray()
-    rows = spark.createDataFrame([(t, k, [float(x) for x in m[:, k]]) for k, t in enumerate(terms)], "term string, idx int, w array<double>")
-    exploded = rows.select("term", "idx", F.posexplode("w").alias("class", "w"))
-    digits = 6 - F.ceil(F.log10(F.abs(F.col("w")))).cast("int")
-    return exploded.select("term", "idx", "class", F.when(F.col("w") == 0, 0.0).otherwise(F.round(F.col("w") * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)).alias("weight"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import entities as en
 from ..functions import links as lk
 from ..functions import text as tx
-from ..operators import advice, evaluation, features, messages, scoring, splits
+from ..operators import advice, evaluation, features, linear_model, messages, scoring, splits
 from ..operators import catalogue as cat
+from ..operators.templates import TEMPLATES
 from ..session import materialize, shared_folder
 from ..sources import io
 from ..streaming import stream
@@ -447,16 +448,14 @@ def g5_g8_category_cards(spark, sf_dir):
 # -- H: features and models
 
 
-@query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS k, {sp.fold('text')} AS f FROM conversations), w AS (SELECT k, regexp_extract_all(f, '[a-z0-9_][a-z0-9_]+') AS w FROM c),
+@query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS k, {sp.fold('text')} AS f FROM conversations), w AS (SELECT k, regexp_extract_all(f, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]{{2,}}') AS w FROM c),
 t AS (SELECT k, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) ELSE [] END)) AS term FROM w),
 tf AS (SELECT k, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM conversations),
 raw AS (SELECT k, term, tf, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term), n), norm AS (SELECT k, sqrt(sum(raw * raw)) AS l FROM raw GROUP BY 1)
 SELECT k, count(*) AS terms, round(max(raw / l), 5) AS top_weight, round(sum(raw / l), 4) AS total FROM raw JOIN norm USING (k) GROUP BY 1""")
 def h1_h3_tfidf(spark, sf_dir):
     c = spread(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), tx.fold(F.col("text")).alias("f"))
-    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))).otherwise(F.array().cast("array<string>"))
-    terms = tx.let(F.regexp_extract_all("f", F.lit("[a-z0-9_][a-z0-9_]+"), F.lit(0)), lambda w: F.concat(w, pairs(w)))
-    t = features.tfidf(c, "k", terms)
+    t = features.tfidf(c, "k", features.word_terms(F.col("f")))
     return t.groupBy("k").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("top_weight"), F.round(F.sum("weight"), 4).alias("total"))
 
 
@@ -470,32 +469,60 @@ def h2_char_terms(spark, sf_dir):
 @query()
 def h4_h7_model(spark, sf_dir):
     """Fitted on the train part of a split by template, then on all rows; probabilities and classes of all messages."""
-    m = splits.by_group(msgs(spark, sf_dir), "template_id", 0.2)
-    m = materialize(m)
-    held = features.predict(features.train(m.where("part = 'train'")), m.where("part = 'test'"))
-    full = features.predict(features.train(m), m)
+    m = materialize(splits.by_group(msgs(spark, sf_dir), "template_id", 0.2))
+    held = linear_model.predict(linear_model.train(m.where("part = 'train'")), m.where("part = 'test'"))
+    full = linear_model.predict(linear_model.train(m), m)
     parts = held.select(F.lit("holdout").alias("fit"), "label", "ml_class").unionByName(full.select(F.lit("all").alias("fit"), "label", "ml_class"))
     return parts.groupBy("fit", "label", "ml_class").agg(F.count("*").alias("n"))
 
 
 @query()
 def a11_a12_model_tables(spark, sf_dir):
-    """The model saved, loaded and written as a table of weights."""
-    from pyspark.ml import PipelineModel
-
+    """The model saved, loaded and exported: its terms, weights and intercepts to six digits, counted by class."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    features.train(msgs(spark, sf_dir)).write().overwrite().save(path)
-    w = features.weights_table(PipelineModel.load(path), spark)
-    return w.groupBy("class").agg(F.count("*").alias("terms"), F.count_if(F.col("weight") != 0).alias("used"))
+    linear_model.train(msgs(spark, sf_dir)).save(path)
+    parts = linear_model.export(linear_model.load(spark, path))
+    w = parts["weights"].groupBy("class").agg(F.count("*").alias("terms"), F.count_if(F.col("weight") != 0).alias("used"))
+    return w.join(parts["intercepts"], "class").select("class", "terms", "used", F.round("intercept", 3).alias("intercept"))
 
 
 @query()
 def f7_f9_h5_ml_layer(spark, sf_dir):
     m = materialize(msgs(spark, sf_dir))
-    m = features.predict(features.train(m), m)
+    m = linear_model.predict(linear_model.train(m), m)
     return scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(m)))), ml="ml").groupBy("label", "level").agg(F.count("*").alias("n"))
 
 
+FOLDS = 3
+#: Messages with the words and pairs of their text for the model, and the scores of a model by counts that saw no message of their fold.
+LOG_ODDS = f"""folded AS (SELECT *, {sp.deleet(sp.fold('text'))} AS m, ((msg_id * 31 + 7) % {len(TEMPLATES)}) % {FOLDS} AS fold FROM messages), folds AS (SELECT unnest(range({FOLDS})) AS f),
+lw AS (SELECT msg_id, label, fold, regexp_extract_all(m, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]{{2,}}') AS w FROM folded),
+lt AS (SELECT msg_id, label, fold, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) ELSE [] END)) AS term FROM lw),
+ltf AS (SELECT msg_id, label, fold, term, count(*) AS tf FROM lt GROUP BY ALL),
+ldf AS (SELECT f, term, count(*) AS df, count(*) FILTER (label = 0) AS d0, count(*) FILTER (label = 1) AS d1, count(*) FILTER (label = 2) AS d2 FROM ltf, folds WHERE fold <> f GROUP BY ALL),
+ln_ AS (SELECT f, count(*) AS n, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 2) AS n2 FROM folded, folds WHERE fold <> f GROUP BY ALL),
+lraw AS (SELECT t.msg_id, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS raw, ln((1 + d0)::DOUBLE / (3 + df)) AS c0, ln((1 + d1)::DOUBLE / (3 + df)) AS c1, ln((1 + d2)::DOUBLE / (3 + df)) AS c2
+  FROM ltf t JOIN ldf d ON t.term = d.term AND t.fold = d.f JOIN ln_ ON ln_.f = t.fold),
+lsum AS (SELECT msg_id, sqrt(sum(raw * raw)) AS l, sum(raw * c0) AS m0, sum(raw * c1) AS m1, sum(raw * c2) AS m2 FROM lraw GROUP BY 1),
+lz AS (SELECT x.msg_id, ln((1 + n0)::DOUBLE / (3 + n)) + coalesce(m0 / l, 0) AS z0, ln((1 + n1)::DOUBLE / (3 + n)) + coalesce(m1 / l, 0) AS z1, ln((1 + n2)::DOUBLE / (3 + n)) + coalesce(m2 / l, 0) AS z2
+  FROM folded x JOIN ln_ ON ln_.f = x.fold LEFT JOIN lsum USING (msg_id)),
+le AS (SELECT msg_id, z0, z1, z2, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2 FROM lz),
+lo AS (SELECT msg_id, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS best FROM le)"""
+
+
+def by_counts(m: DataFrame) -> DataFrame:
+    """Messages with the scores of a model by counts, fitted on the other folds of the templates."""
+    fold = ((F.col("msg_id") * 31 + 7) % len(TEMPLATES)) % FOLDS
+    return linear_model.cross_fitted(m, fold, FOLDS, lambda d: linear_model.log_odds(d, blocks=("word",)))
+
+
+@query(f"{M}, {LOG_ODDS} SELECT msg_id, round(p0, 5) AS safe, round(p1, 5) AS suspicious, round(p2, 5) AS dangerous, best AS ml_class FROM lo")
+def h5_h6_table_scores(spark, sf_dir):
+    """Probabilities and classes by tables, from models that saw no message of the same template."""
+    r = lambda k: F.round(f"ml.{k}", 5).alias(k)
+    return by_counts(msgs(spark, sf_dir)).select("msg_id", r("safe"), r("suspicious"), r("dangerous"), "ml_class")
+
+
 @query(f"{M}, c AS (SELECT label, count(*) AS n FROM messages GROUP BY 1) SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n) * CASE WHEN label = 2 THEN 1.3 ELSE 1.0 END, 6) AS weight FROM c")
 def h9_class_weights(spark, sf_dir):
     return features.class_weights(msgs(spark, sf_dir), "label").select("label", "n", F.round("weight", 6).alias("weight"))
@@ -565,7 +592,7 @@ def _r(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-THREE = "count(*) AS n, round(count(*) FILTER (label = pred) / count(*), 6) AS accuracy, round(count(*) FILTER (label = 2 AND pred = 2) / nullif(count(*) FILTER (label = 2), 0), 6) AS recall_dangerous, round(count(*) FILTER (label = 2 AND pred > 0) / nullif(count(*) FILTER (label = 2), 0), 6) AS caught, count(*) FILTER (label = 2 AND pred = 0) AS missed_as_safe, round(count(*) FILTER (label = 0 AND pred > 0) / nullif(count(*) FILTER (label = 0), 0), 6) AS false_alarm"
+THREE = "count(*) AS n, round(count(*) FILTER (label = pred) / count(*), 6) AS accuracy, round(count(*) FILTER (label = 2 AND pred = 2) / nullif(count(*) FILTER (label = 2), 0), 6) AS recall_dangerous, round(count(*) FILTER (label = 2 AND pred > 0) / nullif(count(*) FILTER (label = 2), 0), 6) AS caught, count(*) FILTER (label = 2 AND pred = 0) AS missed_as_safe, round(count(*) FILTER (label = 0 AND pred > 0) / nullif(count(*) FILTER (label = 0), 0), 6) AS false_alarm, count(*) FILTER (label = 0 AND pred = 2) AS false_alarms_dangerous"
 
 
 @query(f"{PRED} SELECT {THREE} FROM p")
@@ -607,14 +634,49 @@ def j7_report_by_source(spark, sf_dir):
     return _r(evaluation.by_class(predicted(spark, sf_dir), "channel"))
 
 
-@query(f"{BLEND}, l AS (SELECT msg_id, label FROM messages), pair AS (SELECT 'rules' AS config, label, round(least(1.0, greatest(0.0, CASE WHEN hard THEN greatest(rule_score, 0.85) ELSE rule_score END)), 4) AS s FROM final JOIN l USING (msg_id) UNION ALL SELECT 'rules+external', label, score FROM final JOIN l USING (msg_id)), p AS (SELECT config, label, CASE WHEN s >= 0.58 THEN 2 WHEN s >= 0.26 THEN 1 ELSE 0 END AS pred FROM pair) SELECT config, {THREE} FROM p GROUP BY config")
-def j8_ablation(spark, sf_dir):
-    """One scan; two blends as columns, then as rows."""
-    m = msgs(spark, sf_dir).join(outside(spark, sf_dir), "msg_id", "left")
-    g = materialize(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(m)))).select("msg_id", "label", "outer", "risk", "safe", "signals", "combos"))
-    a = scoring.fuse(g).select(F.lit("rules").alias("config"), "label", evaluation.as_label(F.col("level")).alias("pred"))
-    b = scoring.fuse(g, external="outer").select(F.lit("rules+external").alias("config"), "label", evaluation.as_label(F.col("level")).alias("pred"))
-    return _r(evaluation.three_levels(a.unionByName(b), "config"))
+def _fused(name: str, layers: list[tuple[str, float]]) -> str:
+    """The score of a configuration from `blended` (rule_score, hard, and safe, s, d of each layer, null where it has none)."""
+    risk = lambda x, w: f"CASE WHEN {x}_d IS NULL THEN 0.0::DOUBLE ELSE {w}::DOUBLE * ({x}_d + 0.45::DOUBLE * {x}_s) END"
+    top = " + ".join(["0.65::DOUBLE * rule_score", *[risk(x, w) for x, w in layers]])
+    bottom = " + ".join(["0.65::DOUBLE", *[f"CASE WHEN {x}_d IS NULL THEN 0.0::DOUBLE ELSE {w}::DOUBLE END" for x, w in layers]])
+    f = f"CASE WHEN {bottom} > 0.65::DOUBLE THEN ({top}) / ({bottom}) ELSE rule_score END"
+    for x, _ in layers:
+        f = f"CASE WHEN {x}_d >= 0.8 THEN greatest({f}, 0.31) WHEN {x}_s >= 0.6 THEN greatest({f}, 0.26) ELSE {f} END"
+    if layers:
+        f = f"CASE WHEN NOT hard AND least({', '.join(f'{x}_safe' for x, _ in layers)}) >= 0.8 THEN ({f}) * 0.4::DOUBLE ELSE {f} END"
+    return f"SELECT '{name}' AS config, label, round(least(1.0, greatest(0.0, CASE WHEN hard THEN greatest({f}, 0.85) ELSE {f} END)), 4) AS s FROM blended"
+
+
+#: Configurations of the layers: name -> whether each counts.
+LAYERS = {"rules": (False, False), "rules+tfidf": (True, False), "rules+external": (False, True), "rules+tfidf+external": (True, True)}
+BOTH = f"""WITH {sp.risk_rows()}, {LOG_ODDS.replace('folded AS', 'lfolded AS').replace('FROM folded', 'FROM lfolded')}, {OUTSIDE},
+blended AS (SELECT x.label, r.rule_score, r.hard, lo.p0 AS m_safe, lo.p1 AS m_s, lo.p2 AS m_d, ox.safe AS o_safe, ox.s AS o_s, ox.d AS o_d FROM ruled r JOIN messages x USING (msg_id) JOIN lo USING (msg_id) LEFT JOIN ox USING (msg_id)),
+pair AS ({' UNION ALL '.join(_fused(k, [p for p, on in zip((('m', 0.35), ('o', 0.5)), used, strict=True) if on]) for k, used in LAYERS.items())}),
+p AS (SELECT config, label, CASE WHEN s >= 0.58 THEN 2 WHEN s >= 0.26 THEN 1 ELSE 0 END AS pred FROM pair)"""
+
+
+@query(f"{BOTH} SELECT config, {THREE} FROM p GROUP BY config")
+def j8_f22_four_configurations(spark, sf_dir):
+    """Rules alone, with a TF-IDF layer, with an outer one, with both: messages are scored once by rules and layers, and fused once for each row of configurations.
+
+    The TF-IDF layer's scores are out of fold: no message is judged by a model that saw its template.
+    """
+    m = by_counts(msgs(spark, sf_dir)).join(outside(spark, sf_dir), "msg_id", "left")
+    g = materialize(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(m)))).select("msg_id", "label", "ml", "outer", "risk", "safe", "signals", "combos"))
+    configs = F.explode(F.array(*[F.struct(F.lit(k).alias("config"), F.lit(a).alias("with_ml"), F.lit(b).alias("with_outer")) for k, (a, b) in LAYERS.items()]))
+    each = g.withColumn("c", configs).withColumn("ml", F.when(F.col("c.with_ml"), F.col("ml"))).withColumn("outer", F.when(F.col("c.with_outer"), F.col("outer"))).withColumn("config", F.col("c.config"))
+    p = scoring.fuse(each, ml="ml", external="outer").select("config", "label", evaluation.as_label(F.col("level")).alias("pred"))
+    return _r(evaluation.three_levels(p, "config"))
+
+
+@query()
+def j8_fitted_configurations(spark, sf_dir):
+    """The same two configurations of rules and TF-IDF with the fitted model, cross-fitted by template."""
+    fold = ((F.col("msg_id") * 31 + 7) % len(TEMPLATES)) % FOLDS
+    m = linear_model.cross_fitted(msgs(spark, sf_dir), fold, FOLDS)
+    g = materialize(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(m)))).select("label", "ml", "risk", "safe", "signals", "combos"))
+    each = g.withColumn("config", F.explode(F.lit(["rules", "rules+tfidf"]))).withColumn("ml", F.when(F.col("config") == "rules+tfidf", F.col("ml")))
+    return _r(evaluation.three_levels(scoring.fuse(each, ml="ml").select("config", "label", evaluation.as_label(F.col("level")).alias("pred")), "config"))
 
 
 @query("""WITH r AS (SELECT length(text) AS v, row_number() OVER (ORDER BY length(text)) AS k, count(*) OVER () AS n FROM documents) SELECT round(avg(v), 6) AS mean, min(v) FILTER (k = greatest(floor(0.95 * n), 1)) AS p95, max(v) AS max FROM r""")
