@@ -36,8 +36,8 @@ def test_evidence_is_verbatim(verdicts):
     assert all(not verdicts[4 + k]["evidence"] for k in range(4))
 
 
-def test_bad_rows_are_marked(verdicts):
-    assert verdicts[8]["error_code"] == verdicts[9]["error_code"] == "EMPTY"
+def test_bad_rows_are_not_judged(verdicts):
+    assert set(verdicts) == set(range(8))
 
 
 def test_score_by_hand(verdicts):
@@ -91,6 +91,8 @@ def test_rows_without_a_group_are_split_by_id(spark):
     assert all(len({r["part"] for r in out if r["g"] == g}) == 1 for g in ("g0", "g2", "g4", "g6", "g8"))
 
 
-def test_closing_particles_are_not_doubled(spark):
-    df = spark.createDataFrame([("Đi học đi.", " nhé."), ("Đi học nha Nam!", " nhé."), ("Đi học", "")], "t string, c string")
-    assert [r[0] for r in df.select(messages.framed(F.col("t"), F.lit("Này, "), F.col("c"))).collect()] == ["Này, Đi học đi nhé.", "Này, Đi học nha Nam!", "Này, Đi học"]
+def test_closing_words_are_not_doubled(spark):
+    cases = [("Đi học đi.", " nhé.", "Này, đi học đi nhé."), ("Đi học nha!", " nhé.", "Này, đi học nha!"), ("ĐI HỌC NHÉ BẠN ...", " ạ.", "Này, đI HỌC NHÉ BẠN ..."), ("Đi học", "", "Này, đi học")]
+    df = spark.createDataFrame([c[:2] for c in cases], "t string, c string")
+    assert [r[0] for r in df.select(messages.framed(F.col("t"), F.lit("Này, "), F.col("c"))).collect()] == [c[2] for c in cases]
+    assert df.select(messages.framed(F.col("t"), F.lit(""), F.lit(""))).first()[0] == "Đi học đi."

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as cat
+from ..session import materialize
 from . import text as tx
 
 # Fixed value: what counts as a link when risk is judged.
@@ -84,19 +85,69 @@ def is_ip(host: Column) -> Column:
     return host.rlike(r"^[0-9]+(\.[0-9]+){3}$") & F.forall(F.split(host, r"\."), lambda p: F.try_to_number(p, F.lit("999999999")).cast("int") <= 255)
 
 
-def host_facts(hosts: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """One row for each distinct host with all that the cascade asks, so that a frequent host is judged once. blocked: a table with `domain`; joined by every parent of a host."""
+#: Rows of a lookup table that may be sent to every executor; links of a host that has a thousandth of all count as frequent.
+SMALL, COMMON = 500_000, 1000
+
+
+def host_facts(hosts: DataFrame, blocked: DataFrame | None = None, brands: DataFrame | None = None) -> DataFrame:
+    """One row for each distinct host with all that the cascade asks, so that a frequent host is judged once. blocked: a table with `domain`; joined by every parent of a host.
+
+    brands: a table with `brand`, for lists of any size; misspelt ones are then found by their deletions. Without it the engine's few dozen are compared in the row.
+    """
     h = F.col("host")
     df = hosts.select("host").distinct()
     facts = df.select(
-        "host", registrable(h).alias("domain"), tld(h).alias("tld"), is_ip(h).alias("ip"), is_official(h).alias("official"), brands_in(h).alias("brands"), typo_of(h).alias("typo"), looks_random(h).alias("random"),
+        "host", registrable(h).alias("domain"), tld(h).alias("tld"), is_ip(h).alias("ip"), is_official(h).alias("official"), brands_in(h).alias("brands"), *([typo_of(h).alias("typo")] if brands is None else []), looks_random(h).alias("random"),
         registrable(h).isin(cat.SHORTENERS).alias("shortener"), tld(h).isin(cat.RISKY_TLDS).alias("risky"),
     )
+    if brands is not None:
+        near = typo_pairs(df, brands).groupBy("host").agg(F.min(F.struct("distance", "brand"))["brand"].alias("typo"))
+        facts = facts.join(near, "host", "left")
     if blocked is None:
         return facts.withColumn("blocked", F.lit(False))
     return mark_blocked(facts, blocked)
 
 
+def deletions(word: Column, most: int = 2) -> Column:
+    """The word and what is left of it without one letter, or two."""
+
+    def without_one(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+
+    out = F.array(word)
+    for _ in range(most):
+        out = tx.let(out, lambda a: F.array_union(a, F.flatten(F.transform(a, lambda w: F.when(w == "", F.array().cast("array<string>")).otherwise(without_one(w))))))
+    return out
+
+
+def typo_pairs(hosts: DataFrame, brands: DataFrame, most: int = 2) -> DataFrame:
+    """host, brand, distance: brands at most two edits away from a host's label, both of five letters or more, that the label doesn't hold.
+
+    Words so near to each other have a deletion of two letters or less in common, so an equality join of deletions finds every pair, and only these
+    are compared. Labels longer than the longest brand and two letters more can't be near one; each distinct label is compared once.
+    """
+    b = brands.select("brand").distinct().where(F.length("brand") >= 5)
+    longest = b.agg(F.max(F.length("brand")).alias("n")).first()["n"] or 0
+    labels = hosts.select("host").distinct().withColumn("label", flat_label(F.col("host"))).where(F.length("label").between(5, longest + most))
+    keys = labels.select("label").distinct().select("label", F.explode(deletions(F.col("label"), most)).alias("key"))
+    pairs = keys.join(b.select("brand", F.explode(deletions(F.col("brand"), most)).alias("key")), "key").select("label", "brand").distinct()
+    d = F.levenshtein("label", "brand", most)
+    near = pairs.withColumn("distance", d.cast("long")).where((F.col("distance") >= 0) & ~F.contains("label", "brand"))
+    return labels.join(near, "label").select("host", "brand", "distance")
+
+
+def rules_by_host(links: DataFrame, blocked: DataFrame, small: int = SMALL, brands: DataFrame | None = None) -> DataFrame:
+    """links (host, ...) with `rule`. Verdicts of distinct hosts come back by broadcast while there are `small` at most; beyond, those of hosts with a thousandth of all links (a thousand at most) do, and the others by their hash."""
+    counts = materialize(links.groupBy("host").agg(F.count("*").alias("n")))
+    facts = materialize(host_facts(counts, blocked, brands).select("host", rule_of(F.col).alias("rule")))
+    total = counts.agg(F.count("*").alias("hosts"), F.sum("n").alias("links")).first()
+    if total["hosts"] <= small:
+        return links.join(F.broadcast(facts), "host")
+    often = counts.where(F.col("n") * COMMON >= (total["links"] or 0)).select("host")
+    rest = links.join(F.broadcast(often), "host", "left_anti").join(facts, "host")
+    return links.join(F.broadcast(facts.join(F.broadcast(often), "host", "left_semi")), "host").unionByName(rest)
+
+
 def mark_blocked(rows: DataFrame, blocked: DataFrame) -> DataFrame:
     """rows (host) with `blocked`: whether the host or a domain above it (of two labels at least) is in blocked (domain). Distinct hosts are looked up, and joined back."""
     hosts = rows.select("host").distinct()
@@ -137,9 +188,12 @@ def _rules(url: Column, h: Column, blocked: list[str]) -> Column:
         "host": h, "ip": is_ip(h), "blocked": listed(h, blocked, 2), "official": is_official(h), "brands": brands_in(h), "risky": tld(h).isin(cat.RISKY_TLDS), "typo": typo_of(h),
         "shortener": registrable(h).isin(cat.SHORTENERS), "random": looks_random(h),
     }
-    rule = rule_of(facts.__getitem__)
-    more = lambda r: F.when(r.isNotNull() & ~r.isin("LINK_IP_ADDRESS", "LINK_BLOCKLISTED") & downloads(url), "LINK_FILE_DOWNLOAD")
-    return tx.let(rule, lambda r: F.array_compact(F.array(r, more(r))))
+    return tx.let(rule_of(facts.__getitem__), lambda r: with_download(url, r))
+
+
+def with_download(url: Column, rule: Column) -> Column:
+    """The rule, if any, and one more for a link to a file."""
+    return F.array_compact(F.array(rule, F.when(rule.isNotNull() & ~rule.isin("LINK_IP_ADDRESS", "LINK_BLOCKLISTED") & downloads(url), "LINK_FILE_DOWNLOAD")))
 
 
 def blocklist(lines: DataFrame) -> DataFrame:

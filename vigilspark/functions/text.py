@@ -147,18 +147,71 @@ def distinct_ignoring_case(values: Column) -> Column:
     return let(values, lambda v: let(F.transform(v, lambda x: F.lower(x)), lambda low: F.filter(v, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
 
 
-def spans(folded: Column, shown: Column, pattern: Column) -> Column:
-    """All matches of a pattern in the folded text as they are written, spaces at both ends cut off."""
+def running(values: Column) -> Column:
+    """Of an array of numbers, the sum up to each place. Sums of blocks, and of blocks of blocks, keep the work for a place to a few blocks; gathering the sums one by one would copy them at each place."""
+    zero = F.lit(0).cast("bigint")
+    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.shiftright(F.size(a) - 1, 6), F.lit(0))), lambda k: total(F.slice(a, k * 64 + 1, F.lit(64))))
+
+    def upto(v: Column, one: Column, two: Column) -> Column:
+        def at(_: Column, i: Column) -> Column:
+            far, near = F.shiftright(i, 12), F.shiftright(i, 6)
+            return total(F.slice(two, F.lit(1), far)) + total(F.slice(one, far * 64 + 1, near - far * 64)) + total(F.slice(v, near * 64 + 1, i - near * 64 + 1))
+
+        return F.transform(v, at)
+
+    return let(values, lambda v: let(blocks(v), lambda one: let(blocks(one), lambda two: upto(v, one, two))))
+
+
+#: A sign that no folded text has: capitals are gone.
+MARK = "A"
+
+
+def marked(folded: Column, pattern: str) -> Column:
+    """The text with a mark before and after each match. A literal pattern is compiled once."""
+    return F.regexp_replace(folded, "(?U)" + pattern, f"{MARK}$0{MARK}")
 
-    def walk(matches: Column) -> Column:
-        gaps = F.split(folded, pattern, -1)
-        zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
 
-        def step(acc: Column, x: Column) -> Column:
-            at = acc["at"] + F.length(x["g"])
-            return F.struct((at + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.trim(F.substr(shown, at, F.length(x["m"]))))).alias("out"))
+def between_marks(text: Column, shown: Column) -> Column:
+    """What stands between the marks as it is written in `shown`, spaces at both ends cut off: the places come from the lengths of all parts."""
 
-        pairs = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"))
-        return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast("array<string>"))
+    def cut(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: F.length(x).cast("bigint")))
+        both = F.arrays_zip(parts.alias("x"), ends.alias("e"))
+        inner = F.filter(both, lambda _, i: i % 2 == 1)
+        return F.transform(inner, lambda x: F.trim(F.substr(shown, (x["e"] - F.length(x["x"]) + 1).cast("int"), F.length(x["x"]))))
 
-    return let(F.regexp_extract_all(folded, pattern, F.lit(0)), walk)
+    def few(parts: Column) -> Column:
+        """The same for one match, which most have."""
+        return F.array(F.trim(F.substr(shown, F.length(F.get(parts, F.lit(0))) + 1, F.length(F.get(parts, F.lit(1))))))
+
+    none = F.array().cast("array<string>")
+    return let(F.split(text, MARK, -1), lambda p: F.when(F.size(p) == 1, none).when(F.size(p) == 3, few(p)).otherwise(cut(p)))
+
+
+def spans(folded: Column, shown: Column, pattern: str) -> Column:
+    """All matches of a pattern in the folded text as they are written, spaces at both ends cut off."""
+    return let(shown, lambda d: between_marks(marked(folded, pattern), d))
+
+
+def index_map(text: Column) -> Column:
+    """array<int>: for each place of fold(text) the place in `text` that it comes from, both from 0.
+
+    Zero-width characters and combining marks have no place in the folded text, white space counts once where it is squeezed, and not at all at the ends.
+    """
+    source, target, dropped = fold_table()
+    chars = F.transform(F.split(text, ""), lambda c: c)
+    gone = f"[{ZERO_WIDTH}]"
+    plain = lambda c: F.translate(c, dropped, "")
+    # (place, kind): 0 nothing, 1 white space, 2 anything else
+    kinds = F.filter(F.transform(chars, lambda c, i: F.struct(i.alias("at"), F.when(c.rlike(gone) | (plain(c) == ""), 0).when(c.rlike(SPACE), 1).otherwise(2).alias("kind"))), lambda x: x["kind"] > 0)
+    kept = lambda k: F.filter(k, lambda x, i: (x["kind"] == 2) | ((i > 0) & (F.get(k, i - 1)["kind"] == 2)))
+    ends = lambda k: F.when((F.size(k) > 0) & (F.element_at(k, -1)["kind"] == 1), F.slice(k, F.lit(1), F.size(k) - 1)).otherwise(k)
+    return F.transform(let(let(kinds, kept), lambda k: F.when(F.size(k) > 0, ends(k)).otherwise(k)), lambda x: x["at"])
+
+
+def original_span(text: Column, places: Column, start: Column, end: Column) -> Column:
+    """What `text` has where the folded text has the places from start up to end (from 0), by an index_map; marks that follow the last character belong to it."""
+    first = F.get(places, start.cast("int"))
+    after = F.coalesce(F.get(places, end.cast("int")), F.length(text))
+    return F.trim(F.substr(text, first + 1, after - first))

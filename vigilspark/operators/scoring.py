@@ -1,76 +1,122 @@
-"""Rule scan, gates, fusion and explanation. One row-local pipeline: no shuffle, and each step a projection of its own, so that its result is computed once."""
+"""Rule scan, gates, fusion and explanation. One row-local pipeline without a shuffle, unless links are judged by a blocklist table; each step is a projection of its own, so that its result is computed once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import links as lk
 from ..functions import text as tx
+from ..session import materialize, shared_folder
 from . import catalogue as cat
+from . import literals
 
 HIT = "struct<ord: int, rule_id: string, signal: string, category: string, weight: double, hard: boolean, amplifier: boolean, standalone: boolean, reason: string, phrases: array<string>>"
 
 
-def prepare(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds m (text that rules are matched on), d (the same places as written) and error_code."""
+def prepare(df: DataFrame, text: str = "text", keep_bad: bool = False) -> DataFrame:
+    """Adds m (text that rules are matched on), d (the same places as written) and error_code. Rows that can't be judged (null, blank, too long) are left out; `quarantine` has them."""
     t = tx.strip(F.col(text))
     df = df.withColumn("error_code", tx.error_code(F.col(text)))
+    df = df if keep_bad else df.where(F.col("error_code").isNull())
     return df.withColumn("m", tx.deleet(tx.fold(t))).withColumn("d", tx.display(t))
 
 
+def quarantine(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Good rows, bad rows with their error_code, and how many there are of each code (OK: good ones).
+
+    The input is read once: rows are written by their code, counts are observed on the way, and each part is read back.
+    """
+    spark = df.sparkSession
+    seen = Observation()
+    codes = ["EMPTY", "TOO_LONG"]
+    checked = df.withColumn("error_code", tx.error_code(F.col(text)))
+    counts = [F.count_if(F.col("error_code").isNull()).alias("OK"), *[F.count_if(F.col("error_code") == c).alias(c) for c in codes]]
+    path = f"{shared_folder(spark)}/checked-{uuid.uuid4().hex}"
+    checked.observe(seen, *counts).withColumn("_part", F.coalesce("error_code", F.lit("OK"))).write.partitionBy("_part").parquet(path)
+    whole = spark.read.schema(StructType([*checked.schema.fields, StructField("_part", StringType())])).parquet(path)
+    return whole.where("_part = 'OK'").drop("_part", "error_code"), whole.where("_part <> 'OK'").drop("_part"), {k: int(v) for k, v in seen.get.items()}
+
+
 def scan(df: DataFrame, rules: list[cat.Rule] = cat.RULES) -> DataFrame:
     """Adds rule_hits: every rule that matches, in the order of the catalogue, with the distinct phrases as written.
 
-    Whether a rule matches is one expression with a literal pattern, compiled once; phrases are only sought for the few rules that do.
+    Words that a rule can't match without are sought for all rules at once; only rules that have one run their expressions, which
+    are literal patterns, compiled once. Matches are marked in the text, so each pattern of such a rule reads it once.
     """
     m, d = F.col("m"), F.col("d")
-    matched = [F.when(m.rlike("(?U)" + "|".join(f"(?:{p})" for p in r.patterns)), F.lit(n)) for n, r in enumerate(rules)]
-    df = df.withColumn("_ords", F.array_compact(F.array(*matched)))
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r.ord).alias("ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.signal).alias("signal"), F.lit(r.category).alias("category"), F.lit(r.weight).alias("weight"), F.lit("H" in r.flags).alias("hard"),
-                F.lit("A" in r.flags).alias("amplifier"), F.lit("S" in r.flags).alias("standalone"), F.lit(r.reason).alias("reason"), F.lit([f"(?U){p}" for p in r.patterns]).alias("patterns"),
-            )
-            for r in rules
-        ]
+    needed = [literals.words(r.patterns) for r in rules]
+    wanted = sorted(set().union(*[n for n in needed if n]))
+    df = df.withColumn("_words", literals.present(m, wanted))
+    found = []
+    for n, r in enumerate(rules):
+        matches = m.rlike("(?U)" + "|".join(f"(?:{p})" for p in r.patterns))
+        if needed[n] is not None:
+            matches = F.arrays_overlap("_words", F.lit(sorted(needed[n]))) & matches
+        found.append(F.when(matches, F.struct(F.lit(n).alias("n"), F.array(*[tx.marked(m, p) for p in r.patterns]).alias("marked"))))
+    df = df.withColumn("_found", F.array_compact(F.array(*found))).drop("_words")
+    column = lambda name, values: F.lit(values).alias(name)
+    table = F.arrays_zip(
+        column("ord", [r.ord for r in rules]), column("rule_id", [r.rule_id for r in rules]), column("signal", [r.signal for r in rules]), column("category", [r.category for r in rules]), column("weight", [r.weight for r in rules]),
+        column("hard", ["H" in r.flags for r in rules]), column("amplifier", ["A" in r.flags for r in rules]), column("standalone", ["S" in r.flags for r in rules]), column("reason", [r.reason for r in rules]),
     )
-    df = df.withColumn("_rows", F.transform("_ords", lambda n: F.get(table, n)))
     plain = [x.split(":")[0].strip() for x in HIT[7:-1].split(", ")][:-1]
-    phrases = lambda x: tx.distinct_ignoring_case(F.flatten(F.transform(x["patterns"], lambda p: tx.spans(m, d, p))))
-    return df.withColumn("rule_hits", F.transform("_rows", lambda x: F.struct(*[x[k].alias(k) for k in plain], phrases(x).alias("phrases")))).drop("_ords", "_rows")
+    phrases = lambda x: tx.distinct_ignoring_case(F.flatten(F.transform(x["marked"], lambda t: tx.between_marks(t, d))))
+    hit = lambda x: tx.let(F.get(table, x["n"]), lambda r: F.struct(*[r[k].alias(k) for k in plain], phrases(x).alias("phrases")))
+    return df.withColumn("rule_hits", F.transform("_found", hit)).drop("_found")
 
 
-def scan_links(df: DataFrame, text: str = "text", blocked: list[str] = cat.BLOCKED) -> DataFrame:
-    """Adds link_hits: for each link in order its rule, and one for a file."""
-    df = df.withColumn("_urls", lk.urls(F.col(text)))
-    df = df.withColumn("_lr", F.flatten(F.transform("_urls", lambda u: F.transform(lk.in_row(u, blocked), lambda r: F.struct(u.alias("url"), r.alias("rule"))))))
+def as_hits(found: Column, rules: int = len(cat.RULES)) -> Column:
+    """Hits of array<struct<url, rule>>, in order."""
     info = F.create_map(*[x for k, (w, h, s, why) in cat.LINK_RULES.items() for x in (F.lit(k), F.struct(F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(s).alias("s"), F.lit(why).alias("why")))])
     of = lambda x: info[x["rule"]]
-    hits = F.transform(
-        "_lr",
+    return F.transform(
+        found,
         lambda x, i: F.struct(
-            (F.lit(len(cat.RULES) + 1) + i).alias("ord"), x["rule"].alias("rule_id"), F.lit("LINK").alias("signal"), F.lit("PHISHING_LINK").alias("category"), of(x)["w"].alias("weight"), of(x)["h"].alias("hard"),
+            (F.lit(rules + 1) + i).alias("ord"), x["rule"].alias("rule_id"), F.lit("LINK").alias("signal"), F.lit("PHISHING_LINK").alias("category"), of(x)["w"].alias("weight"), of(x)["h"].alias("hard"),
             F.lit(False).alias("amplifier"), of(x)["s"].alias("standalone"), of(x)["why"].alias("reason"), F.array(x["url"]).alias("phrases"),
         ),
     )
-    return df.withColumn("link_hits", hits).drop("_lr", "_urls")
 
 
-def gates(df: DataFrame) -> DataFrame:
+def scan_links(df: DataFrame, text: str = "text", blocked: list[str] | DataFrame = cat.BLOCKED) -> DataFrame:
+    """Adds link_hits: for each link in order its rule, and one for a file. blocked: a short list, or a table (domain) of any size."""
+    if isinstance(blocked, DataFrame):
+        return scan_links_by_host(df, blocked, text)
+    df = df.withColumn("_urls", lk.urls(F.col(text)))
+    df = df.withColumn("_lr", F.flatten(F.transform("_urls", lambda u: F.transform(lk.in_row(u, blocked), lambda r: F.struct(u.alias("url"), r.alias("rule"))))))
+    return df.withColumn("link_hits", as_hits(F.col("_lr"))).drop("_lr", "_urls")
+
+
+def scan_links_by_host(df: DataFrame, blocked: DataFrame, text: str = "text", small: int = lk.SMALL) -> DataFrame:
+    """The same with a blocklist table. Links leave their message with their place, distinct hosts are judged once, and the verdicts come back in order.
+
+    Rows are written once with a key, so that all that came before isn't computed for the links and again for the messages.
+    """
+    kept = [c for c in df.columns if c != "link_hits"]
+    keyed = materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.monotonically_increasing_id().alias("_key"), lk.urls(F.col(text)).alias("_urls")))
+    links = keyed.select("_key", F.posexplode("_urls").alias("pos", "url")).withColumn("host", lk.host_of(F.col("url")))
+    rules = lk.rules_by_host(links, blocked, small).withColumn("rules", lk.with_download(F.col("url"), F.col("rule")))
+    found = rules.select("_key", "pos", F.transform("rules", lambda r: F.struct(F.col("url").alias("url"), r.alias("rule"))).alias("found"))
+    each = found.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "found"))), lambda x: x["found"])).alias("_lr"))
+    none = F.array().cast("array<struct<url: string, rule: string>>")
+    return keyed.join(each, "_key", "left").select(*[F.col(f"_row.`{c}`") for c in kept], as_hits(F.coalesce("_lr", none)).alias("link_hits"))
+
+
+def gates(df: DataFrame, combinations: list[tuple] = cat.COMBOS, suppress: list[tuple[str, str]] = cat.SUPPRESS) -> DataFrame:
     """Adds hits, safe, risk, signals, combos: suppression, split by signal, the amplifier gate, active signals, matched combinations."""
     df = df.withColumn("hits", F.concat("rule_hits", "link_hits"))
     ids = F.transform("hits", lambda h: h["rule_id"])
-    dropped = F.array_compact(F.array(*[F.when(F.array_contains(ids, a), F.lit(b)) for a, b in cat.SUPPRESS]))
+    dropped = F.array_compact(F.array(*[F.when(F.array_contains(ids, a), F.lit(b)) for a, b in suppress]))
     df = df.withColumn("hits", F.filter("hits", lambda h: ~F.array_contains(dropped, h["rule_id"])))
     df = df.withColumn("safe", F.filter("hits", lambda h: h["signal"] == "SAFE")).withColumn("risk", F.filter("hits", lambda h: h["signal"] != "SAFE"))
     df = df.withColumn("risk", F.when(F.exists("risk", lambda h: ~h["amplifier"]), F.col("risk")).otherwise(F.array().cast(f"array<{HIT}>")))
     df = df.withColumn("signals", F.array_sort(F.array_distinct(F.transform("risk", lambda h: h["signal"]))))
     each = []
-    for cid, groups, category, boost, hard, names, why in cat.COMBOS:
+    for cid, groups, category, boost, hard, names, why in combinations:
         good = F.lit(True)
         for g in groups:
             good = good & F.arrays_overlap(F.col("signals"), F.lit(g))
@@ -148,14 +194,20 @@ def explain(df: DataFrame) -> DataFrame:
     return df.withColumn("matched_rules", F.concat(F.transform("hits", lambda h: h["rule_id"]), F.transform("combos", lambda c: c["combo_id"])))
 
 
-def score(df: DataFrame, text: str = "text", ml: str | None = None, external: str | None = None, blocked: list[str] = cat.BLOCKED, step: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """The whole pipeline. Rows with an error_code are scored as they are and marked; they never fail the job."""
-    return explain(fuse(gates(scan_links(scan(prepare(df, text)), text, blocked)), ml, external))
+def score(df: DataFrame, text: str = "text", ml: str | None = None, external: str | None = None, blocked: list[str] | DataFrame = cat.BLOCKED, knowledge: cat.Knowledge | None = None) -> DataFrame:
+    """The whole pipeline over all rows that can be judged; `quarantine` has the others. knowledge: rules, combinations and suppressions in place of the engine's own."""
+    k = knowledge or cat.Knowledge(cat.RULES, cat.COMBOS, cat.SUPPRESS)
+    return explain(fuse(gates(scan_links(scan(prepare(df, text), k.rules), text, blocked), k.combos, k.suppress), ml, external))
+
+
+def engine_label(*layers: str | None) -> Column:
+    """rules, and the layers that gave a score for the row: rules+ml, rules+external, rules+ml+external."""
+    return F.concat_ws("+", F.lit("rules"), *[F.when(F.col(c).isNotNull(), F.lit(name)) for name, c in zip(("ml", "external"), layers, strict=False) if c])
 
 
-def payload(df: DataFrame) -> DataFrame:
-    """msg_id and the nested verdict."""
-    engine = F.concat_ws("+", F.lit("rules"))
+def payload(df: DataFrame, ml: str | None = None, external: str | None = None) -> DataFrame:
+    """msg_id and the nested verdict; ml, external: the layers' columns, if df was scored with them."""
+    engine = engine_label(ml, external)
     return df.select(
         "msg_id",
         F.struct("level", "score", F.col("chosen").alias("category"), "confidence", "badge").alias("verdict"), "summary", "evidence", "highlights",

@@ -143,6 +143,19 @@ def b1_b2_validate(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.coalesce(tx.error_code(F.col("text")), F.lit("OK")).alias("code")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT doc_id, NULL FROM labels),
+c AS (SELECT coalesce(CASE WHEN text IS NULL OR regexp_matches(text, '^\\s*$') THEN 'EMPTY' WHEN length(text) > 2000 THEN 'TOO_LONG' END, 'OK') AS code, id, text FROM t)
+SELECT code, count(*) AS n, min(id) AS least, max(coalesce(length(text), 0)) AS longest, (SELECT count(*) FROM c x WHERE x.code = c.code) AS observed FROM c GROUP BY code""")
+def b1_quarantine(spark, sf_dir):
+    """Good and bad texts of one scan, each read back, beside the counts observed on the way. A text is missing where there is only a label."""
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+    t = t.unionByName(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("text")))
+    good, bad, seen = scoring.quarantine(t)
+    both = good.withColumn("code", F.lit("OK")).unionByName(bad.withColumnRenamed("error_code", "code"))
+    observed = F.create_map(*[F.lit(x) for p in seen.items() for x in p])
+    return both.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("longest")).withColumn("observed", observed[F.col("code")])
+
+
 @query(f"SELECT doc_id, md5({sp.fold('text')}) AS folded, length({sp.fold('text')}) AS n FROM documents")
 def b3_b4_fold_documents(spark, sf_dir):
     f = tx.fold(F.col("text"))
@@ -157,7 +170,7 @@ def b5_aligned_display(spark, sf_dir):
 @query(f"{FOLDED} SELECT msg_id, regexp_extract(f, '[a-z]+ [0-9]+k', 0) AS folded_span FROM folded WHERE regexp_matches(f, '[a-z]+ [0-9]+k')")
 def b6_span_recovery(spark, sf_dir):
     m = msgs(spark, sf_dir).withColumn("f", tx.fold(F.col("text"))).withColumn("d", tx.display(F.col("text")))
-    found = materialize(m.withColumn("s", tx.spans(F.col("f"), F.col("d"), F.lit("(?U)[a-z]+ [0-9]+k"))).select("msg_id", "s"))
+    found = materialize(m.withColumn("s", tx.spans(F.col("f"), F.col("d"), "[a-z]+ [0-9]+k")).select("msg_id", "s"))
     return found.where(F.size("s") > 0).select("msg_id", tx.fold(F.col("s")[0]).alias("folded_span"))
 
 
@@ -261,6 +274,19 @@ def d3_d4_hits_by_signal(spark, sf_dir):
     return df.select(F.explode(F.concat("rule_hits", "link_hits")).alias("h")).groupBy(F.col("h.signal").alias("signal")).agg(F.count("*").alias("n"))
 
 
+@query(f"{FOLDED} SELECT msg_id, regexp_matches(m, '\\b(?:kho|ba lo)\\b') AS added, regexp_matches(m, '\\bmini ?game\\b|\\b(?:vong quay|quay so) may man\\b') AS kept FROM folded")
+def d2_d3_rules_as_rows(spark, sf_dir):
+    """A catalogue from tables: the rules of one signal, without one of them, and with one more that is only a row."""
+    tables = io.dims(spark)
+    rules = tables["rules"].where("signal = 'INVITE' and rule_id <> 'PII_CONTACT_REQUEST'")
+    one = spark.createDataFrame([(900, "OWN_RULE", "ADS", "ADS_SPAM", 0.3, "names bags", False, False, False)], rules.schema)
+    patterns = tables["rule_patterns"].join(F.broadcast(rules.select("rule_id")), "rule_id").unionByName(spark.createDataFrame([("OWN_RULE", 0, r"\b(?:kho|ba lo)\b")], "rule_id string, pos int, pattern string"))
+    known = io.knowledge(tables | {"rules": rules.unionByName(one), "rule_patterns": patterns})
+    assert known.rule("OWN_RULE").weight == 0.3 and len(known.by_signal("ADS")) == 1
+    df = materialize(scoring.scan(scoring.prepare(msgs(spark, sf_dir)), known.rules).select("msg_id", F.transform("rule_hits", lambda h: h["rule_id"]).alias("ids")))
+    return df.select("msg_id", F.array_contains("ids", "OWN_RULE").alias("added"), F.array_contains("ids", "INVITE_MINIGAME").alias("kept"))
+
+
 @query(f"WITH {sp.risk_rows()} SELECT msg_id, array_to_string(signals, '|') AS signals, array_to_string(list_transform(combos, lambda c: c.id), '|') AS combos, len(safes) AS n_safe, len(weights) AS n_risk FROM combined")
 def d5_d9_gates_combos(spark, sf_dir):
     df = scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))
@@ -287,6 +313,10 @@ def links(spark, sf_dir):
     return df.withColumn("host", lk.host_of(F.col("url")))
 
 
+def brand_table(spark):
+    return spark.createDataFrame([(b,) for b in cat.BRANDS], "brand string")
+
+
 def blocked_table(spark):
     return spark.createDataFrame([(d,) for d in cat.BLOCKED], "domain string")
 
@@ -320,17 +350,35 @@ def e14_e15_link_verdicts(spark, sf_dir):
 
 @query(f"{LINKS}, b AS (SELECT unnest({sp.strings([b for b in cat.BRANDS if len(b) >= 5])}) AS brand) SELECT host, brand, levenshtein(flat, brand) AS distance FROM facts, b WHERE len(flat) >= 5 AND levenshtein(flat, brand) <= 2 AND NOT contains(flat, brand)")
 def e8_e9_typo_join(spark, sf_dir):
-    """The theta join of distinct hosts with brands, a fixed list of a few dozen."""
-    b = spark.createDataFrame([(x,) for x in cat.BRANDS if len(x) >= 5], "brand string")
-    h = links(spark, sf_dir).select("host").distinct().withColumn("label", lk.flat_label(F.col("host")))
-    d = F.levenshtein("label", "brand", 2)
-    return h.join(F.broadcast(b), (F.length("label") >= 5) & (d >= 0) & ~F.contains("label", "brand")).select("host", "brand", d.cast("long").alias("distance"))
+    """Misspelt brands by an equality join of deletions; the SQL compares every host with every brand."""
+    return lk.typo_pairs(links(spark, sf_dir), brand_table(spark))
+
+
+@query(f"WITH h AS (SELECT DISTINCT {sp.host('url')} AS host FROM pages), l AS (SELECT DISTINCT host, regexp_replace({sp.label_of('host')}, '[^a-z0-9]', '', 'g') AS flat FROM h), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{3,8}}')) AS w FROM documents WHERE lang = 'en'), "
+       "b AS (SELECT DISTINCT w || 'com' AS brand FROM w UNION SELECT DISTINCT flat || 's' FROM l) SELECT host, brand, levenshtein(flat, brand) AS distance FROM l, b WHERE length(flat) >= 5 AND length(brand) >= 5 AND abs(length(flat) - length(brand)) <= 2 AND levenshtein(flat, brand) <= 2 AND NOT contains(flat, brand)")
+def e8_e9_typos_of_many_names(spark, sf_dir):
+    """The same for hosts of pages and names by the thousand: words of the English documents and the hosts' own labels, each with an ending."""
+    hosts = table(spark, sf_dir, "pages").select(lk.host_of(F.col("url")).alias("host"))
+    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,8}"), F.lit(0)))).alias("w")).select(F.concat("w", F.lit("com")).alias("brand"))
+    return lk.typo_pairs(hosts, words.unionByName(hosts.select(F.concat(lk.flat_label(F.col("host")), F.lit("s")).alias("brand"))))
 
 
 @query(f"{LINKS} SELECT msg_id, url FROM links WHERE {sp.listed('host', cat.BLOCKED, 2)}")
 def e11_blocked_links(spark, sf_dir):
-    found = links(spark, sf_dir).select("msg_id", "url", F.explode(lk.parents(F.col("host"), 2)).alias("domain"))
-    return found.join(F.broadcast(blocked_table(spark)), "domain", "left_semi").select("msg_id", "url").distinct()
+    found = lk.mark_blocked(links(spark, sf_dir), blocked_table(spark))
+    return found.where("blocked").select("msg_id", "url").distinct()
+
+
+BLOCKED_BY_TABLE = sp.chosen().replace(sp.listed("host", cat.BLOCKED, 2), "EXISTS (SELECT 1 FROM blocked_domains b WHERE host = b.domain OR ends_with(host, '.' || b.domain))")
+
+
+@query(f"WITH blocked_domains AS (SELECT domain FROM ({SQL['a5_e16_blocklist_build']}) UNION SELECT unnest({sp.strings(cat.BLOCKED)})), {BLOCKED_BY_TABLE}, l AS (SELECT msg_id, array_to_string(list(rule_id ORDER BY ord), '|') AS link_rules FROM kept WHERE ord >= 100 GROUP BY 1) SELECT msg_id, score, level, chosen AS category, coalesce(link_rules, '') AS link_rules FROM categorized LEFT JOIN l USING (msg_id)")
+def e11_e17_scores_by_table(spark, sf_dir):
+    """Whole verdicts with a blocklist table: the engine's domains and those of all pages. Each host is judged once, and its verdict goes back to its places in the messages."""
+    pages = lk.blocklist(table(spark, sf_dir, "pages").select(F.col("url").alias("value")))
+    df = scoring.score(msgs(spark, sf_dir), blocked=pages.unionByName(blocked_table(spark)).distinct())
+    rules = F.transform(F.filter("hits", lambda h: h["ord"] > len(cat.RULES)), lambda h: h["rule_id"])
+    return df.select("msg_id", "score", "level", F.col("chosen").alias("category"), join_(rules).alias("link_rules"))
 
 
 # -- F: scores
@@ -341,10 +389,10 @@ def f_levels(spark, sf_dir):
     return scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir)))))).groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-@query(f"WITH {sp.scored()} SELECT msg_id, round(rule_score, 6) AS rule_score, round(safe_score, 6) AS safe_score, hard, score, level FROM leveled")
+@query(f"WITH {sp.scored()} SELECT msg_id, round(rule_score, 9) AS rule_score, round(safe_score, 9) AS safe_score, hard, score, level FROM leveled")
 def f1_f6_f11_f12_scores(spark, sf_dir):
     df = scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir))))))
-    return df.select("msg_id", F.round("rule_score", 6).alias("rule_score"), F.round("safe_score", 6).alias("safe_score"), "hard", "score", "level")
+    return df.select("msg_id", F.round("rule_score", 9).alias("rule_score"), F.round("safe_score", 9).alias("safe_score"), "hard", "score", "level")
 
 
 @query(f"WITH {sp.risk_rows()} SELECT msg_id, round(1 - product(1 - weight), 6) AS noisy_or FROM risk GROUP BY 1")
@@ -771,3 +819,17 @@ def l3_stream_blocklist(spark, sf_dir):
         found.where(F.col("msg_id") % 2 == part).write.mode("append").parquet(f"{path}/links")
         stream.mark_blocked(stream.read(spark, f"{path}/links", found.schema, 1000), f"{path}/list", f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out/*").select("msg_id", "host", "blocked")
+
+
+@query(f"WITH {sp.chosen()} SELECT msg_id, level, score, chosen AS category, CASE WHEN msg_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS blocklist FROM categorized")
+def l1_l3_scoring_stream(spark, sf_dir):
+    """Verdicts of a stream whose blocklist has another version for the second half of the messages; both versions have the engine's domains, so the verdicts are those of one batch."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for name, df in io.dims(spark).items():
+        df.write.parquet(f"{path}/rules/r1/{name}")
+    m = msgs(spark, sf_dir)
+    for version, part in (("v1", 0), ("v2", 1)):
+        blocked_table(spark).write.parquet(f"{path}/lists/{version}")
+        m.where(F.col("msg_id") % 2 == part).write.mode("append").parquet(f"{path}/messages")
+        stream.score_batches(stream.read(spark, f"{path}/messages", m.schema, 1000), f"{path}/lists", f"{path}/rules", f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out/good").select("msg_id", "level", "score", "category", "blocklist")

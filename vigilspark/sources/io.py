@@ -100,6 +100,30 @@ def dims(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
+def knowledge(tables: dict[str, DataFrame], most: int = 10_000) -> cat.Knowledge:
+    """Rules, combinations and suppressions from tables like those of dims(). They become expressions of a plan, so they are few: more than `most` patterns are an error, as are
+    repeated ids, patterns of unknown rules, unknown signals, weights outside 0 to 1, and patterns that Java can't compile.
+    """
+    rules = tables["rules"].orderBy("ord").limit(most + 1).collect()
+    patterns = tables["rule_patterns"].orderBy("rule_id", "pos").limit(most + 1).collect()
+    combos, suppressions = (tables[k].limit(most + 1).collect() for k in ("combos", "suppressions"))
+    spark = tables["rules"].sparkSession
+    ids = [r["rule_id"] for r in rules]
+    wrong = [i for i in ids if ids.count(i) > 1] + [p["rule_id"] for p in patterns if p["rule_id"] not in ids] + [r["rule_id"] for r in rules if r["signal"] not in cat.SIGNALS or not 0 <= r["weight"] <= 1]
+    wrong += [i for i in ids if all(p["rule_id"] != i for p in patterns)]
+    if wrong or max(len(rules), len(patterns), len(combos), len(suppressions)) > most:
+        raise ValueError(f"rules that can't be used: {sorted(set(wrong)) or 'too many'}")
+    compiler = spark._jvm.java.util.regex.Pattern
+    for p in patterns:
+        compiler.compile("(?U)" + p["pattern"])
+    flags = lambda r: "".join(f for f, k in (("H", "hard_danger"), ("A", "amplifier"), ("S", "standalone")) if r[k])
+    of = lambda i: tuple(p["pattern"] for p in patterns if p["rule_id"] == i)
+    return cat.Knowledge(
+        [cat.Rule(r["ord"], r["rule_id"], r["signal"], r["category"], r["weight"], flags(r), r["reason"], of(r["rule_id"])) for r in rules],
+        [(c["combo_id"], [list(g) for g in c["requires"]], c["category"], c["boost"], c["hard"], c["names_category"], c["reason"]) for c in combos], [(x["trigger"], x["target"]) for x in suppressions],
+    )
+
+
 def export_knowledge(spark: SparkSession, folder: str, blocklist: DataFrame | None = None, most: int = 20_000) -> None:
     """Every table as Parquet; of the blocklist the first `most` in order (the limit is the feature)."""
     for name, df in dims(spark).items():

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import links as lk
 from ..operators import scoring
+from ..sources import io
 
 
 def read(spark: SparkSession, path: str, schema, files: int = 10) -> DataFrame:
@@ -34,3 +35,27 @@ def mark_blocked(links: DataFrame, blocklist: str, path: str, state: str) -> Str
         found.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return links.writeStream.foreachBatch(mark).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def score_batches(messages: DataFrame, blocklist: str, rules: str, path: str, state: str) -> StreamingQuery:
+    """Score messages with the blocklist (domain) and the knowledge (tables of dims()) that the folders `blocklist` and `rules` hold when a micro-batch begins, once over all that is there.
+
+    Each list has a folder for each of its versions, named so that the newest sorts last; the versions are written beside each verdict. Messages that can't be judged go to
+    `bad` beside `good`. A batch that is run again after a failure overwrites its own folders.
+    """
+
+    def newest(spark: SparkSession, folder: str) -> str:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return sorted(x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))[-1]
+
+    def judge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        of_list, of_rules = newest(spark, blocklist), newest(spark, rules)
+        known = io.knowledge({k: spark.read.parquet(f"{rules}/{of_rules}/{k}") for k in ("rules", "rule_patterns", "combos", "suppressions")})
+        good, bad, _ = scoring.quarantine(batch)
+        verdicts = scoring.score(good, blocked=spark.read.parquet(f"{blocklist}/{of_list}"), knowledge=known)
+        chosen = verdicts.select("msg_id", "ts", "channel", "level", "score", F.col("chosen").alias("category"), "matched_rules", F.lit(of_list).alias("blocklist"), F.lit(of_rules).alias("rules"))
+        chosen.write.mode("overwrite").parquet(f"{path}/good/batch={number}")
+        bad.select("msg_id", "ts", "channel", "error_code").write.mode("overwrite").parquet(f"{path}/bad/batch={number}")
+
+    return messages.writeStream.foreachBatch(judge).option("checkpointLocation", state).trigger(availableNow=True).start()
