@@ -10,23 +10,37 @@ def as_label(level: Column) -> Column:
     return F.when(level == "DANGEROUS", 2).when(level == "SUSPICIOUS", 1).otherwise(0)
 
 
+def cube(df: DataFrame, *by: str) -> DataFrame:
+    """by..., label, pred, n: the cells that every report below is a sum of. Reports take rows of messages or these cells."""
+    return df.groupBy(*by, "label", "pred").agg(F.count("*").alias("n"))
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    return df if "n" in df.columns else df.withColumn("n", F.lit(1))
+
+
+def _many(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
+
+
 def confusion(df: DataFrame) -> DataFrame:
-    return df.groupBy("label").pivot("pred", [0, 1, 2]).count().na.fill(0).select("label", *[F.col(str(k)).alias(f"pred_{k}") for k in range(3)])
+    return _cells(df).groupBy("label").pivot("pred", [0, 1, 2]).agg(F.sum("n")).na.fill(0).select("label", *[F.col(str(k)).alias(f"pred_{k}") for k in range(3)])
 
 
 def three_levels(df: DataFrame, *by: str) -> DataFrame:
     y, p = F.col("label"), F.col("pred")
-    rate = lambda a, b: F.try_divide(F.count_if(a), F.count_if(b))
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.try_divide(F.count_if(y == p), F.count("*")).alias("accuracy"), rate((y == 2) & (p == 2), y == 2).alias("recall_dangerous"), rate((y == 2) & (p > 0), y == 2).alias("caught"),
-        F.count_if((y == 2) & (p == 0)).alias("missed_as_safe"), rate((y == 0) & (p > 0), y == 0).alias("false_alarm"), F.count_if((y == 0) & (p == 2)).alias("false_alarms_dangerous"),
+    rate = lambda a, b: F.try_divide(_many(a), _many(b))
+    total = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
+    return _cells(df).groupBy(*by).agg(
+        total.alias("n"), F.try_divide(_many(y == p), total).alias("accuracy"), rate((y == 2) & (p == 2), y == 2).alias("recall_dangerous"), rate((y == 2) & (p > 0), y == 2).alias("caught"),
+        _many((y == 2) & (p == 0)).alias("missed_as_safe"), rate((y == 0) & (p > 0), y == 0).alias("false_alarm"), _many((y == 0) & (p == 2)).alias("false_alarms_dangerous"),
     )
 
 
 def binary(df: DataFrame, alarm: int = 1, *by: str) -> DataFrame:
     """Counts and rates of warnings of level `alarm` or more against any bad label; a rate is 0 where it is undefined."""
     bad, warned = F.col("label") > 0, F.col("pred") >= alarm
-    c = df.groupBy(*by).agg(F.count_if(bad & warned).alias("tp"), F.count_if(~bad & warned).alias("fp"), F.count_if(bad & ~warned).alias("fn"), F.count_if(~bad & ~warned).alias("tn"))
+    c = _cells(df).groupBy(*by).agg(_many(bad & warned).alias("tp"), _many(~bad & warned).alias("fp"), _many(bad & ~warned).alias("fn"), _many(~bad & ~warned).alias("tn"))
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     c = c.withColumn("precision", zero(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", zero(F.col("tp"), F.col("tp") + F.col("fn")))
     return c.withColumn("f1", zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).withColumn("false_positive_rate", zero(F.col("fp"), F.col("fp") + F.col("tn")))
@@ -34,16 +48,16 @@ def binary(df: DataFrame, alarm: int = 1, *by: str) -> DataFrame:
 
 def by_class(df: DataFrame, *by: str) -> DataFrame:
     """precision, recall, f1 and support of each class."""
-    each = df.withColumn("class", F.explode(F.lit([0, 1, 2])))
+    each = _cells(df).withColumn("class", F.explode(F.lit([0, 1, 2])))
     y, p = F.col("label") == F.col("class"), F.col("pred") == F.col("class")
-    c = each.groupBy(*by, "class").agg(F.count_if(y & p).alias("hit"), F.count_if(p).alias("said"), F.count_if(y).alias("support"))
+    c = each.groupBy(*by, "class").agg(_many(y & p).alias("hit"), _many(p).alias("said"), _many(y).alias("support"))
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return c.select(*by, "class", zero(F.col("hit"), F.col("said")).alias("precision"), zero(F.col("hit"), F.col("support")).alias("recall"), zero(2.0 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"), "support")
 
 
 def sliced(df: DataFrame, by: str) -> DataFrame:
     """Accuracy by slice, and of all rows (null slice), in one rollup."""
-    return df.rollup(by).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
+    return _cells(df).rollup(by).agg(F.sum("n").cast("long").alias("n"), F.try_divide(_many(F.col("label") == F.col("pred")), F.sum("n")).alias("accuracy"))
 
 
 def mean_p95_max(df: DataFrame, value: str) -> DataFrame:
@@ -70,11 +84,25 @@ def distribution(df: DataFrame, by: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select(by, "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-def quality(df: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """One row of checks; duplicates by grouped counts, not by gathering."""
-    basic = df.agg(F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("no_id"), F.count_if(F.trim(F.coalesce(F.col(text), F.lit(""))) == "").alias("blank"), F.count_if(F.col(label).isNull() | ~F.col(label).isin(0, 1, 2)).alias("bad_label"))
-    repeated = lambda c, name: df.groupBy(c.alias("k")).agg(F.count("*").alias("m")).agg(F.coalesce(F.sum(F.col("m") - 1), F.lit(0)).alias(name))
-    return basic.crossJoin(F.broadcast(repeated(F.col(key), "repeated_id"))).crossJoin(F.broadcast(repeated(F.sha2(F.lower(F.col(text)), 256), "repeated_text")))
+def quality(df: DataFrame, key: str, text: str, label: str, label_name: str | None = None, names: dict[int, str] | None = None, sizes: tuple[int, int] = (1, 1 << 62)) -> DataFrame:
+    """One row of checks, of one scan: each row gives its id and its text as a value to be counted, and its faults with the first.
+
+    names: what label_name must be for each label; sizes: how many rows there should be.
+    """
+    fault = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    known = F.col(label).isin(0, 1, 2)
+    wrong = F.lit(False)
+    if label_name:
+        right = F.create_map(*[F.lit(x) for p in (names or {}).items() for x in p])[F.col(label)]
+        wrong = known & ~F.coalesce(F.col(label_name) == right, F.lit(False))
+    faults = {"no_id": F.col(key).isNull(), "blank": F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "bad_label": F.coalesce(~known, F.lit(True)), "wrong_name": F.coalesce(wrong, F.lit(False))}
+    slim = df.select(F.col(key).cast("string").alias("id"), F.sha2(F.lower(F.col(text)), 256).alias("text"), *[fault(c).alias(f"_{k}") for k, c in faults.items()])
+    first = F.struct(F.lit("id").alias("kind"), F.col("id").alias("value"), *[F.col(f"_{k}").alias(k) for k in faults])
+    second = F.struct(F.lit("text").alias("kind"), F.col("text").alias("value"), *[F.lit(0).cast("long").alias(k) for k in faults])
+    values = slim.select(F.explode(F.array(first, second)).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("m"), *[F.sum(f"x.{k}").alias(k) for k in faults])
+    more = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("m") - 1)), F.lit(0))
+    n = F.coalesce(F.sum(F.when(F.col("kind") == "id", F.col("m"))), F.lit(0))
+    return values.agg(n.alias("n"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in faults], more("id").alias("repeated_id"), more("text").alias("repeated_text"), n.between(*sizes).alias("size_fits"))
 
 
 def attribution(hits: DataFrame) -> DataFrame:

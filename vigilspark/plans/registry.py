@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import entities as en
 from ..functions import links as lk
@@ -626,9 +627,20 @@ def i7_union(spark, sf_dir):
 PRED = f"WITH {sp.scored()}, p AS (SELECT msg_id, label, channel, template_id, CASE level WHEN 'DANGEROUS' THEN 2 WHEN 'SUSPICIOUS' THEN 1 ELSE 0 END AS pred, score FROM leveled JOIN messages USING (msg_id))"
 
 
+_CUBES: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
 def predicted(spark, sf_dir):
-    df = scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir))))))
-    return materialize(df.select("msg_id", "label", "channel", "template_id", "score", evaluation.as_label(F.col("level")).alias("pred")))
+    """Counts of messages by channel, label and prediction. They are written once for an application and a set of tables; every report is a sum of them."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    path, schema = _CUBES.get(at, (None, None))
+    if path is None or not io.exists(spark, path):
+        df = scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(msgs(spark, sf_dir))))))
+        cells = evaluation.cube(df.select("label", "channel", evaluation.as_label(F.col("level")).alias("pred")), "channel")
+        path, schema = f"{shared_folder(spark)}/cube-{uuid.uuid4().hex}", cells.schema
+        cells.write.parquet(path)
+        _CUBES[at] = (path, schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 @query(f"{PRED} SELECT label, count(*) FILTER (pred = 0) AS pred_0, count(*) FILTER (pred = 1) AS pred_1, count(*) FILTER (pred = 2) AS pred_2 FROM p GROUP BY 1")
@@ -738,10 +750,12 @@ def j10_distribution(spark, sf_dir):
 
 
 @query("""SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM documents WHERE doc_id IS NULL) AS no_id, (SELECT count(*) FROM documents WHERE trim(coalesce(text, '')) = '') AS blank, (SELECT count(*) FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id) WHERE toxic IS NULL) AS bad_label,
-(SELECT count(*) - count(DISTINCT doc_id) FROM documents) AS repeated_id, (SELECT count(*) - count(DISTINCT lower(text)) FROM documents) AS repeated_text""")
+(SELECT count(*) - count(DISTINCT doc_id) FROM documents) AS repeated_id, (SELECT count(*) - count(DISTINCT lower(text)) FROM documents) AS repeated_text,
+(SELECT count(*) FROM documents d JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id) WHERE toxic <> CASE WHEN lang = 'en' THEN 0 ELSE 1 END) AS wrong_name, (SELECT count(*) BETWEEN 100 AND 1000000000000 FROM documents) AS size_fits""")
 def j11_quality(spark, sf_dir):
     l = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return evaluation.quality(table(spark, sf_dir, "documents").join(l, "doc_id", "left"), "doc_id", "text", "label")
+    named = table(spark, sf_dir, "documents").join(l, "doc_id", "left").withColumn("name", F.when(F.col("lang") == "en", "clean").otherwise("toxic"))
+    return evaluation.quality(named, "doc_id", "text", "label", "name", {0: "clean", 1: "toxic"}, (100, 10**12))
 
 
 # -- K: generated data

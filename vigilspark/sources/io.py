@@ -54,13 +54,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_blocklist(spark: SparkSession, path: str | None) -> DataFrame:
     """domain; an absent file is an empty list."""
     empty = spark.createDataFrame([], "domain string")
-    if path is None:
-        return empty
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if path is None or not exists(spark, path):
         return empty
     lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("v")).where((F.col("v") != "") & ~F.startswith("v", F.lit("#")))
     return lines.select(F.regexp_replace("v", r"^\.+", "").alias("domain"))
