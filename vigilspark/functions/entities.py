@@ -59,3 +59,9 @@ def long_form(df: DataFrame, key: str) -> DataFrame:
     """(key, kind, value) of all entities."""
     each = F.flatten(F.array(*[F.transform(F.col(f"entities.{k}"), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k in KINDS]))
     return df.select(key, F.explode(each).alias("e")).select(key, "e.*")
+
+
+def merged(own: Column, given: Column) -> Column:
+    """The entities of a message and those that a caller supplies, kind by kind: own ones first, what differs only by case once. A missing kind is an empty one."""
+    none = F.array().cast("array<string>")
+    return F.struct(*[tx.distinct_ignoring_case(F.concat(F.coalesce(own[k], none), F.coalesce(given[k], none))).alias(k) for k in KINDS])

@@ -187,10 +187,13 @@ def explain(df: DataFrame) -> DataFrame:
     sure = F.when(F.col("hard"), F.greatest(sure, F.lit(0.9))).otherwise(sure) + 0.01 * F.least(F.lit(4), F.size("evidence"))
     conf = F.when(F.col("level") == "DANGEROUS", sure).when(F.col("level") == "SUSPICIOUS", F.greatest(F.lit(0.55), 0.72 - 0.25 * F.abs(f - 0.42) / 0.16)).otherwise(0.7 + 0.29 * (1 - f / 0.26))
     df = df.withColumn("confidence", F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.5), conf)), 2))
-    title = F.create_map(*[F.lit(x) for p in cat.TITLES.items() for x in p])[F.col("chosen")]
-    df = df.withColumn("explanation", F.concat(title, F.when(F.size("evidence") > 0, F.concat(F.lit(": the message "), F.element_at("evidence", 1)["reason"])).otherwise(""), F.lit(".")))
-    df = df.withColumn("summary", F.when(F.col("level") == "SUSPICIOUS", F.concat(F.lit("Possibly "), F.lower(F.substring("explanation", 1, 1)), F.substr("explanation", F.lit(2)))).otherwise(F.col("explanation")))
-    df = df.withColumn("badge", F.when(F.col("level") == "DANGEROUS", "Danger").when(F.col("level") == "SUSPICIOUS", "Suspicious").otherwise("Safe"))
+    of = lambda texts: F.create_map(*[F.lit(x) for p in texts.items() for x in p])[F.col("chosen")]
+    df = df.withColumn("explanation", of(cat.EXPLANATIONS)).withColumn("summary", of(cat.SUMMARIES))
+    small = F.concat(F.lower(F.substring("summary", 1, 1)), F.substr("summary", F.lit(2)))
+    df = df.withColumn("summary", F.when(F.col("level") == "SUSPICIOUS", F.concat(F.lit("Take care: "), small)).otherwise(F.col("summary")))
+    named = F.concat(F.when(F.col("level") == "DANGEROUS", "Danger").otherwise("Doubtful"), F.lit(" - "), of(cat.TITLES))
+    plain = F.when(F.col("level") == "DANGEROUS", "Danger").when(F.col("level") == "SUSPICIOUS", "Doubtful").otherwise("Safe")
+    df = df.withColumn("badge", F.when(F.col("chosen") == "SAFE", plain).otherwise(named))
     return df.withColumn("matched_rules", F.concat(F.transform("hits", lambda h: h["rule_id"]), F.transform("combos", lambda c: c["combo_id"])))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from ..functions import entities as en
 from ..functions import links as lk
 from ..functions import text as tx
-from ..operators import advice, evaluation, features, linear_model, messages, scoring, splits
+from ..operators import advice, evaluation, features, linear_model, messages, outer_model, scoring, splits
 from ..operators import catalogue as cat
 from ..operators.templates import TEMPLATES
 from ..session import materialize, shared_folder
@@ -216,13 +216,10 @@ def b14_rehydrate(spark, sf_dir):
 
 @query()
 def b15_merge_entities(spark, sf_dir):
-    """Entities of the normalised text, with those that a caller supplies (here: those of the raw text)."""
-    m = en.extract(msgs(spark, sf_dir)).withColumn("n", tx.normalized(F.col("text")))
-    both = F.concat(F.col("entities.phone_numbers"), en.phones(F.col("n")))
-    return m.select("msg_id", join_(tx.distinct_ignoring_case(both)).alias("phones"))
-
-
-# -- C: entities
+    """Entities of the normalised text, with those that a caller supplies for every kind (here: those of the text as written)."""
+    m = en.extract(msgs(spark, sf_dir)).withColumnRenamed("entities", "given").withColumn("n", tx.normalized(F.col("text")))
+    both = materialize(en.extract(m, "n").select("msg_id", en.merged(F.col("entities"), F.col("given")).alias("entities")))
+    return en.long_form(both, "msg_id").groupBy("msg_id", "kind").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("found"))
 
 
 @query()
@@ -421,6 +418,25 @@ def f7_f10_h8_outer_layer(spark, sf_dir):
     return scoring.fuse(scoring.gates(scoring.scan_links(scoring.scan(scoring.prepare(m)))), external="outer").select("msg_id", "score", "level")
 
 
+@query(f"{M} SELECT msg_id, round((length(text) % 10) / 10.0, 6) AS dangerous, round((length(text) % 3) / 30.0 * (1 - (length(text) % 10) / 10.0), 6) AS suspicious FROM messages WHERE msg_id % 5 <> 0")
+def h8_batch_model(spark, sf_dir):
+    """A user's model over batches of texts, loaded once for each Python worker; here its scores are plain arithmetic over lengths. Every fifth message has no text and gets no score."""
+
+    def load():
+        import numpy as np
+
+        def scores(texts):
+            n = np.array([len(t) for t in texts])
+            d, s = (n % 10) / 10.0, (n % 3) / 30.0
+            return np.stack([1 - d - s * (1 - d), s * (1 - d), d], axis=1)
+
+        return scores
+
+    m = msgs(spark, sf_dir).withColumn("text", F.when(F.col("msg_id") % 5 != 0, F.col("text")))
+    df = outer_model.score(m, load)
+    return df.where(F.col("outer").isNotNull()).select("msg_id", F.round("outer.dangerous", 6).alias("dangerous"), F.round("outer.suspicious", 6).alias("suspicious"))
+
+
 @query(f"WITH {sp.chosen()} SELECT level, chosen AS category, count(*) AS n FROM categorized GROUP BY ALL")
 def f13_categories(spark, sf_dir):
     return scoring.score(msgs(spark, sf_dir)).groupBy("level", F.col("chosen").alias("category")).agg(F.count("*").alias("n"))
@@ -443,6 +459,17 @@ def f14_top_hits(spark, sf_dir):
     return df.select("msg_id", "rule_id", F.row_number().over(w).cast("long").alias("k")).where("k <= 5")
 
 
+def _texts(texts: dict[str, str]) -> str:
+    return "CASE chosen " + " ".join(f"WHEN {sp.q(k)} THEN {sp.q(v)}" for k, v in texts.items()) + " END"
+
+
+@query(f"""WITH {sp.chosen()}, t AS (SELECT msg_id, level, chosen, {_texts(cat.EXPLANATIONS)} AS explanation, {_texts(cat.SUMMARIES)} AS line, {_texts(cat.TITLES)} AS title FROM categorized)
+SELECT msg_id, explanation, CASE WHEN level = 'SUSPICIOUS' THEN 'Take care: ' || lower(substr(line, 1, 1)) || substr(line, 2) ELSE line END AS summary,
+CASE level WHEN 'DANGEROUS' THEN 'Danger' WHEN 'SUSPICIOUS' THEN 'Doubtful' ELSE 'Safe' END || CASE WHEN chosen = 'SAFE' THEN '' ELSE ' - ' || title END AS badge FROM t""")
+def f17_f19_texts(spark, sf_dir):
+    return scoring.score(msgs(spark, sf_dir)).select("msg_id", "explanation", "summary", "badge")
+
+
 @query()
 def f16_f21_verdicts(spark, sf_dir):
     out = scoring.payload(scoring.score(msgs(spark, sf_dir)))
