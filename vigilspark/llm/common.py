@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-from collections.abc import Iterator
 import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,17 @@ def rows_of(batch, *columns: str) -> Iterator:
         yield from part[0] if len(part) == 1 else zip(*part, strict=True)
 
 
+def packed(text: str) -> bytes:
+    """A text for a shuffle, smaller than Spark's own compression of blocks makes it: its length in bytes, then zstd."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpacked(data: bytes) -> str:
+    n = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(data[8:], n, asbytes=True).decode("utf-8", "surrogatepass") if n else ""
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -293,7 +293,7 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def centre_links(stars_: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b): links between sets and the centres of their stars. stars_: cluster, part, sid, n, n_centre; texts: sid, text; texts move, since their shingles take more room."""
+    """(a, b): links between sets and the centres of their stars. stars_: cluster, part, sid, n, n_centre; texts: sid, text (packed); texts move, since their shingles take more room."""
     small, large = F.least("n", "n_centre"), F.greatest("n", "n_centre")
     asked = stars_.where(100 * small >= percent * large).select("cluster", "part", "sid")
     mine = asked.join(texts.withColumnRenamed("text", "mine"), "sid")
@@ -305,8 +305,8 @@ def centre_links(stars_: DataFrame, texts: DataFrame, percent: int, size: int) -
             good = []
             for cluster, mine_, theirs in common.rows_of(b, "cluster", "mine", "theirs"):
                 if cluster != known:
-                    known, y = cluster, shingles(theirs)
-                x = shingles(mine_)
+                    known, y = cluster, shingles(common.unpacked(theirs))
+                x = shingles(common.unpacked(mine_))
                 good.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([b["sid"], b["cluster"]], schema=LINKS).filter(pa.array(good, pa.bool_()))
 
@@ -342,7 +342,7 @@ def star_links(stars_: DataFrame, linked: DataFrame, texts: DataFrame, percent:
         left, right = ([k for k in rows if k[0] == side] for side in (0, 1))
         out = []
         if left and right:
-            sets_ = [shingles(rows[k][1]) for k in left + right]
+            sets_ = [shingles(common.unpacked(rows[k][1])) for k in left + right]
             bits, sizes = bitmaps(sets_), np.array([len(s) for s in sets_])
             at: dict[int, int] = {}  # what is linked already is one component
             component = np.array([at.setdefault(rows[k][0], n) for n, k in enumerate(left + right)])
@@ -373,18 +373,19 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFram
     stars_ = parted(links).join(sizes, "sid").join(sizes.select(F.col("sid").alias("cluster"), F.col("n").alias("n_centre")), "cluster")
     stars_ = common.materialize(stars_)
     chosen = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct().join(least, "sid").select("doc_id", "sid")
-    schema = pa.schema([("sid", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("sid", pa.int64()), ("text", pa.binary())])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         for b in batches:
             sets = [shingles(t) for t in common.rows_of(b, "text")]
             good = pa.array([len(s) > 0 and set_id(s) == d for s, d in zip(sets, b["sid"].to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["sid"], b["text"]], schema=schema).filter(good)
+            packed = pa.array([common.packed(t) if g else None for t, g in zip(common.rows_of(b, "text"), good.to_pylist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["sid"], packed], schema=schema).filter(good)
 
     # an id may have several rows: equal ones are one (dealt by id already), and those of another set go
     texts = with_id.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id").distinct().select("sid", "text")
-    texts = common.materialize(texts.mapInArrow(load, "sid long, text string").dropDuplicates(["sid"]))
+    texts = common.materialize(texts.mapInArrow(load, "sid long, text binary").dropDuplicates(["sid"]))
     common.release(spark)
     found = common.materialize(centre_links(stars_, texts, percent, size))
     common.release(spark)
