@@ -34,6 +34,7 @@ MAX_WORDS = 200_000  # remembered by a Python worker; results don't depend on it
 LETTERS = 60  # letters of a uniform writer
 TEMPER = 0.5  # trigrams overlap, so their evidence counts half
 STRENGTH = 20.0  # rows that a parent's prior is worth
+SMALL, COMMON = 2_000_000, 1000  # numbers of a table of priors that is sent to every task; a host with this part of all rows is frequent
 TOP = 1000.0  # evidence beyond this many nats changes nothing
 
 
@@ -124,17 +125,27 @@ def suffix(host: Column) -> Column:
     return F.coalesce(F.substring_index(host, ".", -1), F.lit(""))
 
 
+def primary(tag: Column) -> Column:
+    """The primary subtag of a language tag, whole: fil of fil-PH, pt of pt_BR; null without one of two to eight letters."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(tag)), "^([a-z]{2,8})(?![a-z])", 1), F.lit(""))
+
+
+def host_of(url: Column) -> Column:
+    """The host of an address in small letters, without user and port; empty if there is none."""
+    return F.lower(F.regexp_extract(common.whole(url), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#@]+)", 1))
+
+
 def evidence(rows: DataFrame, model: Model) -> DataFrame:
     """Adds `_ll`, `_text` (the language by text alone, null if none), `_said` and `_host`. rows: text, host, declared."""
     df = rows.withColumn("_ll", likelihoods(common.whole(F.col("text")), model))
     best = F.array_position(F.col("_ll"), F.array_max("_ll"))
     name = F.element_at(F.lit([*model.names, "und"]), best.cast("int"))
-    return df.withColumn("_text", F.when(F.col("_ll").isNotNull(), F.nullif(name, F.lit("und")))).withColumn("_said", F.lower(F.substring(F.col("declared"), 1, 2))).withColumn("_host", F.coalesce(F.col("host"), F.lit("")))
+    return df.withColumn("_text", F.when(F.col("_ll").isNotNull(), F.nullif(name, F.lit("und")))).withColumn("_said", primary(F.col("declared"))).withColumn("_host", F.coalesce(F.col("host"), F.lit("")))
 
 
 @dataclass
 class Priors:
-    hosts: DataFrame  # `_host`, `_prior`: log priors by language, of every host
+    hosts: DataFrame  # `_host`, `_n` (its rows), `_prior`: log priors by language, of every host
     agree: float
 
 
@@ -151,20 +162,31 @@ def priors(seen: DataFrame, model: Model) -> Priors:
         return F.zip_with(own, parent, lambda x, q: (x + STRENGTH * q) / size)
 
     own = F.array(*[F.col(f"c{k}").cast("double") for k in n]).cast("array<double>")
-    hosts = seen.groupBy("_host").agg(*(counts or [F.count("*")])).withColumn("_suffix", suffix(F.col("_host")))
+    hosts = seen.groupBy("_host").agg(F.count("*").alias("_n"), *counts).withColumn("_suffix", suffix(F.col("_host")))
     hosts = common.materialize(hosts)
     suffixes = hosts.groupBy("_suffix").agg(*([F.sum(f"c{k}").alias(f"c{k}") for k in n] or [F.count("*")])).select("_suffix", smoothed(own, top).alias("_parent"))
-    found = hosts.join(suffixes, "_suffix").select("_host", F.transform(smoothed(own, F.col("_parent")), lambda x: F.log(x)).alias("_prior"))
+    found = hosts.join(suffixes, "_suffix").select("_host", "_n", F.transform(smoothed(own, F.col("_parent")), lambda x: F.log(x)).alias("_prior"))
     return Priors(common.materialize(found), (whole["same"] + 1.0) / (whole["said"] + 2.0))
 
 
+def with_priors(df: DataFrame, p: Priors, languages: int) -> DataFrame:
+    """df with `_prior`. Rows may carry texts: they stay where they are while the table has SMALL numbers at most; beyond, so do those of hosts with a thousandth of all rows (a thousand hosts at most), and no such host is a single task."""
+    hosts = p.hosts.select("_host", "_prior")
+    if p.hosts.count() * languages <= SMALL:
+        return df.join(F.broadcast(hosts), "_host")
+    rows = p.hosts.agg(F.sum("_n")).first()[0]
+    often = F.broadcast(p.hosts.where(F.col("_n") * COMMON >= rows).select("_host", "_prior"))
+    rest = df.join(often.select("_host"), "_host", "left_anti").join(p.hosts.where(F.col("_n") * COMMON < rows).select("_host", "_prior"), "_host")
+    return df.join(often, "_host").unionByName(rest)
+
+
 def fuse(df: DataFrame, model: Model, p: Priors) -> DataFrame:
     """Adds lang_found, lang_score (its posterior) and drops the columns of evidence. Uniform letters have a prior of a hundredth. p: of all hosts of df."""
     if not model.names:
         out = df.withColumn("lang_found", F.lit("und")).withColumn("lang_score", F.lit(0.0))
         return out.drop("_ll", "_text", "_said", "_host")
     names = model.names
-    df = df.join(p.hosts, "_host")
+    df = with_priors(df, p, len(names))
     other = math.log((1 - p.agree) / max(1, len(names) - 1) + 1e-6)
     parts = []
     for k, a in enumerate(names):
@@ -177,10 +199,14 @@ def fuse(df: DataFrame, model: Model, p: Priors) -> DataFrame:
     return df.withColumn("lang_found", F.when(F.col("_ll").isNull(), "und").otherwise(found)).withColumn("lang_score", F.when(F.col("_ll").isNull(), 0.0).otherwise(1 / mass)).drop("_ll", "_text", "_said", "_host", "_prior", "_sum", "_top")
 
 
+#: The language tag of an html element.
+MARKUP = r"(?i)<html[^>]*\blang=[\"']?([a-z]{2,8}(?![a-z])[a-z0-9_-]*)"
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """Documents as rows of evidence: the source is the host; markup inside the text may declare a language."""
     text = common.whole(F.col("text"))
-    said = F.when(F.lower(text).contains("<html"), F.regexp_extract(text, r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1))
+    said = F.when(F.lower(text).contains("<html"), F.regexp_extract(text, MARKUP, 1))
     return docs.withColumns({"host": F.col("source"), "declared": F.nullif(said, F.lit(""))})
 
 
@@ -188,9 +214,9 @@ def from_pages(pages: DataFrame) -> DataFrame:
     """Pages as rows of evidence: text without tags, the host, and the language that markup or else the address declares."""
     html = common.whole(F.col("html"))
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " "), r"<[^>]*>", " ")
-    markup = F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1), F.lit(""))
-    path = F.nullif(F.regexp_extract(common.whole(F.col("url")), r"^[a-z]+://[^/]+/([a-z]{2})/", 1), F.lit(""))
-    host = F.regexp_extract(common.whole(F.col("url")), r"^[a-z]+://([^/:?#]+)", 1)
+    markup = F.nullif(F.regexp_extract(html, MARKUP, 1), F.lit(""))
+    path = F.nullif(F.regexp_extract(common.whole(F.col("url")), r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2,3}(?:[-_][a-z0-9]{2,4})?)/", 1), F.lit(""))
+    host = host_of(F.col("url"))
     return pages.select("page_id", text.alias("text"), F.nullif(host, F.lit("")).alias("host"), F.coalesce(markup, path).alias("declared"))
 
 
