@@ -9,7 +9,7 @@ import time
 from vigilspark.plans import registry
 from vigilspark.session import local_session
 
-HEADLINE = ["d1_d2_rule_hits", "f_levels", "f1_f6_f11_f12_scores", "f13_categories", "e14_e15_link_verdicts", "b3_b4_fold_documents", "h1_h3_tfidf", "j2_j5_three_levels"]
+HEADLINE = ["d1_d2_rule_hits", "f_levels", "f1_f6_f11_f12_scores", "f13_categories", "e14_e15_link_verdicts", "b3_b4_fold_documents", "h1_h3_tfidf", "j2_j5_three_levels", "f7_f9_h5_ml_layer"]
 
 
 def main() -> None:

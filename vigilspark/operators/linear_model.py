@@ -155,11 +155,17 @@ def coefficients(model: LogisticRegressionModel, spark: SparkSession) -> tuple[D
     return wide, data.select(F.posexplode(full).alias("class", "intercept"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows on all configured partitions: few bytes of text are much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fit_rows(df: DataFrame, most_terms: int = 50_000_000) -> tuple[DataFrame, DataFrame, int, float]:
     """(label, weight, features) of distinct texts, the dictionary, the number of rows and the sum of their weights. Equal texts are one row with a weight."""
     normal = df.where(F.col("text").isNotNull() & F.col("label").isNotNull()).select(tx.for_model(F.col("text")).alias("normal"), F.col("label").cast("int").alias("label"))
     texts = normal.groupBy("normal").agg(F.count("*").alias("copies"), *[F.count_if(F.col("label") == k).alias(f"n{k}") for k in WEIGHTS])
-    texts = materialize(texts.withColumn("key", F.monotonically_increasing_id()))
+    texts = dealt(texts).withColumn("key", F.monotonically_increasing_id())
+    texts = materialize(texts)
     total = texts.agg(F.sum("copies").alias("n"), *[F.sum(f"n{k}").alias(f"n{k}") for k in WEIGHTS]).first()
     n = total["n"] or 0
     rows = materialize(term_rows(texts, "key", "normal", "copies"))
@@ -190,9 +196,11 @@ def as_tables(model: LogisticRegressionModel, terms: DataFrame, n: int, spark: S
 def predict(model: Tables, df: DataFrame, text: str = "text", small: int = SMALL) -> DataFrame:
     """df with ml: struct<safe, suspicious, dangerous>, and ml_class; both null for a null text."""
     kept = [c for c in df.columns if c not in ("ml", "ml_class")]
-    keyed = materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.monotonically_increasing_id().alias("_key"), tx.for_model(F.col(text)).alias("_normal")))
+    keyed = materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), tx.for_model(F.col(text)).alias("_normal")))
+    # equal texts are scored once
+    texts = materialize(dealt(keyed.where(F.col("_normal").isNotNull()).groupBy("_normal").agg(F.count("*").alias("_copies"))).withColumn("_key", F.monotonically_increasing_id()))
     facts = model.facts.first()
-    rows = with_terms(term_rows(keyed, "_key", "_normal"), model.terms, facts["n"], small).withColumn("raw", raw_weight())
+    rows = with_terms(term_rows(texts, "_key", "_normal"), model.terms, facts["n"], small).withColumn("raw", raw_weight())
     if_block = lambda b, x: F.sum(F.when(F.col("block") == b, x).otherwise(0.0))
     sums = rows.groupBy("_key").agg(
         *[if_block(b, F.col("raw") * F.col("raw")).alias(f"l_{b}") for b in BLOCKS], *[if_block(b, F.col("raw") * F.col("coefficients")[k]).alias(f"m_{b}_{k}") for b in BLOCKS for k in range(facts["classes"])]
@@ -205,12 +213,23 @@ def predict(model: Tables, df: DataFrame, text: str = "text", small: int = SMALL
             out = out + F.coalesce(F.try_divide(F.col(f"m_{b}_{k}"), F.sqrt(f"l_{b}")), F.lit(0.0))
         return out
 
-    scored = keyed.join(sums, "_key", "left").withColumn("_z", F.array(*[margin(k) for k in range(facts["classes"])]))
+    scored = texts.join(sums, "_key", "left").withColumn("_z", F.array(*[margin(k) for k in range(facts["classes"])]))
     scored = scored.withColumn("_e", F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))))
     share = lambda k: F.get("_e", F.lit(k)) / F.aggregate("_e", F.lit(0.0), lambda a, x: a + x) if k < facts["classes"] else F.lit(0.0)
-    ml = F.when(F.col("_normal").isNotNull(), F.struct(share(0).alias("safe"), share(1).alias("suspicious"), share(2).alias("dangerous")))
-    best = F.when(F.col("_normal").isNotNull(), F.array_position("_z", F.array_max("_z")).cast("int") - 1)
-    return scored.select(*[F.col(f"_row.`{c}`") for c in kept], ml.alias("ml"), best.alias("ml_class"))
+    ml = F.struct(share(0).alias("safe"), share(1).alias("suspicious"), share(2).alias("dangerous"))
+    best = F.array_position("_z", F.array_max("_z")).cast("int") - 1
+    scored = materialize(scored.select("_normal", "_copies", ml.alias("ml"), best.alias("ml_class")))
+    return given_back(keyed, scored, small).select(*[F.col(f"_row.`{c}`") for c in kept], "ml", "ml_class")
+
+
+def given_back(keyed: DataFrame, scored: DataFrame, small: int) -> DataFrame:
+    """Rows with the scores of their text, null where it is null. As with terms: by broadcast below a counted size; beyond it texts with a thousandth of all rows are, and the others by hash."""
+    total = scored.agg(F.count("*").alias("texts"), F.sum("_copies").alias("rows")).first()
+    if total["texts"] <= small:
+        return keyed.join(F.broadcast(scored), "_normal", "left")
+    often = scored.where(F.col("_copies") * COMMON >= (total["rows"] or 0))
+    rest = keyed.join(F.broadcast(often.select("_normal")), "_normal", "left_anti").join(scored.where(F.col("_copies") * COMMON < (total["rows"] or 0)), "_normal", "left")
+    return keyed.join(F.broadcast(often), "_normal").unionByName(rest)
 
 
 def log_odds(df: DataFrame, blocks: tuple[str, ...] = tuple(MAKE)) -> Tables:
