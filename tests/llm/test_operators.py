@@ -255,7 +255,7 @@ def test_tree_is_a_distribution():
 def test_queries_are_registered():
     from vigilspark.llm import queries
 
-    assert sorted(re.match(r"op(\d+)_", k)[1] for k in queries.queries()) == sorted(map(str, range(1, 11))) and json.dumps(sorted(queries.oracle_sql()))
+    assert sorted(re.match(r"op(\d+)_", k)[1] for k in queries.queries()) == sorted(map(str, range(1, 14))) and json.dumps(sorted(queries.oracle_sql()))
 
 
 def test_toxicity_without_any_significant_word(spark):
