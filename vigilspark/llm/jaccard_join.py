@@ -16,7 +16,8 @@ closed to chains before it is compared. A large star is dealt to parts, so that
    sizes. Both are walked together; a pair of nodes is left when even the greatest possible overlap is too small, or
    when all below is linked already.
 
-A task that meets a range of keys holds 16 bytes for each key and set of the range.
+A task that meets a range of keys holds 16 bytes for each key and set of the range. Of a key the lowest KEY bytes move: keys of a range that
+differ only above these make a candidate more, which the comparison drops.
 
 Components of the links are those of all links. Nulls: a document without text or words has an empty set and links with
 nothing; one without an id links with nothing and has no component id. Equal rows, also of one id, count once each in the
@@ -46,6 +47,7 @@ COUNT = 1_000_000  # shingles that a task counts by itself
 MAX_WORDS = 200_000  # word hashes that a Python worker remembers; results don't depend on it
 TILE = 150_000  # shingles of one side of a tile
 PART = 512  # sets of a part of a star
+KEY = 5  # bytes of a key that move: of the keys of a range, a share of about their number / 2**40 meets another by chance
 SALTS = 64
 FAN = 16
 HOT = 5e-4
@@ -159,7 +161,8 @@ def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot)
         every = np.arange(ranges + 1)
         cut, head_cut = np.searchsorted(where, every), np.searchsorted(where[heads], every)
         counts = np.diff(np.append(heads, len(k))).astype(np.int32)
-        columns = [pa.array(every[:-1].astype(np.int32)), sliced(k, cut), sliced(ids[heads], head_cut), sliced(counts, head_cut)]
+        short = np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY])
+        columns = [pa.array(every[:-1].astype(np.int32)), sliced(short, cut), sliced(ids[heads], head_cut), sliced(counts, head_cut)]
         return pa.RecordBatch.from_arrays(columns, schema=CHUNK).filter(pa.array(cut[1:] > cut[:-1]))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +182,10 @@ def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot)
 
     def meet(table: pa.Table) -> pa.Table:
         col = lambda name, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in table[name].to_pylist()]])
-        both = stars(col("keys", np.uint64), np.repeat(col("ids", np.int64), col("counts", np.int32)))
+        short = col("keys", np.uint8).reshape(-1, KEY)
+        key = np.zeros((len(short), 8), dtype=np.uint8)
+        key[:, :KEY] = short
+        both = stars(key.view("<u8").ravel(), np.repeat(col("ids", np.int64), col("counts", np.int32)))
         return pa.table({"a": both[:, 0], "b": both[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return docs.select("text").mapInArrow(offer, "range int, keys binary, ids binary, counts binary").groupBy("range").applyInArrow(meet, "a long, b long").distinct()
@@ -375,16 +381,20 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFram
     chosen = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct().join(least, "sid").select("doc_id", "sid")
     schema = pa.schema([("sid", pa.int64()), ("text", pa.binary())])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([common.packed(t) for t in common.rows_of(b, "text")], pa.binary())], names=["doc_id", "text"])
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         for b in batches:
-            sets = [shingles(t) for t in common.rows_of(b, "text")]
+            sets = (shingles(common.unpacked(t)) for t in common.rows_of(b, "text"))
             good = pa.array([len(s) > 0 and set_id(s) == d for s, d in zip(sets, b["sid"].to_pylist(), strict=True)], pa.bool_())
-            packed = pa.array([common.packed(t) if g else None for t, g in zip(common.rows_of(b, "text"), good.to_pylist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["sid"], packed], schema=schema).filter(good)
+            yield pa.RecordBatch.from_arrays([b["sid"], b["text"]], schema=schema).filter(good)
 
     # an id may have several rows: equal ones are one (dealt by id already), and those of another set go
-    texts = with_id.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id").distinct().select("sid", "text")
+    texts = with_id.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, text binary")
+    texts = texts.join(chosen, "doc_id").distinct().select("sid", "text")
     texts = common.materialize(texts.mapInArrow(load, "sid long, text binary").dropDuplicates(["sid"]))
     common.release(spark)
     found = common.materialize(centre_links(stars_, texts, percent, size))
