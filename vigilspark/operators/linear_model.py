@@ -162,8 +162,11 @@ def dealt(df: DataFrame) -> DataFrame:
 
 def fit_rows(df: DataFrame, most_terms: int = 50_000_000) -> tuple[DataFrame, DataFrame, int, float]:
     """(label, weight, features) of distinct texts, the dictionary, the number of rows and the sum of their weights. Equal texts are one row with a weight."""
-    normal = df.where(F.col("text").isNotNull() & F.col("label").isNotNull()).select(tx.for_model(F.col("text")).alias("normal"), F.col("label").cast("int").alias("label"))
-    texts = normal.groupBy("normal").agg(F.count("*").alias("copies"), *[F.count_if(F.col("label") == k).alias(f"n{k}") for k in WEIGHTS])
+    label = F.col("label").cast("int")
+    counts = [F.count("*").alias("copies"), *[F.count_if(label == k).alias(f"n{k}") for k in WEIGHTS]]
+    written = materialize(df.where(F.col("text").isNotNull() & label.isNotNull()).groupBy("text").agg(*counts))  # folding is dear, so copies go first
+    normal = dealt(written).withColumn("normal", tx.for_model(F.col("text")))
+    texts = normal.groupBy("normal").agg(*[F.sum(c).alias(c) for c in ("copies", *[f"n{k}" for k in WEIGHTS])])
     texts = dealt(texts).withColumn("key", F.monotonically_increasing_id())
     texts = materialize(texts)
     total = texts.agg(F.sum("copies").alias("n"), *[F.sum(f"n{k}").alias(f"n{k}") for k in WEIGHTS]).first()
