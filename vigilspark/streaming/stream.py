@@ -20,6 +20,16 @@ def score(messages: DataFrame) -> DataFrame:
     return scoring.score(messages).select("msg_id", "ts", "channel", "level", "score", F.col("chosen").alias("category"), "summary")
 
 
+def score_by_text(messages: DataFrame, path: str, state: str) -> StreamingQuery:
+    """The same, written to path, once over all that is there: equal texts of a micro-batch are judged once. A batch that is run again after a failure overwrites its own folder."""
+
+    def judge(batch: DataFrame, number: int) -> None:
+        df = scoring.by_text(batch.select("msg_id", "ts", "channel", "text"), scoring.score, "level", "score", "chosen", "summary")
+        df.select("msg_id", "ts", "channel", "level", "score", F.col("chosen").alias("category"), "summary").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return messages.writeStream.foreachBatch(judge).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 def counts(scored: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     return scored.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "channel", "level").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "channel", "level", "n")
 
