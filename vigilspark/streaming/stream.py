@@ -63,7 +63,8 @@ def score_batches(messages: DataFrame, blocklist: str, rules: str, path: str, st
         of_list, of_rules = newest(spark, blocklist), newest(spark, rules)
         known = io.knowledge({k: spark.read.parquet(f"{rules}/{of_rules}/{k}") for k in ("rules", "rule_patterns", "combos", "suppressions")})
         good, bad, _ = scoring.quarantine(batch)
-        verdicts = scoring.score(good, blocked=spark.read.parquet(f"{blocklist}/{of_list}"), knowledge=known)
+        blocked = spark.read.parquet(f"{blocklist}/{of_list}")
+        verdicts = scoring.by_text(good.select("msg_id", "ts", "channel", "text"), lambda t: scoring.score(t, blocked=blocked, knowledge=known), "level", "score", "chosen", "matched_rules")
         chosen = verdicts.select("msg_id", "ts", "channel", "level", "score", F.col("chosen").alias("category"), "matched_rules", F.lit(of_list).alias("blocklist"), F.lit(of_rules).alias("rules"))
         chosen.write.mode("overwrite").parquet(f"{path}/good/batch={number}")
         bad.select("msg_id", "ts", "channel", "error_code").write.mode("overwrite").parquet(f"{path}/bad/batch={number}")
