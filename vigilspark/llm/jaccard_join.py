@@ -9,6 +9,8 @@ the filter stays exact, while a passage that many documents share makes no candi
 The sets of a key and the least of them are a star; all stars with one centre are one, so two similar sets share a star, and nothing is
 closed to chains before it is compared. A large star is dealt to parts, so that none is a single task:
 
+0. Stars are pruned before texts move. A sketch of a set has a bit or two for each shingle; bits that differ are no more than shingles that differ, so
+   a pair with too many isn't similar. A set stays in a star if its sketch may be like the centre's, or else like that of another set of the star.
 1. Each set is compared with the centres of its stars. In groups of near copies this links almost all, to components.
 2. Only stars whose sets are in several components go on. Sets outside the star's commonest component are compared with all sets of the star
    of about their own size, in tiles of bounded size. A tile builds two signature trees,
@@ -45,7 +47,9 @@ RATIO = 1.5  # of the sizes of a class
 FLUSH = 400_000  # keys that a task sorts before it hands them on (about 30 MB with their copies); results don't depend on it
 COUNT = 1_000_000  # shingles that a task counts by itself
 MAX_WORDS = 200_000  # word hashes that a Python worker remembers; results don't depend on it
+RANGE = 4_000_000  # shingles of the documents for each range of keys (about 1,500,000 keys); results don't depend on it
 TILE = 150_000  # shingles of one side of a tile
+SKETCHES = 1_000_000  # shingles that the sketches of one side of a tile stand for
 PART = 512  # sets of a part of a star
 KEY = 5  # bytes of a key that move: of the keys of a range, a share of about their number / 2**40 meets another by chance
 SALTS = 64
@@ -84,6 +88,52 @@ def set_id(s: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each shingle, of the least power of two (64 at least) that isn't below their number."""
+    n = 64 << ((max(1, len(s)) - 1) // 64).bit_length()
+    bits = np.zeros(n, dtype=bool)
+    bits[(s & np.uint64(n - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they were with fewer bits."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] | sketches[:, half:]
+    return sketches
+
+
+def bits_that_differ(x: bytes, y: bytes) -> int:
+    while len(x) != len(y):
+        x, y = min(x, y, key=len), max(x, y, key=len)
+        half = len(y) // 2
+        y = (int.from_bytes(y[:half]) | int.from_bytes(y[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
+def may_be_similar(x: list[bytes], n: np.ndarray, y: list[bytes], m: np.ndarray, percent: int) -> np.ndarray:
+    """For each two sets (sketches and sizes) whether the bits that differ leave them similar; all similar sets are."""
+    out = np.zeros((len(x), len(y)), dtype=bool)
+    of_x, of_y = (np.array([len(b) // 8 for b in z]) for z in (x, y))
+    for u in np.unique(of_x):
+        for v in np.unique(of_y):
+            at, to, words = np.flatnonzero(of_x == u), np.flatnonzero(of_y == v), int(min(u, v))
+            if (100 * n[at].max() < percent * m[to].min()) or (100 * m[to].max() < percent * n[at].min()):
+                continue
+            a, b = (folded(np.frombuffer(b"".join(z[k] for k in own), dtype="<u8").reshape(len(own), -1), words) for z, own in ((x, at), (y, to)))
+            step = max(1, (1 << 20) // len(to))
+            for k in range(0, len(at), step):
+                rows = at[k : k + step]
+                differ = np.abs(n[rows][:, None] - m[to][None, :])
+                bits = np.zeros(differ.shape, dtype=np.int64)
+                for w in range(words):
+                    bits += np.bitwise_count(a[k : k + step, None, w] ^ b[None, :, w])
+                total = n[rows][:, None] + m[to][None, :]
+                out[np.ix_(rows, to)] = (100 + percent) * (total - np.maximum(differ, bits)) >= 2 * percent * total
+    return out
+
+
 @cache
 def classes(percent: int) -> list[tuple[int, int, int]]:
     """(largest size, parts, spare parts) of each size class."""
@@ -192,8 +242,8 @@ def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot)
 
 
 def members(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, sid (null for the empty set) of every row; and, with `often`, shingles that a task has met often, with their number in n_shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("often", pa.bool_())])
+    """doc_id, n_shingles, sid and sketch (null for the empty set) of every row; and, with `often`, shingles that a task has met often, with their number in n_shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("sketch", pa.binary()), ("often", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, n_held, n_docs = Shingler(size), [], 0, 0
@@ -201,22 +251,22 @@ def members(docs: DataFrame, size: int) -> DataFrame:
         def often() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
             good = n >= max(3, HOT * n_docs)
-            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(int(good.sum()), pa.int64()), "n_shingles": n[good], "sid": values[good].view(np.int64), "often": np.ones(int(good.sum()), dtype=bool)}, schema=schema)
+            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(int(good.sum()), pa.int64()), "n_shingles": n[good], "sid": values[good].view(np.int64), "sketch": pa.nulls(int(good.sum()), pa.binary()), "often": np.ones(int(good.sum()), dtype=bool)}, schema=schema)
 
         for b in batches:
             sets = []
             for t in common.rows_of(b, "text"):
                 s = shingles(t)
-                sets.append((len(s), set_id(s) if len(s) else None))
+                sets.append((len(s), set_id(s) if len(s) else None, sketch(s) if len(s) else None))
                 held.append(s)
                 n_held, n_docs = n_held + len(s), n_docs + 1
                 if n_held > COUNT:
                     yield often()
                     held, n_held, n_docs = [], 0, 0
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_shingles": [s[0] for s in sets], "sid": [s[1] for s in sets], "often": [False] * len(sets)}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_shingles": [s[0] for s in sets], "sid": [s[1] for s in sets], "sketch": [s[2] for s in sets], "often": [False] * len(sets)}, schema=schema)
         yield often()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, often boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, sketch binary, often boolean")
 
 
 def similar(common_: int, a: int, b: int, percent: int) -> bool:
@@ -286,12 +336,12 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def parted(links: DataFrame) -> DataFrame:
-    """sid, cluster, parts, part of each set of a star but its centre, which is the cluster: a star has a part for every PART sets. Salted, since one star may hold most sets."""
+    """sid, cluster, parts, part and further columns of each set of a star but its centre, which is the cluster: a star has a part for every PART sets. Salted, since one star may hold most sets."""
     salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")
     big = links.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > PART)
     big = big.select("b", F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     parts = F.coalesce("parts", F.lit(1))
-    found = links.withColumn("salt", salt).join(big, ["b", "salt"], "left").select(F.col("a").alias("sid"), F.col("b").alias("cluster"), parts.alias("parts"))
+    found = links.withColumn("salt", salt).join(big, ["b", "salt"], "left").select(F.col("a").alias("sid"), F.col("b").alias("cluster"), parts.alias("parts"), *links.drop("a", "b").columns)
     return found.withColumn("part", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts")).cast("int"))
 
 
@@ -299,9 +349,8 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def centre_links(stars_: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b): links between sets and the centres of their stars. stars_: cluster, part, sid, n, n_centre; texts: sid, text (packed); texts move, since their shingles take more room."""
-    small, large = F.least("n", "n_centre"), F.greatest("n", "n_centre")
-    asked = stars_.where(100 * small >= percent * large).select("cluster", "part", "sid")
+    """(a, b): links between sets and the centres of their stars. stars_: cluster, part, sid, near; texts: sid, text (packed); texts move, since their shingles take more room."""
+    asked = stars_.where("near").select("cluster", "part", "sid")
     mine = asked.join(texts.withColumnRenamed("text", "mine"), "sid")
     centres = asked.select("cluster", "part").distinct().join(texts.select(F.col("sid").alias("cluster"), F.col("text").alias("theirs")), "cluster")
 
@@ -319,28 +368,79 @@ def centre_links(stars_: DataFrame, texts: DataFrame, percent: int, size: int) -
     return mine.join(centres, ["cluster", "part"]).select("cluster", "sid", "mine", "theirs").mapInArrow(compare, "a long, b long")
 
 
-def star_links(stars_: DataFrame, linked: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b): more links within stars whose sets are in several components of `linked` (node, component); with those known they connect each component."""
-    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    own = stars_.join(linked.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    own = common.materialize(own.select("cluster", "parts", "part", "sid", "n", "component"))
-    kinds = own.groupBy("cluster", "parts", "component").agg(F.count("*").alias("m")).groupBy("cluster", "parts").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("kinds"))
-    mixed = kinds.where("kinds > 1").select("cluster", every_part, F.col("most.component").alias("common"))
+TO = ["cluster", "ci", "cj", "i", "j"]
+
+
+def in_tiles(stars_: DataFrame, percent: int, room: int, *carried: str) -> DataFrame:
+    """Rows of the tiles (TO) that compare the sets of a star that aren't near with all of its sets: side (0: not near, 1: all), sid and carried columns. room: shingles of one side.
+
+    stars_: cluster, parts, part, sid, n, near and carried columns.
+    """
     # classes of sizes: sets of classes that aren't neighbours are too unlike in size to be similar; a star of one part is one class
     size_class = F.when(F.col("parts") > 1, F.floor(F.log(F.col("n")) / math.log(100 / percent))).otherwise(0).cast("int")
-    near = common.materialize(own.join(mixed, ["cluster", "part"]).withColumn("near", F.col("component") == F.col("common")).withColumn("class", size_class).drop("common"))
-    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    near = common.materialize(stars_.withColumn("class", size_class))
+    blocks = lambda n: F.ceil(n / room).cast("int")
     sizes = near.groupBy("cluster", "parts", "class").agg(F.sum("n").alias("n_all"), F.sum(F.when(~F.col("near"), F.col("n"))).alias("n_loose"))
     wanted = sizes.where(F.col("n_loose") > 0).select("cluster", F.col("class").alias("ci"), blocks(F.col("n_loose")).alias("b_loose"), F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("cj"))
     tiles = wanted.join(sizes.select("cluster", "parts", F.col("class").alias("cj"), blocks(F.col("n_all")).alias("b_all")), ["cluster", "cj"])
-    tiles = common.materialize(tiles.select("cluster", every_part, "ci", "cj", "b_loose", "b_all"))
+    tiles = common.materialize(tiles.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "ci", "cj", "b_loose", "b_all"))
     theirs, mine = tiles.withColumnRenamed("cj", "class"), tiles.withColumnRenamed("ci", "class")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
-    to = ["cluster", "ci", "cj", "i", "j"]
-    every = near.join(theirs, ["cluster", "part", "class"]).select("cluster", "ci", F.col("class").alias("cj"), F.explode(spread("b_loose")).alias("i"), place("b_all").alias("j"), "sid", "component", F.lit(1).alias("side"))
-    loose = near.where(~F.col("near")).join(mine, ["cluster", "part", "class"]).select("cluster", F.col("class").alias("ci"), "cj", place("b_loose").alias("i"), F.explode(spread("b_all")).alias("j"), "sid", "component", F.lit(0).alias("side"))
-    ends = every.unionByName(loose).join(texts, "sid")
+    every = near.join(theirs, ["cluster", "part", "class"]).select("cluster", "ci", F.col("class").alias("cj"), F.explode(spread("b_loose")).alias("i"), place("b_all").alias("j"), "sid", *carried, F.lit(1).alias("side"))
+    loose = near.where(~F.col("near")).join(mine, ["cluster", "part", "class"]).select("cluster", F.col("class").alias("ci"), "cj", place("b_loose").alias("i"), F.explode(spread("b_all")).alias("j"), "sid", *carried, F.lit(0).alias("side"))
+    return every.unionByName(loose)
+
+
+def pruned(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, near: the links (a set and a centre) without which no similar pair loses its star. sets: sid, n, sketch.
+
+    near: by their sketches the set may be similar to the centre. The others may be so to another set of the star.
+    """
+    centres = sets.select(F.col("sid").alias("cluster"), F.col("n").alias("n_centre"), F.col("sketch").alias("centre"))
+    rows = parted(links).join(sets, "sid").join(centres, "cluster")
+    kept = "cluster long, parts int, part int, sid long, n long, sketch binary, near boolean"
+    names = [c.split()[0] for c in kept.split(", ")]
+
+    def enough(total: int, differ: int) -> bool:
+        return (100 + percent) * (total - differ) >= 2 * percent * total
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [enough(n + m, abs(n - m)) and enough(n + m, bits_that_differ(x, y)) for x, n, y, m in common.rows_of(b, "sketch", "n", "centre", "n_centre")]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in names[:-1]], pa.array(near, pa.bool_())], names=names)
+
+    def tile(table: pa.Table) -> pa.Table:
+        """Sets of the tile that aren't near and may be similar to another of its sets."""
+        side, sid, near = (table[c].to_numpy() for c in ("side", "sid", "near"))
+        n, sketches = table["n"].to_numpy(), table["sketch"].to_pylist()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = np.zeros(len(sid), dtype=bool)
+        if len(left) and len(right):
+            good = may_be_similar([sketches[k] for k in left], n[left], [sketches[k] for k in right], n[right], percent)
+            good &= sid[left][:, None] != sid[right][None, :]
+            found[left], found[right] = good.any(axis=1), good.any(axis=0)
+        a = np.unique(sid[found & ~near])
+        return pa.table({"a": a, "b": np.full(len(a), table["cluster"][0].as_py(), dtype=np.int64)}, schema=LINKS)
+
+    rows = rows.select("cluster", "parts", "part", "sid", "n", "sketch", "n_centre", "centre").mapInArrow(compare, kept)
+    rows = common.materialize(rows)
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    wanted = rows.groupBy("cluster", "parts").agg(F.count("*").alias("m"), F.count_if(~F.col("near")).alias("loose")).where("loose > 0 and m > 1").select("cluster", every_part)
+    others = in_tiles(rows.join(wanted, ["cluster", "part"]), percent, SKETCHES, "n", "sketch", "near").groupBy(*TO).applyInArrow(tile, "a long, b long").distinct()
+    near = rows.where("near").select(F.col("sid").alias("a"), F.col("cluster").alias("b"), F.lit(True).alias("near"))
+    return near.unionByName(others.withColumn("near", F.lit(False)))
+
+
+def star_links(stars_: DataFrame, linked: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(a, b): more links within stars whose sets are in several components of `linked` (node, component); with those known they connect each component."""
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    own = stars_.join(linked.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    own = common.materialize(own.select("cluster", "parts", "part", "sid", "n", "component"))
+    kinds = own.groupBy("cluster", "parts", "component").agg(F.count("*").alias("m")).groupBy("cluster", "parts").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("kinds"))
+    mixed = kinds.where("kinds > 1").select("cluster", every_part, F.col("most.component").alias("common"))
+    near = own.join(mixed, ["cluster", "part"]).withColumn("near", F.col("component") == F.col("common")).drop("common")
+    ends = in_tiles(near, percent, TILE, "component").join(texts, "sid")
 
     def tile(table: pa.Table) -> pa.Table:
         shingles = Shingler(size)
@@ -357,7 +457,7 @@ def star_links(stars_: DataFrame, linked: DataFrame, texts: DataFrame, percent:
                 out.append((left[p][1], right[q][1]))
         return pa.table({"a": [x[0] for x in out], "b": [x[1] for x in out]}, schema=LINKS)
 
-    return ends.groupBy(*to).applyInArrow(tile, "a long, b long")
+    return ends.groupBy(*TO).applyInArrow(tile, "a long, b long")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -366,19 +466,21 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFram
     common.ship(spark)
     docs = docs.select("doc_id", "text")
     with_id = docs.where(F.col("doc_id").isNotNull())
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     both = common.materialize(members(docs, size))
     rows = both.where(~F.col("often")).drop("often")
+    ranges = 1 + (rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) // RANGE
     frequent = both.where("often").groupBy("sid").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= F.lit(max(3.0, HOT * rows.count())))
     hot = spark.sparkContext.broadcast(np.sort(frequent.select("sid").toArrow()["sid"].to_numpy().view(np.uint64)))
-    least = rows.where(F.col("sid").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    least = rows.where(F.col("sid").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     least = common.materialize(least)
     links = common.materialize(candidate_links(with_id, percent, size, ranges, hot))
     common.release(spark)
-    sizes = least.select("sid", "n")
-    stars_ = parted(links).join(sizes, "sid").join(sizes.select(F.col("sid").alias("cluster"), F.col("n").alias("n_centre")), "cluster")
-    stars_ = common.materialize(stars_)
-    chosen = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct().join(least, "sid").select("doc_id", "sid")
+    links = common.materialize(pruned(links, least.select("sid", "n", "sketch"), percent))
+    common.release(spark)
+    least = least.drop("sketch")
+    stars_ = common.materialize(parted(links).join(least.select("sid", "n"), "sid"))
+    ids = links.select(F.col("a").alias("sid")).unionByName(links.where("near").select(F.col("b").alias("sid"))).distinct()
+    chosen = ids.join(least, "sid").select("doc_id", "sid")
     schema = pa.schema([("sid", pa.int64()), ("text", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,6 +507,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFram
     first = linked.join(least, linked["node"] == least["sid"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = linked.join(first, "component").select(F.col("node").alias("sid"), "component_id")
     by_set = least.join(by_set, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = rows.drop("sketch")
     found = rows.where(F.col("sid").isNotNull()).join(by_set, "sid", "left")
     empty = rows.where(F.col("sid").isNull()).withColumn("component_id", F.col("doc_id"))
     cols = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")]
