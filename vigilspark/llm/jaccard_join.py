@@ -6,8 +6,11 @@ similar sets have an equal part. A part may be poor: empty, or all of its shingl
 documents; at most mean set size / HOT shingles, so they are broadcast). Spare parts make up for poor ones; only a set with more poor parts than
 spare ones also offers these as keys. Both of two similar sets whose equal parts are all poor are such sets, so
 the filter stays exact, while a passage that many documents share makes no candidates by itself. Sets that can be similar to larger ones offer keys in the next class too.
-The sets of a key and the least of them are a star; all stars with one centre are one, so two similar sets share a star, and nothing is
-closed to chains before it is compared. A large star is dealt to parts, so that none is a single task:
+Each set is in the stars of its OWN least keys (its labels; sets with one label own its star, the least of them is the centre). The sets of any other key
+go to the star that most of them own, and only those that don't own it make a row. So two similar sets share a star, nothing is
+closed to chains before it is compared, and copies that meet in many keys, thus in many ranges of keys, make rows for their labels alone:
+a pair of K keys with a share J of them in common makes about J * (1 - J)**OWN * K more, however many ranges there are.
+All stars with one centre are one. A large star is dealt to parts, so that none is a single task:
 
 0. Stars are pruned before texts move. A sketch of a set has a bit or two for each shingle; bits that differ are no more than shingles that differ, so
    a pair with too many isn't similar. A set stays in a star if its sketch may be like the centre's, or else like that of another set of the star.
@@ -18,8 +21,8 @@ closed to chains before it is compared. A large star is dealt to parts, so that
    sizes. Both are walked together; a pair of nodes is left when even the greatest possible overlap is too small, or
    when all below is linked already.
 
-A task that meets a range of keys holds 16 bytes for each key and set of the range. Of a key the lowest KEY bytes move: keys of a range that
-differ only above these make a candidate more, which the comparison drops.
+A task that meets a range of keys holds about 13 bytes for each key and set of the range. Of a key the lowest KEY bytes move, of a label four: keys of a range that
+differ only above these, and labels that are equal by chance, make a candidate more, which the comparison drops.
 
 Components of the links are those of all links. Nulls: a document without text or words has an empty set and links with
 nothing; one without an id links with nothing and has no component id. Equal rows, also of one id, count once each in the
@@ -47,11 +50,12 @@ RATIO = 1.5  # of the sizes of a class
 FLUSH = 400_000  # keys that a task sorts before it hands them on (about 30 MB with their copies); results don't depend on it
 COUNT = 1_000_000  # shingles that a task counts by itself
 MAX_WORDS = 200_000  # word hashes that a Python worker remembers; results don't depend on it
-RANGE = 4_000_000  # shingles of the documents for each range of keys (about 1,500,000 keys); results don't depend on it
+RANGE = 8_000_000  # shingles of the documents for each range of keys (about 3,000,000 keys); results don't depend on it
 TILE = 150_000  # shingles of one side of a tile
 SKETCHES = 1_000_000  # shingles that the sketches of one side of a tile stand for
 PART = 512  # sets of a part of a star
 KEY = 5  # bytes of a key that move: of the keys of a range, a share of about their number / 2**40 meets another by chance
+OWN = 3  # labels of a set; results don't depend on it
 SALTS = 64
 FAN = 16
 HOT = 5e-4
@@ -175,18 +179,38 @@ def keys(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def stars(key: np.ndarray, sid: np.ndarray) -> np.ndarray:
-    """Distinct rows of a set and the least set that has an equal key, where they differ."""
-    order = np.lexsort((sid, key))
-    key, sid = key[order], sid[order]
-    first = np.ones(len(key), dtype=bool)
-    first[1:] = key[1:] != key[:-1]
-    least = sid[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else sid
-    other = least != sid
-    return np.unique(np.stack([sid[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), dtype=np.int64)
-
-
-CHUNK = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
+def own_labels(k: np.ndarray) -> np.ndarray:
+    """The OWN least labels (four bytes) of a set's keys; the last one repeated if there are fewer."""
+    least = np.unique(k.astype(np.uint32))[:OWN]
+    return np.append(least, np.full(OWN - len(least), least[-1], dtype=np.uint32))
+
+
+def stars(key: np.ndarray, at: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a set (its place in `labels`), a star's label and whether the set owns the star; at: the set of each key, places of equal sets being equal."""
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+    key, at = key[new], at[new]
+    own = (labels[at] == key.astype(np.uint32)[:, None]).any(axis=1)
+    sets, stars_ = at[own], key[own].astype(np.uint32)  # a set alone too: tasks of other keys can't know whether others own the star
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]]))
+    n = np.diff(np.append(first, len(key)))
+    at = at[np.repeat(n > 1, n)]
+    group = np.repeat(np.arange(int((n > 1).sum()), dtype=np.uint64), n[n > 1])
+    # owners of each label in each key's sets; repeated labels of a set count once
+    offered = labels[at]
+    once = np.ones(offered.shape, dtype=bool)
+    once[:, 1:] = offered[:, 1:] != offered[:, :-1]
+    kinds, owners = np.unique(((group[:, None] << np.uint64(32)) | offered)[once], return_counts=True)
+    best = np.lexsort((kinds, -owners, kinds >> np.uint64(32)))
+    best = kinds[best][np.flatnonzero(np.concatenate([np.ones(min(1, len(best)), dtype=bool), np.diff(kinds[best] >> np.uint64(32)) > 0]))].astype(np.uint32)
+    star = best[group.astype(np.int64)] if len(best) else best
+    joins = ~(offered == star[:, None]).any(axis=1)
+    return np.append(sets, at[joins]), np.append(stars_, star[joins]).astype(np.int64), np.arange(len(sets) + int(joins.sum())) < len(sets)
+
+
+CHUNK = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("labels", pa.binary())])
 
 
 def sliced(values: np.ndarray, cut: np.ndarray) -> pa.Array:
@@ -195,24 +219,26 @@ def sliced(values: np.ndarray, cut: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot) -> DataFrame:
-    """(a, b): each set and the centres of its stars, but for a star's centre itself."""
+def star_rows(docs: DataFrame, percent: int, size: int, ranges: int, hot) -> DataFrame:
+    """(a, label, own): each set and the stars that it owns or that its keys lead to; a row may come from several ranges."""
 
-    def emit(key: list[np.ndarray], sid: list[np.ndarray]) -> pa.RecordBatch:
-        k, ids = np.concatenate(key or [np.zeros(0, np.uint64)]), np.concatenate(sid or [np.zeros(0, np.int64)])
+    def emit(key: list[np.ndarray], sid: list[int]) -> pa.RecordBatch:
+        k, ids, labels = np.concatenate(key or [np.zeros(0, np.uint64)]), np.array(sid, dtype=np.int64), np.array([own_labels(x) for x in key], dtype=np.uint32).reshape(-1, OWN)
+        ids, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        labels, at = labels[first], np.repeat(at, [len(x) for x in key])
         bounds = (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)
         where = np.searchsorted(bounds, k >> np.uint64(32), side="right")
-        order = np.lexsort((k, ids, where))  # an id stands once before all its keys of a range
-        k, ids, where = k[order], ids[order], where[order]
+        order = np.lexsort((k, at, where))  # an id stands once before all its keys of a range
+        k, at, where = k[order], at[order], where[order]
         new = np.ones(len(k), dtype=bool)  # equal texts give equal rows
-        new[1:] = (k[1:] != k[:-1]) | (ids[1:] != ids[:-1])
-        k, ids, where = k[new], ids[new], where[new]
-        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), dtype=bool), (ids[1:] != ids[:-1]) | (where[1:] != where[:-1])]))
+        new[1:] = (k[1:] != k[:-1]) | (at[1:] != at[:-1])
+        k, at, where = k[new], at[new], where[new]
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), dtype=bool), (at[1:] != at[:-1]) | (where[1:] != where[:-1])]))
         every = np.arange(ranges + 1)
         cut, head_cut = np.searchsorted(where, every), np.searchsorted(where[heads], every)
         counts = np.diff(np.append(heads, len(k))).astype(np.int32)
         short = np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY])
-        columns = [pa.array(every[:-1].astype(np.int32)), sliced(short, cut), sliced(ids[heads], head_cut), sliced(counts, head_cut)]
+        columns = [pa.array(every[:-1].astype(np.int32)), sliced(short, cut), sliced(ids[at[heads]], head_cut), sliced(counts, head_cut), sliced(labels[at[heads]], head_cut)]
         return pa.RecordBatch.from_arrays(columns, schema=CHUNK).filter(pa.array(cut[1:] > cut[:-1]))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,22 +249,38 @@ def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot)
                 if not len(s):
                     continue
                 key.append(keys(s, percent, hot.value))
-                sid.append(np.full(len(key[-1]), set_id(s), dtype=np.int64))
+                sid.append(set_id(s))
                 total += len(key[-1])
                 if total > FLUSH:
                     yield emit(key, sid)
                     key, sid, total = [], [], 0
         yield emit(key, sid)
 
+    schema = pa.schema([("a", pa.int64()), ("label", pa.int64()), ("own", pa.bool_())])
+
     def meet(table: pa.Table) -> pa.Table:
         col = lambda name, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in table[name].to_pylist()]])
-        short = col("keys", np.uint8).reshape(-1, KEY)
-        key = np.zeros((len(short), 8), dtype=np.uint8)
-        key[:, :KEY] = short
-        both = stars(key.view("<u8").ravel(), np.repeat(col("ids", np.int64), col("counts", np.int32)))
-        return pa.table({"a": both[:, 0], "b": both[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        ids, counts, labels = col("ids", np.int64), col("counts", np.int32), col("labels", np.uint32).reshape(-1, OWN)
+        ids, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        labels, at, short = labels[first], np.repeat(at.astype(np.int32), counts), col("keys", np.uint8).reshape(-1, KEY)
+        slot, out = short[:, KEY - 1] >> 6, []  # a quarter of the keys at a time, since sorting takes several times their room
+        for q in range(4):
+            mine = np.flatnonzero(slot == q)
+            key = np.zeros((len(mine), 8), dtype=np.uint8)
+            key[:, :KEY] = short[mine]
+            out.append(stars(key.view("<u8").ravel(), at[mine], labels))
+        set_, label, own = (np.concatenate(x) for x in zip(*out, strict=True))
+        rows = np.unique((set_.astype(np.int64) << 33) | (label << 1) | own)  # a range has fewer than 2**30 sets
+        return pa.table({"a": ids[rows >> 33], "label": (rows >> 1) & 0xFFFFFFFF, "own": (rows & 1) > 0}, schema=schema)
+
+    return docs.select("text").mapInArrow(offer, "range int, keys binary, ids binary, counts binary, labels binary").groupBy("range").applyInArrow(meet, "a long, label long, own boolean")
+
 
-    return docs.select("text").mapInArrow(offer, "range int, keys binary, ids binary, counts binary").groupBy("range").applyInArrow(meet, "a long, b long").distinct()
+def candidate_links(docs: DataFrame, percent: int, size: int, ranges: int, hot) -> DataFrame:
+    """(a, b): each set and the centres of its stars (the least set that owns a star), but for a star's centre itself."""
+    rows = common.materialize(star_rows(docs, percent, size, ranges, hot))
+    centres = rows.groupBy("label").agg(F.min(F.when(F.col("own"), F.col("a"))).alias("b"), F.max("a").alias("last"), F.min("a").alias("first")).where("first < last").select("label", "b")
+    return rows.join(centres, "label").where("a <> b").select("a", "b").distinct()
 
 
 def members(docs: DataFrame, size: int) -> DataFrame:
