@@ -2,6 +2,8 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 
@@ -60,3 +62,23 @@ def test_a_run_seen_twice_counts_at_any_size(spark):
     rows = [(1000 + n, t) for n, (_, t) in enumerate(rows[:120])] + rows[120:]
     out = {r["doc_id"]: r for r in suffix_model.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[pair[0]]["train_tokens"] > 1_000_000 and out[pair[0]]["score"] > out[pair[0]]["base_score"] + 8
+
+
+def test_runs_move_in_turns(spark, tmp_path, monkeypatch):
+    """Turns share out all runs; no turn holds most of them; counts and the tables between them are deleted; nulls, repeated and empty rows too."""
+    rnd = random.Random(3)
+    rows = [(k, " ".join(f"w{int(rnd.paretovariate(1))}" for _ in range(40))) for k in range(60)] + [(None, "w1 w2"), (5, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "false held_out")
+    texts = suffix_model.chunks(docs)
+    own = lambda now, turns: {(r["level"], r["runs"][8 * k : 8 * k + 8]) for r in suffix_model.packed(texts, 2, 1, False, now, turns).collect() for k in range(len(r["runs"]) // 8)}
+    whole, shares = own(0, 1), [own(k, 3) for k in range(3)]
+    assert set.union(*shares) == whole and sum(map(len, shares)) == len(whole) and max(map(len, shares)) < 0.5 * len(whole)
+    seen = []
+    monkeypatch.setattr(suffix_model.common, "materialize", lambda df: seen.append(plain(df)) or seen[-1])
+    got = suffix_model.report(docs.drop("held_out")).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 1
+    gone = [t for t in seen if {"context", "n"} <= set(t.columns)]
+    assert len(gone) > suffix_model.TURNS and not any(Path(urlparse(f).path).exists() for t in gone for f in t.inputFiles())
+
+
+plain = suffix_model.common.materialize

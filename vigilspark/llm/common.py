@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_folder  # noqa: F401
+from ..session import discard, materialize, shared_folder  # noqa: F401
 
 _SHIPPED: set[str] = set()
 

@@ -12,6 +12,9 @@ adds what it gives unlisted tokens, a listed continuation the difference to that
 meet the tree in one join on hashes: tasks sort and merge the runs of about CHUNK tokens and send them, packed, to
 ranges of hashes; sums by document come back. All counts cover all training rows.
 
+Runs are a multiple of the texts, so they move in TURNS: each turn reads all tokens, takes the runs of its share of hashes, and its shuffle files
+go before the next one. The turns together are all runs. Tokens are hashed once and written as numbers within their chunk. Tables are deleted once what is read from them is written.
+
 Null text: empty, just the end token. Repeated rows are scored each, and count each in training. Without training rows
 N and V are 0 and every score is 0.
 """
@@ -32,6 +35,9 @@ from . import common
 DEPTH, LEAST, GAIN, DISCOUNT = 2, 2, 1.0, 0.5
 CHUNK, RANGE = 1_000_000, 3_000_000  # tokens that a task packs together, and that a range of hashes takes; results don't depend on them
 MEMO = 400_000  # word hashes that a Python worker remembers
+TURNS = 6  # shares of the hashes whose runs are counted or sought one after the other; results don't depend on it
+TREE_TURNS = 3  # shares of the contexts of more than a token whose continuations are judged one after the other
+DOCS = 1 << 16  # documents of a chunk at most: their places take two bytes
 TURN = 21
 START, END = (xxhash.xxh3_64_intdigest(b"\n" + w) for w in (b"start", b"end"))  # no word has a line break
 
@@ -69,32 +75,87 @@ def part(run: Column, parts: int) -> Column:
     return F.shiftrightunsigned(F.shiftrightunsigned(run, 32) * F.lit(parts).cast("long"), 32).cast("int")
 
 
-def packed(docs: DataFrame, depth: int, parts: int, score: bool) -> DataFrame:
-    """Runs of 1 to depth + 1 tokens, sorted and merged, by level (their length) and range of hashes.
+def share(run: Column, turns: int) -> Column:
+    """The turn of a run or context, as in packed()."""
+    return F.shiftrightunsigned(run, 3) % turns
+
+
+CHUNKS = pa.schema([("chunk", pa.int64()), *[(c, pa.binary()) for c in ("ids", "nulls", "held_out", "lengths", "kinds", "tokens")]])
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, held_out, text) as rows of about CHUNK tokens: ids, their nulls, held-out flags, tokens with both marks; hashes of the words, the most frequent first; numbers of the tokens among these.
+
+    Written once, so that all turns have the same chunks whatever order the input comes in.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, codec = Hashes(), pa.Codec("zstd")
+        held, heads, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            kinds, at, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), dtype="<u4")
+            rank[order] = np.arange(len(order))
+            planes = np.ascontiguousarray(rank[at].view(np.uint8).reshape(-1, 4).T)  # bytes of one weight lie together, since high ones are mostly 0
+            row = {
+                "chunk": heads[0][0],
+                "ids": np.array([h[1] or 0 for h in heads], dtype=np.int64),
+                "nulls": np.array([h[1] is None for h in heads]),
+                "held_out": np.array([h[2] for h in heads], dtype=bool),
+                "lengths": np.array([len(x) for x in held], dtype=np.int64),
+                "kinds": kinds[order],
+            }
+            return pa.RecordBatch.from_pylist([{c: x if c == "chunk" else x.tobytes() for c, x in row.items()} | {"tokens": codec.compress(planes.tobytes(), asbytes=True)}], schema=CHUNKS)
+
+        for b in batches:
+            for uid, doc_id, held_out, text in common.rows_of(b, "uid", "doc_id", "held_out", "text"):
+                own = words(text)
+                x = np.empty(len(own) + 2, dtype=np.uint64)
+                x[0], x[-1] = START, END
+                x[1:-1] = np.fromiter(map(memo.__getitem__, own), dtype=np.uint64, count=len(own))
+                held.append(x)
+                heads.append((uid, doc_id, held_out))
+                size += len(x)
+                if size > CHUNK or len(held) == DOCS:
+                    yield out()
+                    held, heads, size = [], [], 0
+        if held:
+            yield out()
+
+    docs = docs.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "held_out", "text")
+    return docs.mapInArrow(pack, "chunk long, ids binary, nulls binary, held_out binary, lengths binary, kinds binary, tokens binary")
+
+
+def packed(table: DataFrame, depth: int, parts: int, score: bool, now: int, turns: int) -> DataFrame:
+    """Runs of 1 to depth + 1 tokens of turn `now`, sorted and merged, by level (their length) and range of hashes. table: chunks().
 
-    To count: contexts and times (uses) of each run. To score: times, and the places in the chunk of the documents that use
-    it; level 0 has the ids, their nulls, held-out flags and tokens of the chunk's documents.
+    To count: contexts and times (uses) of each run in training rows. To score: times, and the places in the chunk of the documents that use
+    it; level 0 (in turn 0) has the ids, their nulls, held-out flags and tokens of the chunk's documents.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
         schema = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("runs", "contexts", "times", "places")]])
-        none, held, heads, size = b"", [], [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            lengths = np.array([len(x) for x in held])
-            a, place = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), lengths)
-            inside = np.arange(len(a)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            chunk = heads[0][0]
-            if score:
-                ids = np.array([h[1] or 0 for h in heads], dtype=np.int64)
-                nulls, flags = np.array([h[1] is None for h in heads]), np.array([h[2] for h in heads], dtype=bool)
-                yield pa.RecordBatch.from_pylist([{"level": 0, "part": chunk % parts, "chunk": chunk, "runs": ids.tobytes(), "contexts": nulls.tobytes(), "times": flags.tobytes(), "places": (lengths - 1).astype(np.int64).tobytes()}], schema=schema)
+        none, codec = b"", pa.Codec("zstd")
+
+        def out(chunk: int, row: dict) -> Iterator[pa.RecordBatch]:
+            lengths = np.frombuffer(row["lengths"], dtype=np.int64)
+            if score and not now:
+                yield pa.RecordBatch.from_pylist([{"level": 0, "part": chunk % parts, "chunk": chunk, "runs": row["ids"], "contexts": row["nulls"], "times": row["held_out"], "places": (lengths - 1).tobytes()}], schema=schema)
+            size = int(lengths.sum())
+            at = np.frombuffer(codec.decompress(row["tokens"], 4 * size, asbytes=True), dtype=np.uint8).reshape(4, size)
+            a = np.frombuffer(row["kinds"], dtype=np.uint64)[np.ascontiguousarray(at.T).view("<u4").ravel()]
+            place = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
+            inside = np.arange(size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            if not score:
+                taught = np.repeat(~np.frombuffer(row["held_out"], dtype=bool), lengths)
+                a, place, inside = a[taught], place[taught], inside[taught]
             run = np.zeros(len(a), dtype=np.uint64)
             for level in range(1, depth + 2):
                 context = np.concatenate([np.zeros(1, dtype=np.uint64), run[:-1]]) if level > 1 else run
                 run = turned(context) ^ a
-                good = inside >= level - 1
+                good = np.flatnonzero((inside >= level - 1) & ((run >> np.uint64(3)) % np.uint64(turns) == now))
                 own = run[good]
                 order = np.argsort(own, kind="stable")
                 own = own[order]
@@ -114,21 +175,11 @@ def packed(docs: DataFrame, depth: int, parts: int, score: bool) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for b in batches:
-            for uid, doc_id, held_out, text in common.rows_of(b, "uid", "doc_id", "held_out", "text"):
-                own = words(text)
-                x = np.empty(len(own) + 2, dtype=np.uint64)
-                x[0], x[-1] = START, END
-                x[1:-1] = np.fromiter(map(memo.__getitem__, own), dtype=np.uint64, count=len(own))
-                held.append(x)
-                heads.append((uid, doc_id, held_out))
-                size += len(x)
-                if size > CHUNK:
-                    yield from out()
-                    held, heads, size = [], [], 0
-        if held:
-            yield from out()
+            for k in range(b.num_rows):
+                row = {c: b[c][k].as_py() for c in CHUNKS.names}
+                yield from out(row["chunk"], row)
 
-    return docs.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "held_out", "text").mapInArrow(pack, PACKED)
+    return table.mapInArrow(pack, PACKED)
 
 
 def joined(column, kind) -> np.ndarray:
@@ -159,29 +210,44 @@ def tree(counts: DataFrame, depth: int, n_all: int, n_kinds: int, gain: float) -
     Of a listed run: p, its probability after its context by plain counts; prob, the base probability of its last token;
     a, the adjustment (log10 of the probability over the base) of that token after the context.
     """
-    zero = F.lit(0.0)
-    word = counts.where("level = 1")
+    zero, known = F.lit(0.0), F.lit(0).cast("long").alias("known")
+    word = common.materialize(counts.where("level = 1").drop("level", "context"))
     values = [word.where(F.col("run") != signed(START)).select(F.lit(1).alias("level"), "run", F.log10(F.col("n") + 1).alias("base"), F.lit(1).cast("long").alias("known"), zero.alias("value"))]
     prob = (F.col("n") + 1) / F.lit(float(n_all + n_kinds + 1))
     above = word.where("n > 1").select("run", F.lit(0).cast("long").alias("suffix"), "n", prob.alias("p"), prob.alias("prob"), zero.alias("a"))
+    least = F.lit(1e-12)
     for level in range(2, depth + 2):
-        t = counts.where(F.col("level") == level).select("run", "context", "n").join(above.select(F.col("run").alias("context"), F.col("n").alias("total"), F.col("suffix").alias("shorter")), "context")
-        t = t.withColumn("suffix", turn(F.col("shorter")).bitwiseXOR(F.col("run").bitwiseXOR(turn(F.col("context")))))  # the run without its first token
-        t = t.join(above.select(F.col("run").alias("suffix"), F.col("p").alias("q"), "prob", F.col("a").alias("below")), "suffix")
-        t = common.materialize(t.select("run", "context", "suffix", "n", "total", "q", "prob", "below"))
-        own, p = F.col("n") / F.col("total"), (F.col("n") - DISCOUNT) / F.col("total")
-        sums = t.groupBy("context").agg(F.max("total").alias("total"), F.sum(own * F.log(own / F.col("q"))).alias("kl"), F.sum(own).alias("listed"), F.sum("q").alias("above"), F.sum(p).alias("p"), F.sum(F.col("prob") * F.pow(F.lit(10.0), F.col("below"))).alias("b"))
-        rest = F.greatest(1 - F.col("listed"), zero)  # what isn't listed after the context is one more event
-        kl = F.col("kl") + F.when(rest > 0, rest * F.log(rest / F.greatest(1 - F.col("above"), F.lit(1e-9)))).otherwise(0.0)
-        least = F.lit(1e-12)
-        kept = common.materialize(sums.where(kl * F.col("total") >= gain).select("context", F.log10(F.greatest(least, 1 - F.col("p")) / F.greatest(least, 1 - F.col("b"))).alias("others")))
-        t = t.join(kept, "context", "left").withColumn("x", F.log10(p / F.col("prob")))
-        known = F.lit(0).cast("long").alias("known")
-        values.append(kept.select(F.lit(level - 1).alias("level"), F.col("context").alias("run"), zero.alias("base"), known, F.col("others").alias("value")))
+        done = []
+        for now in range(TREE_TURNS if level > 2 else 1):  # a turn has whole contexts
+            t = counts.where(F.col("level") == level).select("run", "context", "n")
+            totals = above.select(F.col("run").alias("context"), F.col("n").alias("total"), F.col("suffix").alias("shorter"))
+            if level > 2:
+                t, totals = t.where(share(F.col("context"), TREE_TURNS) == now), totals.where(share(F.col("context"), TREE_TURNS) == now)
+            t = t.join(totals, "context")
+            t = t.withColumn("suffix", turn(F.col("shorter")).bitwiseXOR(F.col("run").bitwiseXOR(turn(F.col("context"))))).drop("shorter")  # the run without its first token
+            t = t.join(above.select(F.col("run").alias("suffix"), F.col("p").alias("q"), "prob", F.col("a").alias("below")), "suffix")
+            t = common.materialize(t.select("run", "context", "suffix", "n", "total", "q", "prob", "below"))
+            common.release(counts.sparkSession)
+            own, p = F.col("n") / F.col("total"), (F.col("n") - DISCOUNT) / F.col("total")
+            sums = t.groupBy("context").agg(F.max("total").alias("total"), F.sum(own * F.log(own / F.col("q"))).alias("kl"), F.sum(own).alias("listed"), F.sum("q").alias("above"), F.sum(p).alias("p"), F.sum(F.col("prob") * F.pow(F.lit(10.0), F.col("below"))).alias("b"))
+            rest = F.greatest(1 - F.col("listed"), zero)  # what isn't listed after the context is one more event
+            kl = F.col("kl") + F.when(rest > 0, rest * F.log(rest / F.greatest(1 - F.col("above"), F.lit(1e-9)))).otherwise(0.0)
+            kept = common.materialize(sums.where(kl * F.col("total") >= gain).select("context", F.log10(F.greatest(least, 1 - F.col("p")) / F.greatest(least, 1 - F.col("b"))).alias("others")))
+            values.append(kept.select(F.lit(level - 1).alias("level"), F.col("context").alias("run"), zero.alias("base"), known, F.col("others").alias("value")))
+            both = t.join(kept, "context", "left").withColumn("x", F.log10(p / F.col("prob")))
+            value = (F.col("x") - F.col("others") - F.col("below")).alias("value")
+            if level <= depth:
+                both = common.materialize(both.select("run", "suffix", "n", own.alias("p"), "prob", F.when(F.col("others").isNotNull(), F.col("x")).otherwise(F.col("below")).alias("a"), value))
+                done.append(both)
+            else:
+                both = common.materialize(both.where(F.col("others").isNotNull()).select("run", value))
+            values.append(both.where(F.col("value").isNotNull()).select(F.lit(level).alias("level"), "run", zero.alias("base"), known, "value"))
+            common.discard(t)
+            common.release(counts.sparkSession)
         if level <= depth:
-            t = common.materialize(t)
-            above = t.select("run", "suffix", "n", own.alias("p"), "prob", F.when(F.col("others").isNotNull(), F.col("x")).otherwise(F.col("below")).alias("a"))
-        values.append(t.where(F.col("others").isNotNull()).select(F.lit(level).alias("level"), "run", zero.alias("base"), known, (F.col("x") - F.col("others") - F.col("below")).alias("value")))
+            above = done[0]
+            for t in done[1:]:
+                above = above.unionByName(t)
     out = values[0]
     for v in values[1:]:
         out = out.unionByName(v)
@@ -194,11 +260,19 @@ def report(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float
     docs = docs.select("doc_id", "text", (common.fold(F.col("doc_id"), 7) == 2).alias("held_out"))
     chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = 1 + chars // 6 // RANGE
-    counts = common.materialize(counted(packed(docs.where(~F.col("held_out")), depth, parts, False), max(2, least)))
+    texts, tables = common.materialize(chunks(docs)), []
+    for now in range(TURNS):
+        tables.append(common.materialize(counted(packed(texts, depth, parts, False, now, TURNS), max(2, least))))
+        common.release(spark)
+    counts = tables[0]
+    for t in tables[1:]:
+        counts = counts.unionByName(t)
     sums = counts.where((F.col("level") == 1) & (F.col("run") != signed(START))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_kinds = sums["n"], sums["v"]
     per_token = math.log10(n_all + 1 * (n_kinds + 1))
     values = tree(counts, depth, n_all, n_kinds, gain).withColumn("part", part(F.col("run"), parts))
+    for t in tables:
+        common.discard(t)
     schema = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), *[(c, pa.binary()) for c in ("places", "base", "known", "value")]])
 
     def look_up(key: tuple, t: pa.Table, v: pa.Table) -> pa.Table:
@@ -219,7 +293,7 @@ def report(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float
                 asked = np.frombuffer(r["runs"], dtype=np.uint64)
                 at = np.minimum(np.searchsorted(run, asked), len(run) - 1)
                 found, times = run[at] == asked, np.frombuffer(r["times"], dtype=np.int32)
-                places = np.frombuffer(r["places"], dtype=np.int32)[np.repeat(found, times)]
+                places = np.frombuffer(r["places"], dtype=np.uint16)[np.repeat(found, times)]
                 if len(places):
                     uses = np.bincount(places)
                     hit = np.flatnonzero(uses)
@@ -240,8 +314,12 @@ def report(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float
         known = np.rint(total["known"]).astype(np.int64)
         return pa.table([pa.array(ids, mask=nulls), pa.array(held_out), pa.array(tokens), pa.array(known), pa.array(np.full(len(ids), n_all, dtype=np.int64)), pa.array(base), pa.array(base + total["value"])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    asked = packed(docs, depth, parts, True)
-    found = asked.groupBy("level", "part").cogroup(values.groupBy("level", "part")).applyInArrow(look_up, SUMS)
+    found = None
+    for now in range(TURNS):
+        asked, mine = packed(texts, depth, parts, True, now, TURNS), values.where(share(F.col("run"), TURNS) == now)
+        sums = common.materialize(asked.groupBy("level", "part").cogroup(mine.groupBy("level", "part")).applyInArrow(look_up, SUMS))
+        common.release(spark)
+        found = sums if found is None else found.unionByName(sums)
     return found.groupBy("chunk").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
