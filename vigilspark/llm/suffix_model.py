@@ -36,7 +36,7 @@ from . import common
 
 DEPTH, LEAST, GAIN, DISCOUNT = 2, 2, 1.0, 0.5
 CHUNK, RANGE = 1_000_000, 3_000_000  # tokens that a task packs together, and that a range of hashes takes; results don't depend on them
-MEMO = 400_000  # word hashes that a Python worker remembers
+MEMO = 200_000  # word hashes that a Python worker remembers
 TURNS = 3  # shares of the hashes whose runs of one and two tokens are counted one after the other; results don't depend on it
 TREE_TURNS = 5  # shares of the chunks that meet their answers, and of the ranges that answer longer runs and contexts, one after the other
 DOCS = 1 << 16  # documents of a chunk at most: their places take two bytes
@@ -64,7 +64,9 @@ class Hashes(dict):
 
 
 def turned(x: np.ndarray) -> np.ndarray:
-    return (x << np.uint64(TURN)) | (x >> np.uint64(64 - TURN))
+    y = x << np.uint64(TURN)
+    y |= x >> np.uint64(64 - TURN)
+    return y
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -248,7 +250,9 @@ def longer(levels: list, a: np.ndarray, inside: np.ndarray) -> SimpleNamespace:
         good &= listed
         good[1:] &= listed[:-1]
     good = np.flatnonzero(good)
-    kinds, own, place = grouped(turned(last.kinds[last.at[good - 1]]) ^ a[good])
+    run = turned(last.kinds[last.at[good - 1]])
+    run ^= a[good]
+    kinds, own, place = grouped(run)
     at = np.full(len(a), -1, dtype=np.int32)
     at[good] = own
     return SimpleNamespace(kinds=kinds, at=at, context=last.at[good[place] - 1], suffix=last.at[good[place]], word=levels[0].at[good[place]] if levels else None)
@@ -360,13 +364,13 @@ def report(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float
     def score(t: pa.Table, v: pa.Table) -> pa.Table:
         row = t.to_pylist()[0]
         levels, (_, inside, _, lengths) = judged(row, v, depth + 1, n_all, n_kinds)
-        place, words = np.repeat(np.arange(len(lengths)), lengths), levels[0]
+        place, words = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), levels[0]
         total = lambda x: np.bincount(place, weights=x, minlength=len(lengths))
         base = total(np.where(inside > 0, np.log10(words.n + 1)[words.at], 0.0)) - (lengths - 1) * per_token
         known = total((inside > 0) & (words.n > 0)[words.at]).astype(np.int64)
-        adds = sum(np.append(np.nan_to_num(x.others) + x.value, 0.0)[x.at] for x in levels)
+        value = sum(total(np.append(np.nan_to_num(x.others) + x.value, 0.0)[x.at]) for x in levels)
         ids, nulls, held_out = (np.frombuffer(row[c], dtype=k) for c, k in (("ids", np.int64), ("nulls", bool), ("held_out", bool)))
-        return pa.table([pa.array(ids, mask=nulls), pa.array(held_out), pa.array(lengths - 1), pa.array(known), pa.array(np.full(len(ids), n_all, dtype=np.int64)), pa.array(base), pa.array(base + total(adds))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([pa.array(ids, mask=nulls), pa.array(held_out), pa.array(lengths - 1), pa.array(known), pa.array(np.full(len(ids), n_all, dtype=np.int64)), pa.array(base), pa.array(base + value)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = meeting(texts, answers(), score, SCORES)
     for t in [texts, *tables]:
